@@ -16,7 +16,7 @@ def load_all() -> None:
         # logs,
         # ordering,
         # platform,
-        # selection,
+        selection,
         store,
         # streams,
     )
