@@ -8,10 +8,10 @@ from tidewatch.plans.registry import ORACLES, QUERIES
 def load_all() -> None:
     """Import every query module so that the registry is full."""
     from tidewatch.plans import (  # noqa: F401
-        # aggregates,
-        # alerting,
+        aggregates,
+        alerting,
         # counters,
-        # joins,
+        joins,
         # learning,
         # logs,
         # ordering,

@@ -30,10 +30,9 @@ def _with_views(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in needed)
     body = sql.strip()
-    if body[:5].upper() == "WITH ":
-        return f"WITH {ctes},\n{body[5:]}"
-    if body[:15].upper() == "WITH RECURSIVE ":
-        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(head):
+            return f"{head}{ctes},\n{body[len(head):]}"
     return f"WITH {ctes}\n{body}"
 
 
