@@ -10,12 +10,12 @@ def load_all() -> None:
     from tidewatch.plans import (  # noqa: F401
         aggregates,
         alerting,
-        # counters,
+        counters,
         joins,
-        # learning,
+        learning,
         # logs,
-        # ordering,
-        # platform,
+        ordering,
+        platform,
         selection,
         store,
         # streams,
