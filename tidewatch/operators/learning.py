@@ -228,7 +228,7 @@ def feature_importance(df: DataFrame, features: Sequence[str], label: str) -> Da
 
 def failure_features(metrics: DataFrame, grid: str = "day") -> DataFrame:
     """Training rows: the features of each system and day, with the failure label."""
-    daily = metrics.withColumn("day", F.date_trunc(grid, F.col("ts")))
+    daily = metrics.withColumn("day", F.date_trunc(grid, F.col("ts")).cast("timestamp_ntz"))
     return features_wide(daily, ["system_id", "day"]).withColumn("label", failure_label())
 
 
@@ -322,19 +322,26 @@ def _path_lengths(x: np.ndarray, nodes: np.ndarray) -> np.ndarray:
 def grow_forest(df: DataFrame, columns: Sequence[str], id_column: str, trees: int = 100, seed: int = 42) -> DataFrame:
     """Isolation trees, one row each, grown in parallel on hash samples of 256 rows.
 
-    Each tree takes the rows with the smallest hashes for that tree.  Only these
-    rows reach a task: the first cut is an expected-size filter, the second an
-    exact limit per tree, both before anything is grouped.
+    A pool of rows is drawn first, by a hash of the id, so that only about
+    ``4 * SUBSAMPLE * trees`` rows are ever multiplied by the number of trees.
+    Each tree takes the 256 rows of the pool with the smallest hashes for it; the
+    limit per tree is applied before the rows are grouped.
     """
     columns = list(columns)
     total = df.select(F.count(F.lit(1))).scalar()
-    # four times the sample in expectation: enough for an exact choice of the smallest
-    share = F.least(F.lit(1.0), F.lit(4.0 * SUBSAMPLE) / F.greatest(total, F.lit(1)))
+    wanted = float(4 * SUBSAMPLE * trees)
     ids = F.col(id_column).cast("string")
-    draw = (F.xxhash64(ids, F.col("tree"), F.lit(seed)).bitwiseAND(F.lit(2**52 - 1))) / F.lit(float(2**52))
+
+    def uniform(*salt: Column) -> Column:
+        return F.xxhash64(ids, *salt, F.lit(seed)).bitwiseAND(F.lit(2**52 - 1)) / F.lit(float(2**52))
+
+    pool = df.select(id_column, *columns).where(
+        uniform(F.lit("pool")) < F.lit(wanted) / F.greatest(total, F.lit(1))
+    )
+    share = F.lit(4.0 * SUBSAMPLE) / F.least(F.greatest(total, F.lit(1)), F.lit(wanted))
     drawn = (
-        df.select(id_column, *columns).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("__u", draw).where(F.col("__u") < share)
+        pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+        .withColumn("__u", uniform(F.col("tree"))).where(F.col("__u") < share)
     )
     smallest = Window.partitionBy("tree").orderBy("__u", id_column)
     sample = drawn.withColumn("__r", F.row_number().over(smallest)).where(F.col("__r") <= SUBSAMPLE)

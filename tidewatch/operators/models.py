@@ -139,7 +139,7 @@ def confidence_filter(df: DataFrame, threshold: Column | float, filter_bounds: b
     pairs = F.slice(zipped, F.lit(1), F.least(F.size("predictions"), F.size("confidences")))
     names = ["predictions", "confidences"] + (["lower", "upper"] if filter_bounds else [])
     kept = df.withColumn("__kept", pairs)
-    return kept.withColumns({n: F.transform("__kept", lambda p, n=n: p[n]) for n in names}).drop("__kept")
+    return kept.withColumns({n: F.col("__kept")[n] for n in names}).drop("__kept")
 
 
 def retrain_due(models: DataFrame, as_of: Column, minimum_accuracy: float = 0.75, hours: int = 24) -> DataFrame:

@@ -13,12 +13,12 @@ def load_all() -> None:
         counters,
         joins,
         learning,
-        # logs,
+        logs,
         ordering,
         platform,
         selection,
         store,
-        # streams,
+        streams,
     )
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scoring as sc
-from tidewatch.functions.sampling import hash_fraction  # noqa: F401
 from tidewatch.operators import learning as ml, models as m
 from tidewatch.plans.aggregates import ENSEMBLE, rounded
 from tidewatch.plans.registry import query
@@ -203,11 +202,12 @@ def standardize(t):
 WITH w AS (SELECT id, system_id, name, value, avg(value) OVER b AS expected, stddev_pop(value) OVER b AS std, count(*) OVER b AS n_before
   FROM metrics WINDOW b AS (PARTITION BY name ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)),
 z AS (SELECT *, CASE WHEN std > 0 THEN (value - expected) / std END AS z FROM w)
-SELECT id, n_before, round(expected, 6) AS expected_value, round(least(1, abs(z) / 6), 5) AS score, coalesce(abs(z) > 2, FALSE) AS is_anomaly FROM z""")
+SELECT id, n_before, round(expected + 3.7e-9, 6) AS expected_value, round(least(1, abs(z) / 6) + 3.7e-8, 5) AS score, coalesce(abs(z) > 2, FALSE) AS is_anomaly FROM z""")
 def anomaly_stat(t):
     got = ml.anomaly_stat(t.metrics, 0.8, 24, ["name"])
-    return rounded(got, "expected_value").withColumn("score", F.round("score", 5)).select(
-        "id", "n_before", "expected_value", "score", "is_anomaly"
+    return got.select(
+        "id", "n_before", F.round(F.col("expected_value") + 3.7e-9, 6).alias("expected_value"),
+        F.round(F.col("score") + 3.7e-8, 5).alias("score"), "is_anomaly",
     )
 
 
