@@ -128,21 +128,13 @@ def alert_episodes(rules: DataFrame, metrics: DataFrame, chunk: str = "hour") ->
         "rule_id", "system_id", "name", "duration_s", "ts", "sample_id", "value",
         alert_condition(F.col("value"), F.col("operator"), F.col("threshold")).alias("breach"),
     )
-    marked = ordered.islands(
-        points, ["rule_id"], ["ts", "sample_id"], ordered.time_chunk("ts", chunk),
-        {"was": F.col("breach")}, F.col("breach") & ~F.coalesce("was", F.lit(False)), "episode",
-    )
-    breach = F.col("breach")
-    return (
-        marked.where(F.col("episode") > 0)
-        .groupBy("rule_id", "system_id", "name", "duration_s", "episode")
-        .agg(
-            F.min(F.when(breach, F.col("ts"))).alias("opened_at"),
-            F.max(F.when(breach, F.col("ts"))).alias("last_breach_at"),
-            F.min(F.when(~breach, F.col("ts"))).alias("resolved_at"),
-            F.max(F.when(breach, F.col("value"))).alias("peak"),
-            F.count_if(breach).alias("n"),
-        )
+    breach, ts = F.col("breach"), F.col("ts")
+    return ordered.island_aggregates(
+        points, ["rule_id", "system_id", "name", "duration_s"], ["ts", "sample_id"], ordered.time_chunk("ts", chunk),
+        {"was": breach}, breach & ~F.coalesce("was", F.lit(False)),
+        opened_at=("min", F.when(breach, ts)), last_breach_at=("max", F.when(breach, ts)),
+        resolved_at=("min", F.when(~breach, ts)), peak=("max", F.when(breach, F.col("value"))),
+        n=("count", F.when(breach, ts)),
     )
 
 
@@ -157,29 +149,29 @@ def alert_sustained(episodes: DataFrame) -> DataFrame:
     return episodes.where(lasted >= F.col("duration_s"))
 
 
-# Severities from worst to least, for picking the worst of a group.
-SEVERITY_RANK = {"critical": 4, "high": 3, "medium": 2, "low": 1}
+# Severities from least to worst.
+SEVERITIES = ("low", "medium", "high", "critical")
 
 
-def worst_severity(severity: str = "severity") -> Column:
-    rank = F.lit(0)
-    for name, level in SEVERITY_RANK.items():
-        rank = F.when(F.col(severity) == name, level).otherwise(rank)
-    return F.max_by(severity, rank)
+def severity_rank(severity: str = "severity") -> Column:
+    """Position of a severity, 1 for the least; 0 when unknown."""
+    return F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col(severity))
 
 
 def incident_rollup(alerts: DataFrame, gap_seconds: int = 1800, chunk: str = "month") -> DataFrame:
     """Alerts of a system that follow each other within the gap form one incident."""
     apart = seconds_between(F.col("before"), F.col("created_at")) > gap_seconds
-    marked = ordered.islands(
+    incidents = ordered.island_aggregates(
         alerts.select("system_id", "id", "severity", "created_at", "resolved_at"),
         ["system_id"], ["created_at", "id"], ordered.time_chunk("created_at", chunk),
-        {"before": F.col("created_at")}, F.col("before").isNull() | apart, "incident",
+        {"before": F.col("created_at")}, F.col("before").isNull() | apart,
+        opened_at=("min", F.col("created_at")), last_end=("max", F.col("resolved_at")),
+        n_open=("count", F.when(F.col("resolved_at").isNull(), 1)), rank=("max", severity_rank()),
+        n_alerts=("count", F.col("id")),
     )
-    return marked.groupBy("system_id", "incident").agg(
-        F.min("created_at").alias("opened_at"),
-        F.when(F.count_if(F.col("resolved_at").isNull()) == 0, F.max("resolved_at")).alias("closed_at"),
-        worst_severity().alias("severity"), F.count(F.lit(1)).alias("n_alerts"),
+    return incidents.select(
+        "system_id", "opened_at", F.when(F.col("n_open") == 0, F.col("last_end")).alias("closed_at"),
+        F.get(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("rank").cast("int") - 1).alias("severity"), "n_alerts",
     )
 
 

@@ -39,15 +39,13 @@ def sessions(df: DataFrame, key: str, gap_seconds: int, ts: str = "ts", tie: str
     ``session_window`` would bring all rows of a key to one task; this does not.
     """
     paused = F.timestamp_diff("MICROSECOND", F.col("__before"), F.col(ts)) >= gap_seconds * 1_000_000
-    marked = ordered.islands(
+    found = ordered.island_aggregates(
         df, [key], [ts, tie], ordered.time_chunk(ts), {"__before": F.col(ts)},
-        F.col("__before").isNull() | paused, "session",
-    )
-    end = F.max(ts) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(gap_seconds).cast("decimal(18,6)"))
-    return marked.groupBy(key, "session").agg(
-        F.min(ts).alias("session_start"), end.alias("session_end"), F.count(F.lit(1)).alias("n"),
-        F.sum("value").alias("total"),
+        F.col("__before").isNull() | paused,
+        session_start=("min", F.col(ts)), last=("max", F.col(ts)), n=("count", F.col(tie)), total=("sum", F.col("value")),
     )
+    gap = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(gap_seconds).cast("decimal(18,6)"))
+    return found.select(key, "session_start", (F.col("last") + gap).alias("session_end"), "n", "total")
 
 
 def sessions_streaming(df: DataFrame, key: str, gap: str, ts: str = "ts") -> DataFrame:

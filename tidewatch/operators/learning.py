@@ -132,24 +132,37 @@ def anomaly_stat(
     """Deviation from the trailing window, excluding the sample itself.
 
     A sample is an anomaly when its z-score exceeds ``4 - 2.5 * sensitivity``.
-    The time axis is sliced so that a long series is spread over many tasks.
+    Values are centred on the mean of their series, so that sums of squares keep
+    their precision; a window whose deviation is below a millionth of the
+    deviation of the series counts as constant.
     """
     if not 0.1 <= sensitivity <= 1.0:
         raise ValueError("sensitivity must be between 0.1 and 1")
-    span = window_hours * 3600
-    cut = ordered.time_halo(metrics, "ts", span).withColumn("__us", F.unix_micros(F.col("ts").cast("timestamp")))
-    back = Window.partitionBy(*keys, "slice").orderBy("__us").rangeBetween(-span * 1_000_000, -1)
-    scored = cut.select(
-        "*", F.avg("value").over(back).alias("expected_value"), F.stddev_pop("value").over(back).alias("__std"),
-        F.count("value").over(back).alias("n_before"),
-    ).where(~F.col("is_halo"))
-    z = F.try_divide(F.col("value") - F.col("expected_value"), F.when(F.col("__std") > 0, F.col("__std")))
-    return scored.withColumn("z", z).withColumns(
+    keys = list(keys)
+    stats = metrics.groupBy(*keys).agg(
+        F.coalesce(F.avg("value"), F.lit(0.0)).alias("__mean"), F.coalesce(F.var_pop("value"), F.lit(0.0)).alias("__var")
+    )
+    x = F.col("value") - F.col("__mean")
+    sums = ordered.trailing_sums(
+        metrics.join(stats, keys), keys, "ts", window_hours * 3600, False,
+        n_before=F.when(F.col("value").isNotNull(), 1).otherwise(0).cast("long"),
+        __sx=F.coalesce(x, F.lit(0.0)), __sxx=F.coalesce(x * x, F.lit(0.0)),
+    )
+    n = F.when(F.col("n_before") > 0, F.col("n_before"))
+    mean = F.col("__sx") / n
+    variance = F.col("__sxx") / n - mean * mean
+    deviation = F.when(variance > F.col("__var") * 1e-12, F.sqrt(variance))
+    return sums.withColumns(
+        {
+            "n_before": F.coalesce("n_before", F.lit(0)), "expected_value": mean + F.col("__mean"),
+            "z": (F.col("value") - F.col("__mean") - mean) / deviation,
+        }
+    ).withColumns(
         {
             "score": F.least(F.lit(1.0), F.abs(F.col("z")) / 6),
             "is_anomaly": F.coalesce(F.abs(F.col("z")) > 4 - 2.5 * sensitivity, F.lit(False)),
         }
-    ).drop("slice", "is_halo", "__us", "__std")
+    ).drop("__sx", "__sxx", "__mean", "__var")
 
 
 def forecast_linear(metrics: DataFrame, as_of: Column, horizon: int = 12, keys: Sequence[str] = ("name",)) -> DataFrame:

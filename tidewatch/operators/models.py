@@ -81,10 +81,20 @@ def rolling_model_performance(predictions: DataFrame, window: int = 100, block:
     """Mean error, mean confidence and accuracy over the last ``window`` predictions of a model."""
     df = predictions.select("model_id", "seq", F.abs(F.col("actual") - F.col("predicted")).alias("__error"), "confidence")
     cut = ordered.blocks(df, ["model_id"], ["seq"], ordered.number_chunk("seq", block), window - 1, block)
-    last = Window.partitionBy("model_id", "block").orderBy("row_no").rowsBetween(-(window - 1), 0)
-    out = cut.select(
-        "model_id", "seq", "is_halo", F.avg("__error").over(last).alias("mae"),
-        F.avg("confidence").over(last).alias("avg_confidence"), F.count(F.lit(1)).over(last).alias("n"),
+    in_block = Window.partitionBy("model_id", "block").orderBy("row_no")
+    upto = in_block.rowsBetween(Window.unboundedPreceding, 0)
+    summed = cut.select(
+        "model_id", "seq", "row_no", "is_halo", "block",
+        F.sum("__error").over(upto).alias("__e"), F.sum("confidence").over(upto).alias("__c"),
+    )
+    n = F.least(F.col("row_no"), F.lit(window))
+
+    def mean(total: str) -> Column:
+        # a difference of running sums: linear, where a sliding frame adds up every window anew
+        return (F.col(total) - F.coalesce(F.lag(total, window).over(in_block), F.lit(0.0))) / n
+
+    out = summed.select(
+        "model_id", "seq", "is_halo", mean("__e").alias("mae"), mean("__c").alias("avg_confidence"), n.alias("n")
     )
     return out.where(~F.col("is_halo")).drop("is_halo").withColumn("accuracy", 1 - F.col("mae"))
 

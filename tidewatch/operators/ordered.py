@@ -10,8 +10,9 @@ chunk:
    so it combines before the shuffle.
 2. A window over the *summaries* gives each chunk what came before it.  Its size
    is the number of chunks (time span / chunk width), not the number of rows.
-3. The carry is joined back on ``(key, chunk)``, which is how the rows are
-   already partitioned, so the rows are shuffled once.
+3. The carry enters the chunk as one extra row in front of its rows.  One window
+   over ``(key, chunk)`` then continues from it.  The rows are shuffled and
+   sorted once, and nothing is joined.
 
 ``order`` is a list of column names, ascending, and must be a total order within
 a key.  ``chunk`` must not decrease along the order.
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 _CHUNK = "__chunk"
+_CARRY = "__carry"
 
 
 @dataclass(frozen=True)
@@ -112,75 +114,68 @@ def _carry(scan: Scan, summary: Column, window) -> Column:
     return F.sum(summary).over(before)
 
 
-def _local(scan: Scan, window) -> Column:
-    upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _input(scan: Scan) -> Column:
+    """What a row brings to the window; the carry row brings the carry."""
     if scan.kind == "previous":
-        return F.lag(F.struct(scan.value.alias("v"))).over(window)
-    if scan.kind == "last":
-        return F.last(scan.value, ignorenulls=True).over(upto)
-    if scan.kind == "max":
-        return F.max(scan.value).over(upto)
-    if scan.kind == "max_before":
-        return F.max(scan.value).over(window.rowsBetween(Window.unboundedPreceding, -1))
+        return F.struct(scan.value.alias("v"))
     if scan.kind == "row_number":
-        return F.row_number().over(window).cast("long")
+        return F.lit(1).cast("long")
     if scan.kind == "total_sum":
         return F.lit(None)
-    return F.sum(scan.value).over(upto)
+    return scan.value
 
 
-def _combine(scan: Scan, local: Column, carry: Column) -> Column:
+def _output(scan: Scan, value: Column, window) -> Column:
+    upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if scan.kind == "previous":
-        return F.coalesce(local, carry)["v"]
+        return F.lag(value).over(window)["v"]
     if scan.kind == "last":
-        return F.coalesce(local, carry)
-    if scan.kind in ("max", "max_before"):
-        return F.greatest(local, carry)
+        return F.last(value, ignorenulls=True).over(upto)
+    if scan.kind == "max":
+        return F.max(value).over(upto)
+    if scan.kind == "max_before":
+        return F.max(value).over(window.rowsBetween(Window.unboundedPreceding, -1))
     if scan.kind == "total_sum":
-        return carry
-    if scan.kind == "row_number":
-        return local + F.coalesce(carry, F.lit(0))
-    # a sum with no non-null value on either side stays null
-    return F.coalesce(local + carry, local, carry)
+        return F.first(value, ignorenulls=True).over(upto)
+    return F.sum(value).over(upto)
 
 
-def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    chunk: Column,
-    **scans: Scan,
-) -> DataFrame:
-    """Add one column per scan to ``df``."""
-    keys = list(keys)
+def _with_carry(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, scans: dict[str, Scan]
+) -> tuple[DataFrame, object]:
+    """Rows with their chunk and scan inputs, carry rows in front, and the window."""
     df = df.withColumn(_CHUNK, chunk)
     order_struct = F.struct(*[F.col(c) for c in order])
-
     summaries = df.groupBy(*keys, _CHUNK).agg(
         *[_summary(s, order_struct).alias(f"__s_{n}") for n, s in scans.items()]
     )
     over_chunks = Window.partitionBy(*keys).orderBy(_CHUNK)
     carries = summaries.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys],
-        F.col(_CHUNK).alias("__k_chunk"),
-        *[_carry(s, F.col(f"__s_{n}"), over_chunks).alias(f"__c_{n}") for n, s in scans.items()],
+        *keys, _CHUNK, F.lit(True).alias(_CARRY),
+        *[_carry(s, F.col(f"__s_{n}"), over_chunks).alias(f"__i_{n}") for n, s in scans.items()],
     )
-
-    in_chunk = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
     rows = df.select(
-        "*", *[_local(s, in_chunk).alias(f"__l_{n}") for n, s in scans.items()]
+        "*", F.lit(False).alias(_CARRY), *[_input(s).alias(f"__i_{n}") for n, s in scans.items()]
     )
-    same = F.col(_CHUNK).eqNullSafe(F.col("__k_chunk"))
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    joined = rows.join(carries, same, "left")
-    return joined.select(
-        *[c for c in df.columns if c != _CHUNK and c not in scans],
-        *[
-            _combine(s, F.col(f"__l_{n}"), F.col(f"__c_{n}")).alias(n)
-            for n, s in scans.items()
-        ],
+    window = Window.partitionBy(*keys, _CHUNK).orderBy(F.desc(_CARRY), *order)
+    return rows.unionByName(carries, allowMissingColumns=True), window
+
+
+def running(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    chunk: Column,
+    **scans: Scan,
+) -> DataFrame:
+    """Add one column per scan to ``df``."""
+    keys = list(keys)
+    rows, window = _with_carry(df, keys, order, chunk, scans)
+    kept = [c for c in df.columns if c not in scans]
+    scanned = rows.select(
+        *kept, _CARRY, *[_output(s, F.col(f"__i_{n}"), window).alias(n) for n, s in scans.items()]
     )
+    return scanned.where(~F.col(_CARRY)).drop(_CARRY)
 
 
 def islands(
@@ -195,7 +190,8 @@ def islands(
     """Number the islands of each key: a new one begins where ``starts`` holds.
 
     ``prev`` names columns holding values of the preceding row; ``starts`` may
-    use them.
+    use them.  Where only aggregates of the islands are wanted,
+    :func:`island_aggregates` needs one shuffle of the rows instead of two.
     """
     with_prev = running(df, keys, order, chunk, **{n: previous(c) for n, c in prev.items()})
     flagged = with_prev.withColumn("__start", F.when(starts, 1).otherwise(0).cast("long"))
@@ -203,6 +199,56 @@ def islands(
     return out.drop("__start")
 
 
+_MERGE = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.sum}
+
+
+def island_aggregates(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    chunk: Column,
+    prev: dict[str, Column],
+    starts: Column,
+    **aggregates: tuple[str, Column],
+) -> DataFrame:
+    """Aggregates of the islands of each key (see :func:`islands`), one row each.
+
+    ``aggregates`` are ``(function, column)`` with the functions min, max, sum and
+    count (of non-null values).  Inside a chunk islands get local numbers and are
+    aggregated where they lie.  Only the piece at the front of a chunk can belong
+    to an island begun earlier; it learns which one from the chunk summaries.
+    Rows before the first start of a key belong to no island.
+    """
+    keys = list(keys)
+    scans = {n: previous(c) for n, c in prev.items()}
+    rows, window = _with_carry(df, keys, order, chunk, scans)
+    seen = rows.select(
+        *df.columns, _CHUNK, _CARRY,
+        *[_output(s, F.col(f"__i_{n}"), window).alias(n) for n, s in scans.items()],
+    )
+    begins = F.when(F.col(_CARRY), 0).when(starts, 1).otherwise(0)
+    upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = seen.withColumn("__start", begins).withColumn(
+        "__local", F.sum("__start").over(upto)
+    ).where(~F.col(_CARRY))
+    pieces = numbered.groupBy(*keys, _CHUNK, "__local").agg(
+        *[(F.count(c) if f == "count" else _MERGE[f](c)).alias(n) for n, (f, c) in aggregates.items()]
+    )
+    # Only the first and the last piece of a chunk can touch another chunk.  They
+    # meet per key (two per chunk); the pieces between are spread by a hash and
+    # only pass through the window.
+    chunk_pieces = Window.partitionBy(*keys, _CHUNK)
+    edge = (F.col("__local") == 0) | (F.col("__local") == F.max("__local").over(chunk_pieces))
+    spread = F.pmod(F.xxhash64(_CHUNK, "__local"), F.lit(4096)) + 1
+    met = pieces.withColumn("__salt", F.when(edge, F.lit(0)).otherwise(spread))
+    begun = F.when(F.col("__local") > 0, F.struct(F.col(_CHUNK).alias("c"), F.col("__local").alias("n")))
+    so_far = Window.partitionBy(*keys, "__salt").orderBy(_CHUNK, "__local").rowsBetween(Window.unboundedPreceding, 0)
+    resolved = met.withColumn("__from", F.last(begun, ignorenulls=True).over(so_far))
+    return resolved.where(F.col("__from").isNotNull()).groupBy(*keys, "__from").agg(
+        *[_MERGE[f](n).alias(n) for n, (f, _) in aggregates.items()]
+    ).drop("__from")
+
+
 def blocks(
     df: DataFrame,
     keys: Sequence[str],
@@ -249,6 +295,32 @@ def time_halo(df: DataFrame, ts: str, span_seconds: int) -> DataFrame:
     )
 
 
+def trailing_sums(
+    df: DataFrame, keys: Sequence[str], ts: str, span_seconds: int, include_now: bool, **sums: Column
+) -> DataFrame:
+    """Sums over the rows of a key in ``[ts - span, ts]``, or ``[ts - span, ts)``.
+
+    A sliding range frame adds up its rows again for every row.  Here each row
+    enters a running sum at its time and leaves it (negated) when the span is
+    over, so the work is linear.  The time axis is cut into slices as long as the
+    span: a row is summed in its own slice and enters and leaves in the next.
+    """
+    span = span_seconds * 1_000_000
+    inputs = df.select("*", *[c.alias(f"__v_{n}") for n, c in sums.items()])
+    cut = time_halo(inputs, ts, span_seconds).withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp")))
+    leaves = F.array(F.lit(False), F.lit(True))
+    spread = cut.withColumn("__leaves", F.explode(F.when(F.col("is_halo"), leaves).otherwise(F.array(F.lit(False)))))
+    at = F.col("__us") + F.when(F.col("__leaves"), F.lit(span + int(include_now))).otherwise(F.lit(0))
+    sign = F.when(F.col("__leaves"), -1).otherwise(1)
+    upto = Window.partitionBy(*keys, "slice").orderBy("__at").rangeBetween(
+        Window.unboundedPreceding, 0 if include_now else -1
+    )
+    out = spread.withColumn("__at", at).select(
+        *df.columns, "is_halo", *[F.sum(F.col(f"__v_{n}") * sign).over(upto).alias(n) for n in sums]
+    )
+    return out.where(~F.col("is_halo")).drop("is_halo")
+
+
 def exact_percentiles(
     df: DataFrame,
     keys: Sequence[str],

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from tidewatch.functions.conditions import reasons
 from tidewatch.operators import ordered
@@ -36,16 +35,11 @@ def safety_gate(actions: DataFrame, latest: DataFrame, restricted: Sequence[str]
 def safety_hourly_cap(actions: DataFrame, cap: int = 50) -> DataFrame:
     """Actions in the hour up to each action, over all systems, and whether that is too many.
 
-    A window without a key would run in one task.  The time axis is cut into
-    hours and each hour also sees a copy of the hour before.
+    A window without a key would run in one task; the sums are taken over slices
+    of an hour.
     """
-    hour = 3600
-    cut = ordered.time_halo(actions, "requested_at", hour).withColumn(
-        "__us", F.unix_micros(F.col("requested_at").cast("timestamp"))
-    )
-    back = Window.partitionBy("slice").orderBy("__us").rangeBetween(-hour * 1_000_000, 0)
-    out = cut.withColumn("last_hour", F.count(F.lit(1)).over(back)).where(~F.col("is_halo"))
-    return out.withColumn("over_cap", F.col("last_hour") > cap).drop("slice", "is_halo", "__us")
+    counted = ordered.trailing_sums(actions, [], "requested_at", 3600, True, last_hour=F.lit(1).cast("long"))
+    return counted.withColumn("over_cap", F.col("last_hour") > cap)
 
 
 def approval_expiry(actions: DataFrame, as_of: Column, timeout_s: int = 1800) -> DataFrame:

@@ -116,25 +116,25 @@ def _episodes(t):
 
 
 @query("alert_episodes", f"""
-WITH e AS ({EPISODES}) SELECT rule_id, episode, opened_at, last_breach_at, resolved_at, round(peak, 6) AS peak, n FROM e""")
+WITH e AS ({EPISODES}) SELECT rule_id, opened_at, last_breach_at, resolved_at, round(peak, 6) AS peak, n FROM e""")
 def alert_episodes(t):
     return rounded(_episodes(t), "peak").select(
-        "rule_id", "episode", "opened_at", "last_breach_at", "resolved_at", "peak", "n"
+        "rule_id", "opened_at", "last_breach_at", "resolved_at", "peak", "n"
     )
 
 
 @query("alert_sustained", f"""
-WITH e AS ({EPISODES}) SELECT rule_id, episode, opened_at, last_breach_at FROM e
+WITH e AS ({EPISODES}) SELECT rule_id, opened_at, last_breach_at FROM e
 WHERE epoch_us(last_breach_at) - epoch_us(opened_at) >= duration_s * 1000000::BIGINT""")
 def alert_sustained(t):
-    return al.alert_sustained(_episodes(t)).select("rule_id", "episode", "opened_at", "last_breach_at")
+    return al.alert_sustained(_episodes(t)).select("rule_id", "opened_at", "last_breach_at")
 
 
 @query("incident_rollup", """
 WITH a AS (SELECT *, lag(created_at) OVER (PARTITION BY system_id ORDER BY created_at, id) AS before FROM alerts),
 b AS (SELECT *, sum(CASE WHEN before IS NULL OR epoch(created_at) - epoch(before) > 604800 THEN 1 ELSE 0 END)
   OVER (PARTITION BY system_id ORDER BY created_at, id)::BIGINT AS incident FROM a)
-SELECT system_id, incident, min(created_at) AS opened_at,
+SELECT system_id, min(created_at) AS opened_at,
   CASE WHEN count(*) FILTER (resolved_at IS NULL) = 0 THEN max(resolved_at) END AS closed_at,
   arg_max(severity, CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS severity,
   count(*) AS n_alerts FROM b GROUP BY system_id, incident""")

@@ -39,7 +39,7 @@ def sliding_metrics(t):
 WITH l AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
 s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 6 HOUR THEN 1 ELSE 0 END)
   OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session FROM l)
-SELECT user_id, session, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n, round(sum(value), 4) AS total
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n, round(sum(value), 4) AS total
 FROM s GROUP BY user_id, session""")
 def session_events(t):
     return ev.sessions(t.events, "user_id", 6 * 3600).withColumn("total", F.round("total", 4))
