@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,11 +44,11 @@ def test_sliding_log(frame, log):
 def test_token_bucket(frame, log):
     state, want = {}, {}
     for i, client, _, ts, _ in sorted(log, key=lambda r: (r[3], r[0])):
-        tokens, before = state.get(client, (10.0, ts))
-        tokens = min(10.0, tokens + (ts - before).total_seconds() * 2.0)
-        want[i] = tokens >= 1 - 1e-9
+        tokens, before = state.get(client, (Fraction(5), ts))
+        tokens = min(Fraction(5), tokens + Fraction((ts - before) // dt.timedelta(microseconds=1), 2_000_000))
+        want[i] = tokens >= 1
         state[client] = (tokens - want[i], ts)
-    got = {r["request_id"]: r["accepted"] for r in sequential.rate_limit_bucket(frame, 120, 10).collect()}
+    got = {r["request_id"]: r["accepted"] for r in sequential.rate_limit_bucket(frame, 30, 5).collect()}
     assert got == want and 0 < sum(want.values()) < len(want)
 
 

@@ -85,16 +85,21 @@ def sliding_log(limit, window_us: int) -> Callable[[int], bool]:
     return decider
 
 
-def token_bucket(rate_per_second: float, burst: int) -> Callable[[int], bool]:
-    """A bucket that starts full, refills steadily and pays one token per request."""
-    state = [float(burst), None]
+def token_bucket(per_minute: int, burst: int) -> Callable[[int], bool]:
+    """A bucket that starts full, refills steadily and pays one token per request.
+
+    Counted in units of which a token has sixty million, so that a microsecond
+    adds ``per_minute`` units and nothing is rounded.
+    """
+    token = 60_000_000
+    state = [burst * token, None]
 
     def decider(us: int) -> bool:
-        tokens, before = state
+        level, before = state
         if before is not None:
-            tokens = min(float(burst), tokens + (us - before) * rate_per_second / 1e6)
-        taken = tokens >= 1.0
-        state[0], state[1] = (tokens - 1.0 if taken else tokens), us
+            level = min(burst * token, level + (us - before) * per_minute)
+        taken = level >= token
+        state[0], state[1] = (level - token if taken else level), us
         return taken
 
     return decider
@@ -113,11 +118,11 @@ def rate_limit_sliding(
 
 def rate_limit_bucket(requests: DataFrame, per_minute: int, burst: int) -> DataFrame:
     """Replay a request log through a token bucket per client."""
-    rate = per_minute / 60.0
     # after this long without requests the bucket is full again
+    refill_seconds = burst * 60.0 / per_minute
     return decide_in_order(
-        requests, ["client"], "ts", "request_id", burst / rate,
-        lambda _: token_bucket(rate, burst),
+        requests, ["client"], "ts", "request_id", refill_seconds,
+        lambda _: token_bucket(per_minute, burst),
     )
 
 

@@ -130,10 +130,10 @@ def rate_limit_sliding(t):
 
 @query("rate_limit_bucket", f"""
 WITH RECURSIVE r AS ({_REPLAY}), o AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY client ORDER BY ts, request_id) AS rn FROM r),
-w AS (SELECT request_id, client, rn, us, TRUE AS accepted, 9.0::DOUBLE AS tokens FROM o WHERE rn = 1
-  UNION ALL SELECT o.request_id, o.client, o.rn, o.us, least(10.0::DOUBLE, w.tokens + (o.us - w.us) * 1.0::DOUBLE / 1e6) >= 1.0,
-    least(10.0::DOUBLE, w.tokens + (o.us - w.us) * 1.0::DOUBLE / 1e6)
-      - CASE WHEN least(10.0::DOUBLE, w.tokens + (o.us - w.us) * 1.0::DOUBLE / 1e6) >= 1.0 THEN 1 ELSE 0 END
+w AS (SELECT request_id, client, rn, us, TRUE AS accepted, 540000000::BIGINT AS tokens FROM o WHERE rn = 1
+  UNION ALL SELECT o.request_id, o.client, o.rn, o.us, least(600000000::BIGINT, w.tokens + (o.us - w.us) * 60) >= 60000000,
+    least(600000000::BIGINT, w.tokens + (o.us - w.us) * 60)
+      - CASE WHEN least(600000000::BIGINT, w.tokens + (o.us - w.us) * 60) >= 60000000 THEN 60000000 ELSE 0 END
   FROM w JOIN o ON o.client = w.client AND o.rn = w.rn + 1)
 SELECT request_id, client, accepted FROM w""")
 def rate_limit_bucket(t):

@@ -195,4 +195,4 @@ def alert_stream(t):
     state, changes = jobs.BoundedState(t.spark, f"{out}/open"), jobs.BatchLog(t.spark, f"{out}/changes")
     rules = selection.enabled_rules(t.rules, t.systems)
     jobs.run_batches(stream.metrics, jobs.alert_stream(state, changes, rules, as_of()), f"{out}/checkpoint")
-    return state.newest().select("rule_id", "system_id", "metric_name", "status")
+    return jobs.standing_alerts(changes).select("rule_id", "system_id", "metric_name", "status")

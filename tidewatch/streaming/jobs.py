@@ -124,10 +124,6 @@ class BoundedState:
     def write(self, df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v={batch}")
 
-    def newest(self) -> DataFrame:
-        every = self.spark.read.parquet(self.path)
-        return every.where(F.col("v") == every.select(F.max("v")).scalar()).drop("v")
-
 
 def collect_stream(table: BatchLog, body: str = "body") -> Callable[[DataFrame, int], None]:
     """Micro-batch step: points of JSON envelopes appended to the metric log.
@@ -179,6 +175,15 @@ def alert_stream(
     return step
 
 
+def standing_alerts(changes: BatchLog) -> DataFrame:
+    """The open alerts the log of changes stands for."""
+    last = F.max_by("status", F.struct("batch", (F.col("status") == "resolved").alias("end")))
+    return (
+        changes.read().groupBy("id", "rule_id", "system_id", "metric_name", "severity")
+        .agg(last.alias("status"), F.min("created_at").alias("created_at")).where(F.col("status") == "active")
+    )
+
+
 # --- state with a time to live ----------------------------------------------
 
 
