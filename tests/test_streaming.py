@@ -29,7 +29,7 @@ def folder(spark, tmp_path):
 
 def stream(spark, folder, per_trigger=1):
     schema = spark.read.parquet(folder).schema
-    return jobs.read_files(spark, folder, "*.parquet", schema, per_trigger)
+    return jobs.read_files(spark, folder, schema, per_trigger)
 
 
 def test_closed_windows_equal_batch(spark, folder, tmp_path):

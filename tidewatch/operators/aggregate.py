@@ -11,6 +11,7 @@ from tidewatch.operators import ordered
 from tidewatch.operators.selection import span
 
 _ON_SYSTEM = "system_id"
+_FLEET = ("cpu_usage", "memory_usage", "response_time", "request_count", "error_rate")
 
 
 def aggregated_metrics(metrics: DataFrame, systems: DataFrame, as_of: Column, range_text: str) -> DataFrame:
@@ -160,14 +161,22 @@ def models_named(model_metrics: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def fleet_summary(metrics: DataFrame) -> DataFrame:
-    def only(name: str) -> Column:
-        return F.when(F.col("name") == name, F.col("value"))
-
-    return metrics.agg(
-        F.avg(only("cpu_usage")).alias("avg_cpu_usage"), F.avg(only("memory_usage")).alias("avg_memory_usage"),
-        F.avg(only("response_time")).alias("avg_response_time"),
-        F.sum(only("request_count")).alias("total_requests"), F.avg(only("error_rate")).alias("error_rate"),
-        F.countDistinct(_ON_SYSTEM).alias("systems"),
+    """Means over the fleet, total requests and number of systems.
+
+    Sums are taken per system and metric first, which also counts the systems
+    without a distinct aggregate.
+    """
+    per_series = metrics.groupBy(_ON_SYSTEM, "name").agg(
+        F.sum("value").alias("total"), F.count("value").alias("n")
+    )
+    per_system = per_series.groupBy(_ON_SYSTEM).agg(
+        *[F.sum(F.when(F.col("name") == m, F.col(c))).alias(f"{m}_{c}") for m in _FLEET for c in ("total", "n")]
+    )
+    mean = {m: F.sum(f"{m}_total") / F.sum(f"{m}_n") for m in _FLEET}
+    return per_system.agg(
+        mean["cpu_usage"].alias("avg_cpu_usage"), mean["memory_usage"].alias("avg_memory_usage"),
+        mean["response_time"].alias("avg_response_time"), F.sum("request_count_total").alias("total_requests"),
+        mean["error_rate"].alias("error_rate"), F.count(F.lit(1)).alias("systems"),
     )
 
 

@@ -134,13 +134,14 @@ def data_quality(metrics: DataFrame, systems: DataFrame, as_of: Column, hours: i
 
     Complete means a sample in every hour of the window.
     """
-    seen = F.countDistinct(F.date_trunc("hour", F.col("ts")))
-    per_system = (
+    hourly = (
         metrics.where((F.col("ts") >= as_of - F.expr(f"INTERVAL {hours} HOURS")) & (F.col("ts") < as_of))
-        .groupBy("system_id").agg(
-            seen.alias("present"), (F.count_if(_in_range()) / F.count(F.lit(1))).alias("validity"),
-            (seconds_between(F.max("ts"), as_of) / 3600).alias("age_h"),
-        )
+        .groupBy("system_id", F.date_trunc("hour", F.col("ts")).alias("hour"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(_in_range()).alias("valid"), F.max("ts").alias("newest"))
+    )
+    per_system = hourly.groupBy("system_id").agg(
+        F.count(F.lit(1)).alias("present"), (F.sum("valid") / F.sum("n")).alias("validity"),
+        (seconds_between(F.max("newest"), as_of) / 3600).alias("age_h"),
     )
     joined = systems.select(F.col("id").alias("system_id")).join(per_system, "system_id", "left")
     timeliness = F.greatest(F.lit(0.0), 1 - F.col("age_h") / hours)

@@ -38,19 +38,23 @@ def instant_grid(
 ) -> DataFrame:
     """The instant vector at every multiple of ``step_seconds`` since the epoch.
 
-    A sample can only answer the grid points in the ``lookback_seconds`` that
-    follow it.  Each sample is sent to those few points and the newest one wins
-    by aggregation, so no range join is needed.
+    Between two grid points only the newest sample of a series can answer, so the
+    samples are reduced to that first.  What is left is sent to the few points it
+    can answer and the newest wins, by aggregation: no range join is needed.
     """
     step, look = step_seconds * 1_000_000, lookback_seconds * 1_000_000
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     first = F.ceil(micros / F.lit(step)).cast("long")
-    last = F.ceil((micros + F.lit(look)) / F.lit(step)).cast("long") - 1
-    points = F.when(last >= first, F.sequence(first, last))
-    spread = metrics.select("system_id", "name", "value", "ts", "id", F.explode(points).alias("g"))
-    at = F.timestamp_micros(F.col("g") * F.lit(step)).cast("timestamp_ntz")
+    newest = (
+        metrics.groupBy("system_id", "name", first.alias("first"))
+        .agg(F.max_by(F.struct("value", "ts"), F.struct("ts", "id")).alias("m"))
+        .select("system_id", "name", "first", "m.value", F.unix_micros(F.col("m.ts").cast("timestamp")).alias("us"))
+    )
+    last = F.ceil((F.col("us") + F.lit(look)) / F.lit(step)).cast("long") - 1
+    points = F.when(last >= F.col("first"), F.sequence(F.col("first"), last))
+    spread = newest.select("system_id", "name", "value", "us", F.explode(points).alias("g"))
+    eval_time = F.timestamp_micros(F.col("g") * F.lit(step)).cast("timestamp_ntz")
     return (
-        spread.groupBy("system_id", "name", "g")
-        .agg(F.max_by("value", F.struct("ts", "id")).alias("value"))
-        .select("system_id", "name", at.alias("eval_time"), "value")
+        spread.groupBy("system_id", "name", "g").agg(F.max_by("value", "us").alias("value"))
+        .select("system_id", "name", eval_time.alias("eval_time"), "value")
     )

@@ -62,7 +62,8 @@ def select_optimal_model(requests: DataFrame, models: DataFrame, as_of: Column)
         F.min_by("model_id", "model_no").alias("own")
     )
     return (
-        requests.join(own, "system_id", "left").join(general, "prediction_type", "left")
+        # one row per prediction type, of which there are six
+        requests.join(own, "system_id", "left").join(F.broadcast(general), "prediction_type", "left")
         .withColumns({"model_id": F.coalesce("own", "best"), "system_specific": F.col("own").isNotNull()})
         .drop("own", "best")
     )

@@ -66,10 +66,13 @@ def remediation_history(actions: DataFrame, start: Column, end: Column) -> DataF
 
 
 def audit_report(actions: DataFrame, start: Column, end: Column) -> DataFrame:
-    """Counts of action and result in a time range, with the people and systems concerned."""
-    return actions.where(F.col("requested_at").between(start, end)).groupBy("action_type", "status").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("system_id").alias("systems"),
-        F.min("requested_at").alias("first_at"), F.max("requested_at").alias("last_at"),
+    """Counts of action and result in a time range, and the number of systems concerned."""
+    per_system = actions.where(F.col("requested_at").between(start, end)).groupBy(
+        "action_type", "status", "system_id"
+    ).agg(F.count(F.lit(1)).alias("n"), F.min("requested_at").alias("first_at"), F.max("requested_at").alias("last_at"))
+    return per_system.groupBy("action_type", "status").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("systems"), F.min("first_at").alias("first_at"),
+        F.max("last_at").alias("last_at"),
     )
 
 

@@ -127,7 +127,8 @@ class StreamTables(Tables):
     @property
     def events(self):
         schema = self.spark.read.parquet(f"{self.sf_dir}/events.parquet").schema
-        return jobs.read_files(self.spark, self.sf_dir, "events.parquet", schema)
+        # a pattern, because the table may be one file or a folder of files
+        return jobs.read_files(self.spark, f"{self.sf_dir}/events.parque[t]", schema)
 
 
 def _streamed(t, name, df):

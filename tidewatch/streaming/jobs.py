@@ -20,12 +20,9 @@ from tidewatch.operators.latest import latest_metrics
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def read_files(spark: SparkSession, folder: str, file_name: str, schema, files_per_trigger: int = 100) -> DataFrame:
-    """Stream parquet files from a folder."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", file_name)
-        .option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
-    )
+def read_files(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
+    """Stream parquet files; ``path`` is a folder or a pattern."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
 def event_time(df: DataFrame, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
