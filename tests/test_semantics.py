@@ -246,6 +246,17 @@ def test_range_rules(spark):
         selection.prediction_history(df, limit=1001)
 
 
+def test_sql_text(spark):
+    df = metrics(spark, ("s", "a", 1, 1), ("s", "a", 2, 3))
+    assert one(selection.sql_query({"metrics": df}, "SELECT avg(value) AS m FROM {metrics}"))["m"] == 2
+
+
+def test_failed_collectors_are_left_out(spark):
+    df = metrics(spark, ("s", "a", 1, 1))
+    got = store.collect_union({"x": df, "y": None, "z": df}, enabled=["x", "y"])
+    assert [r["source"] for r in got.collect()] == ["x"]
+
+
 def test_list_without_system_lists_all(spark):
     df = spark.createDataFrame([("a", "s", AT), ("b", "t", AT)], "id string, system_id string, created_at timestamp_ntz")
     assert selection.list_alerts(df).count() == 2

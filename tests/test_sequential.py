@@ -52,14 +52,31 @@ def test_token_bucket(frame, log):
     assert got == want and 0 < sum(want.values()) < len(want)
 
 
-def test_keep_spaced(frame, log):
+@pytest.mark.parametrize("seconds,chunk", [(10, None), (10, 15), (10, 40), (3, 100), (60, 61), (400, 100)])
+def test_keep_spaced(frame, log, seconds, chunk):
+    """Chunks longer and shorter than the spacing."""
     last, want = {}, {}
     for i, client, _, ts, _ in sorted(log, key=lambda r: (r[3], r[0])):
-        want[i] = client not in last or ts - last[client] >= dt.timedelta(seconds=10)
+        want[i] = client not in last or ts - last[client] >= dt.timedelta(seconds=seconds)
         if want[i]:
             last[client] = ts
-    got = {r["request_id"]: r["kept"] for r in sequential.keep_spaced(frame, ["client"], "ts", "request_id", 10).collect()}
-    assert got == want
+    df = sequential.keep_spaced(frame, ["client"], "ts", "request_id", seconds, chunk_seconds=chunk)
+    got = {r["request_id"]: r["kept"] for r in df.collect()}
+    assert got == want and 0 < sum(want.values()) < len(want)
+
+
+def test_keep_spaced_with_null_keys(spark):
+    rows = [(1, None, "a", START), (2, "a", None, START), (3, None, "a", START)]
+    df = spark.createDataFrame(rows, "id long, x string, y string, ts timestamp_ntz")
+    got = sequential.keep_spaced(df, ["x", "y"], "ts", "id", 60).where("kept").collect()
+    assert sorted(r["id"] for r in got) == [1, 2]
+
+
+def test_wide_integers_survive(spark):
+    big = 2**62 + 1
+    df = spark.createDataFrame([(big, 1, START), (big + 2, None, START)], "id long, n long, ts timestamp_ntz")
+    got = sequential.keep_spaced(df, ["n"], "ts", "id", 60).collect()
+    assert {(r["id"], r["n"]) for r in got} == {(big, 1), (big + 2, None)}
 
 
 def test_segments_split_the_hot_client(frame):

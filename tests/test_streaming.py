@@ -81,6 +81,27 @@ def test_alerts_open_and_resolve(spark, tmp_path):
     assert jobs.standing_alerts(changes).count() == 1 and changes.read().count() == 3
 
 
+def test_routes(spark, tmp_path):
+    rows = [(1, "metrics", '{"k": 1}'), (2, "bogus", '{"k": 1}'), (3, "logs", "{bad")]
+    spark.createDataFrame(rows, "id long, topic string, body string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    table = jobs.BatchLog(spark, str(tmp_path / "out"))
+    jobs.run_batches(stream(spark, str(tmp_path / "in")), jobs.route_stream(table), str(tmp_path / "cp"))
+    assert {(r["id"], r["route"]) for r in table.read().collect()} == {(1, "metrics"), (2, "dead-letter"), (3, "dead-letter")}
+
+
+def test_closed_sessions_equal_batch(spark, tmp_path):
+    minutes = [0, 5, 50, 52, 54, 200, 400]
+    rows = [(i, 7, START + dt.timedelta(minutes=m), 1.0) for i, m in enumerate(minutes)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, value double")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    live = events.sessions_streaming(jobs.event_time(stream(spark, str(tmp_path / "in"))), "user_id", "30 minutes")
+    jobs.run_to_files(live, str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = sorted((r["session_start"], r["session_end"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    batch = events.sessions(df, "user_id", 1800).collect()
+    want = sorted((r["session_start"], r["session_end"], r["n"]) for r in batch)
+    assert got == want[:-1] and len(want) == 4
+
+
 def test_dedup_within_watermark(spark, tmp_path):
     rows = [(k, START + dt.timedelta(minutes=m)) for k, m in [("a", 0), ("a", 1), ("b", 2)]]
     spark.createDataFrame(rows, "k string, ts timestamp_ntz").coalesce(1).write.parquet(str(tmp_path / "in"))

@@ -152,6 +152,22 @@ def data_quality(metrics: DataFrame, systems: DataFrame, as_of: Column, hours: i
     )
 
 
+def missing_points(metrics: DataFrame, systems: DataFrame, as_of: Column, hours: int = 168) -> DataFrame:
+    """Hours of the window in which a system sent nothing.
+
+    The expected grid is made per system by a sequence; the samples are reduced
+    to one row per system and hour before they are compared with it.
+    """
+    start = as_of - F.expr(f"INTERVAL {hours} HOURS")
+    present = (
+        metrics.where((F.col("ts") >= start) & (F.col("ts") < as_of))
+        .select("system_id", F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("hour")).distinct()
+    )
+    grid = F.sequence(start, as_of - F.expr("INTERVAL 1 HOUR"), F.expr("INTERVAL 1 HOUR"))
+    expected = systems.select(F.col("id").alias("system_id"), F.explode(grid).alias("hour"))
+    return expected.join(present, ["system_id", "hour"], "left_anti")
+
+
 def data_quality_report(metrics: DataFrame, as_of: Column) -> DataFrame:
     """Null, duplicate, out-of-range and future samples per metric."""
     per_key = metrics.groupBy("name", "system_id", "ts").agg(

@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -260,6 +261,14 @@ def train_random_forest(train: DataFrame, trees: int = 100, depth: int = 10, see
     return forest.fit(assemble(train))
 
 
+def forest_importance(model, train: DataFrame, columns: Sequence[str] = FEATURES) -> DataFrame:
+    """Importances of a fitted forest, one row per feature."""
+    weights = [float(w) for w in model.featureImportances.toArray()]
+    ranked = sorted(zip(columns, weights), key=lambda c: (-c[1], c[0]))
+    rows = [(name, weight, rank) for rank, (name, weight) in enumerate(ranked, 1)]
+    return train.sparkSession.createDataFrame(rows, "feature_name string, importance double, rank int")
+
+
 def retrain_all(train: DataFrame, trainers: dict[str, object]) -> DataFrame:
     """Fit each model; a row per model with the outcome and its training accuracy.
 
@@ -387,15 +396,15 @@ def isolation_score(
     ]
     scale = _average_path(max(size for size, _ in forest)) or 1.0
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch[columns].to_numpy(dtype=float)
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns])
             mean = np.mean([_path_lengths(x, nodes) for _, nodes in forest], axis=0)
-            batch["raw"] = -np.power(2.0, -mean / scale)
-            yield batch
+            arrays = [*batch.columns, pa.array(-np.power(2.0, -mean / scale))]
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "raw"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    raw = df.mapInPandas(score, f"{fields}, raw double")
+    raw = df.mapInArrow(score, f"{fields}, raw double")
     offset = raw.select(F.approx_percentile("raw", contamination, int(1 / error))).scalar()
     return raw.withColumn("score", F.col("raw") - offset).withColumn("is_anomaly", F.col("score") < 0).drop("raw")
 

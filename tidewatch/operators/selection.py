@@ -134,6 +134,12 @@ _COMPARE = {
 _AGGREGATES = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
 
 
+def sql_query(tables: dict[str, DataFrame], text: str) -> DataFrame:
+    """Run SQL text over the tables given, under their names."""
+    spark = next(iter(tables.values())).sparkSession
+    return spark.sql(text, **tables)
+
+
 def custom_query(
     df: DataFrame, filters: Sequence[tuple] = (), group_by: Sequence[str] = (),
     aggregates: dict[str, tuple[str, str]] | None = None, window: tuple[str, str] | None = None,

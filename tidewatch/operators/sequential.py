@@ -1,8 +1,11 @@
-"""Decisions that depend on earlier decisions: rate limits and spacing.
+"""Decisions that depend on earlier decisions: spacing and rate limits.
 
-Whether a request is accepted depends on which earlier ones were accepted, so a
-busy stretch of one key has to be read in order.  Two things keep this from
-becoming one task per key:
+Spacing (``keep_spaced``: suppression, TTL duplicates) remembers one time, the
+last kept one.  What a chunk of a key does to that time can be tabulated without
+knowing it, so chunks run in parallel and only the small tables are read in order.
+
+A rate limit remembers as many times as it allows requests, which cannot be
+tabulated.  Two things keep it from becoming one task per key:
 
 * A key is cut wherever nothing happened for long enough that no earlier
   decision matters any more (``segments``).  The pieces are independent and are
@@ -10,8 +13,8 @@ becoming one task per key:
 * Inside a piece the rows are streamed from a sorted partition in Arrow batches.
   The state is the few accepted times that still count, never the rows.
 
-What remains serial is a single key that never pauses; it is read at streaming
-speed in constant memory.
+What remains serial is a rate limit on a single key that never pauses; it is read
+at streaming speed in constant memory.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidewatch.operators import ordered
@@ -36,6 +40,20 @@ def segments(df: DataFrame, keys: Sequence[str], ts: str, tie: str, quiet_second
     ).drop("__before")
 
 
+def _with_marks(batch: pa.RecordBatch, columns: Sequence[str], name: str, marks: list[bool]) -> pa.RecordBatch:
+    """The columns as they are, with the decisions.
+
+    Arrow columns pass through untouched; in pandas, integers next to nulls would
+    become floats.
+    """
+    arrays = [batch.column(c) for c in columns] + [pa.array(marks, pa.bool_())]
+    return pa.RecordBatch.from_arrays(arrays, [*columns, name])
+
+
+def _schema_with(df: DataFrame, name: str) -> str:
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{name}` boolean"])
+
+
 def decide_in_order(
     df: DataFrame, keys: Sequence[str], ts: str, tie: str, quiet_seconds: float,
     make_decider: Callable[..., Callable[[int], bool]], name: str = "accepted",
@@ -50,24 +68,22 @@ def decide_in_order(
     cut = segments(df, keys, ts, tie, quiet_seconds).withColumn(
         "__us", F.unix_micros(F.col(ts).cast("timestamp"))
     )
-    cut = cut.withColumn("__key", F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys], SEGMENT))
+    cut = cut.withColumn("__key", F.to_json(F.struct(*keys, SEGMENT)))
     laid = cut.repartition("__key").sortWithinPartitions("__key", ts, tie)
-    out_columns = [*df.columns, name]
+    out_columns = df.columns
 
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, decider = None, None
         for batch in batches:
-            limits = batch[parameter] if parameter else [None] * len(batch)
             marks = []
-            for key, us, limit in zip(batch["__key"], batch["__us"], limits):
+            limits = batch.column(parameter).to_pylist() if parameter else [None] * len(batch)
+            for key, us, limit in zip(batch.column("__key").to_pylist(), batch.column("__us").to_pylist(), limits):
                 if key != current:
                     current, decider = key, make_decider(limit)
                 marks.append(decider(us))
-            batch[name] = marks
-            yield batch[out_columns]
+            yield _with_marks(batch, out_columns, name, marks)
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"{name} boolean"])
-    return laid.mapInPandas(decide, schema)
+    return laid.mapInArrow(decide, _schema_with(df, name))
 
 
 def sliding_log(limit, window_us: int) -> Callable[[int], bool]:
@@ -126,14 +142,138 @@ def rate_limit_bucket(requests: DataFrame, per_minute: int, burst: int) -> DataF
     )
 
 
+NEVER = -(2**62)
+
+
+def _chunk_exits(spacing: int):
+    """Tabulate chunks: for each first kept time, the last kept time of the chunk.
+
+    The time carried in lies before the chunk, so the first kept row is one of
+    those less than the spacing after the chunk's first row, or the next one.  The
+    chains that start at these rows are followed together; chains that keep the
+    same row are one from then on.  Neighbouring entries with equal exits are
+    written as one.
+    """
+
+    def finish(key, chunk, entries, group_of, parent, last):
+        def root(g):
+            while parent[g] != g:
+                parent[g] = parent[parent[g]]
+                g = parent[g]
+            return g
+
+        out = []
+        for entry, group in zip(entries, group_of):
+            end = last[root(group)]
+            if out and out[-1][3] == end:
+                out[-1] = (key, chunk, entry, end)
+            else:
+                out.append((key, chunk, entry, end))
+        return out
+
+    def tabulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["key", "chunk", "entry", "exit"]
+        current, entries, group_of, parent, last, waiting = None, [], [], [], [], deque()
+        for batch in batches:
+            done = []
+            for key, chunk, us in zip(batch["__key"], batch["__chunk"], batch["__us"]):
+                if (key, chunk) != current:
+                    if current is not None:
+                        done += finish(*current, entries, group_of, parent, last)
+                    current, entries, group_of, parent, last, waiting = (key, chunk), [], [], [], [], deque()
+                    limit, open_ = us + spacing, True
+                joined = None
+                while waiting and waiting[0][0] <= us:
+                    group = waiting.popleft()[1]
+                    if joined is None:
+                        joined = group
+                    else:
+                        parent[group] = joined
+                if open_ and not (entries and entries[-1] == us):
+                    if joined is None:
+                        joined = len(parent)
+                        parent.append(joined)
+                        last.append(us)
+                    entries.append(us)
+                    group_of.append(joined)
+                    open_ = us < limit
+                if joined is not None:
+                    last[joined] = us
+                    waiting.append((us + spacing, joined))
+            yield pd.DataFrame(done, columns=columns)
+        if current is not None:
+            yield pd.DataFrame(finish(*current, entries, group_of, parent, last), columns=columns)
+
+    return tabulate
+
+
+def _carry_states(spacing: int):
+    """Read the tables of a key in order: the last kept time each chunk inherits."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, chunk_now, state, settled = None, None, NEVER, False
+        for batch in batches:
+            out = []
+            for key, chunk, entry, end in zip(batch["key"], batch["chunk"], batch["entry"], batch["exit"]):
+                if key != current:
+                    current, chunk_now, state = key, None, NEVER
+                if chunk != chunk_now:
+                    chunk_now, settled = chunk, False
+                    out.append((key, chunk, state))
+                if not settled and entry >= state + spacing:
+                    state, settled = end, True
+            yield pd.DataFrame(out, columns=["__key", "__chunk", "__state"])
+
+    return fold
+
+
 def keep_spaced(
-    df: DataFrame, keys: Sequence[str], ts: str, tie: str, seconds: int, name: str = "kept"
+    df: DataFrame, keys: Sequence[str], ts: str, tie: str, seconds: int, name: str = "kept",
+    chunk_seconds: int | None = None,
 ) -> DataFrame:
-    """Keep a row unless a kept row of its key lies less than ``seconds`` before it."""
-    width = int(seconds * 1_000_000)
-    return decide_in_order(
-        df, keys, ts, tie, seconds, lambda _: sliding_log(1, width), name
+    """Keep a row unless a kept row of its key lies less than ``seconds`` before it.
+
+    Chunks are sixteen times the spacing, at least an hour, so the tables hold
+    about a sixteenth of the rows or less.
+    """
+    spacing = int(seconds * 1_000_000)
+    width = (chunk_seconds or max(3600, 16 * seconds)) * 1_000_000
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = df.withColumns(
+        {"__us": us, "__chunk": F.floor(us / F.lit(width)).cast("long"), "__key": F.to_json(F.struct(*keys))}
     )
+    exits = (
+        rows.select("__key", "__chunk", "__us").repartition("__key", "__chunk")
+        .sortWithinPartitions("__key", "__chunk", "__us")
+        .mapInPandas(_chunk_exits(spacing), "key string, chunk long, entry long, exit long")
+    )
+    states = (
+        exits.repartition("key").sortWithinPartitions("key", "chunk", "entry")
+        .mapInPandas(_carry_states(spacing), "__key string, __chunk long, __state long")
+    )
+    laid = (
+        rows.withColumn("__state", F.lit(None).cast("long")).unionByName(states, allowMissingColumns=True)
+        .repartition("__key", "__chunk")
+        .sortWithinPartitions("__key", "__chunk", F.col("__state").isNull(), "__us", tie)
+    )
+    out_columns = df.columns
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = NEVER
+        for batch in batches:
+            marks = []
+            for state, at in zip(batch.column("__state").to_pylist(), batch.column("__us").to_pylist()):
+                if state is not None:
+                    last = state
+                    marks.append(False)
+                else:
+                    keep = at >= last + spacing
+                    last = at if keep else last
+                    marks.append(keep)
+            marked = _with_marks(batch, out_columns, name, marks)
+            yield marked.filter(batch.column("__state").is_null())
+
+    return laid.mapInArrow(decide, _schema_with(df, name))
 
 
 def alert_suppress(

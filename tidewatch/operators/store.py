@@ -186,11 +186,12 @@ def delete_alert(alerts: DataFrame, ids: DataFrame) -> DataFrame:
     return alerts.join(ids.select("id"), "id", "left_anti")
 
 
-def collect_union(sources: dict[str, DataFrame]) -> DataFrame:
-    """Points of all enabled collectors, tagged by source."""
+def collect_union(sources: dict[str, DataFrame | None], enabled: Sequence[str] | None = None) -> DataFrame:
+    """Points of all enabled collectors, tagged by source; a failed one (None) is left out."""
     tagged = [
         df.select("system_id", "name", "value", "unit", "ts").withColumn("source", F.lit(name))
         for name, df in sources.items()
+        if df is not None and (enabled is None or name in enabled)
     ]
     return reduce(DataFrame.unionByName, tagged)
 

@@ -133,6 +133,14 @@ def data_quality(t):
     return rounded(c.data_quality(t.metrics, t.systems, as_of()), "score")
 
 
+@query("missing_points", f"""
+SELECT s.id AS system_id, h AS hour FROM systems s,
+  UNNEST(generate_series({AT} - INTERVAL 168 HOUR, {AT} - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) g(h)
+WHERE NOT EXISTS (SELECT 1 FROM metrics m WHERE m.system_id = s.id AND date_trunc('hour', m.ts) = h)""")
+def missing_points(t):
+    return c.missing_points(t.metrics, t.systems, as_of())
+
+
 @query("data_quality_report", f"""
 WITH m AS (SELECT name, system_id, ts, CASE WHEN id % 23 <> 0 THEN value - CASE WHEN id % 29 = 0 THEN 1000 ELSE 0 END END AS value
   FROM metrics UNION ALL SELECT name, system_id, ts, value FROM metrics WHERE id % 41 = 0)

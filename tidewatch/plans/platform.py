@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import latest, remediation as rem, selection
+from tidewatch.operators import counters, latest, remediation as rem, selection
 from tidewatch.plans.aggregates import rounded
 from tidewatch.plans.registry import query
 from tidewatch.plans.store import AT
@@ -56,6 +56,17 @@ def remediation_stats(t):
     return rounded(rem.remediation_stats(t.actions), "rollback_rate", "avg_duration_s", "max_duration_s")
 
 
+_BOUNDS = ", ".join(f"({b!r}::DOUBLE, '{b:.6g}')" for b in counters.BUCKETS["remediation"])
+
+
+@query("remediation_durations", f"""
+SELECT action_type, b.le, count(*) FILTER (duration_s <= b.bound) AS cumulative, count(*) AS count, round(sum(duration_s), 4) AS sum
+FROM actions JOIN (VALUES {_BOUNDS}, ('inf'::DOUBLE, '+Inf')) b(bound, le) ON TRUE GROUP BY ALL""")
+def remediation_durations(t):
+    got = counters.histogram_cumulative(t.actions, ["action_type"], "duration_s", counters.BUCKETS["remediation"])
+    return got.withColumn("sum", F.round("sum", 4))
+
+
 @query("remediation_history", f"""
 SELECT action_id, action_type, system_id, status, requested_at FROM actions WHERE requested_at BETWEEN {RANGE}""")
 def remediation_history(t):

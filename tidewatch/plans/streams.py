@@ -9,6 +9,7 @@ from tidewatch.operators import events as ev, selection, traces
 from tidewatch.plans.aggregates import rounded
 from tidewatch.plans.registry import query
 from tidewatch.plans.store import r6
+from tidewatch.schemas import RAW
 from tidewatch.sources.files import shared_folder
 from tidewatch.sources.views import Tables, as_of
 from tidewatch.streaming import jobs
@@ -129,9 +130,8 @@ class StreamTables(Tables):
 
     @property
     def events(self):
-        schema = self.spark.read.parquet(f"{self.sf_dir}/events.parquet").schema
         # a pattern, because the table may be one file or a folder of files
-        return jobs.read_files(self.spark, f"{self.sf_dir}/events.parque[t]", schema)
+        return jobs.read_files(self.spark, f"{self.sf_dir}/events.parque[t]", RAW["events"])
 
 
 def _streamed(t, name, df):

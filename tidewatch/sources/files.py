@@ -40,6 +40,14 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_jdbc(df: DataFrame, url: str, table: str, partitions: int, **options: str) -> None:
+    """Append to a database table over at most ``partitions`` connections."""
+    (
+        df.write.format("jdbc").option("url", url).option("dbtable", table)
+        .option("numPartitions", partitions).options(**options).mode("append").save()
+    )
+
+
 def read_jdbc(
     spark: SparkSession, url: str, table: str, partition_column: str,
     lower: str, upper: str, partitions: int, **options: str,

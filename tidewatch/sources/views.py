@@ -11,6 +11,8 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidewatch.schemas import RAW
+
 AS_OF = "2024-01-31 00:00:00"
 
 # Metric name and unit for each kind of event.
@@ -61,7 +63,7 @@ class Tables:
         self.sf_dir = sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spark.read.schema(RAW[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
     def events(self) -> DataFrame:

@@ -135,6 +135,20 @@ def collect_stream(table: BatchLog, body: str = "body") -> Callable[[DataFrame,
     return step
 
 
+def route_stream(table: BatchLog, schema: str = "k long") -> Callable[[DataFrame, int], None]:
+    """Micro-batch step: records fanned out by topic, a folder for each route.
+
+    One pass writes all routes, dead letters included.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        store.topic_route(batch, schema).write.mode("overwrite").partitionBy("route").parquet(
+            f"{table.path}/batch={number}"
+        )
+
+    return step
+
+
 def collected_metrics(table: BatchLog) -> DataFrame:
     """The metric table the log stands for: the last batch wins on equal keys."""
     log = table.read()
