@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tidewatch.functions.times import to_wall
+
 MAP_TYPE = "map<string,string>"
 
 
@@ -33,5 +35,4 @@ def combine_labels(metric_labels: Column, rule_labels: Column) -> Column:
 
 def utc_timestamp(text: Column) -> Column:
     """RFC 3339 text to a UTC wall-clock timestamp whatever the session zone."""
-    local = F.try_to_timestamp(text).cast("timestamp_ntz")
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), local)
+    return to_wall(F.try_to_timestamp(text))

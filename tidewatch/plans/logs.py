@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import ids
 from tidewatch.functions.labels import decode_labels
+from tidewatch.functions.times import to_instant
 from tidewatch.operators import logs as lg
 from tidewatch.plans.registry import query
 
@@ -60,7 +61,7 @@ def client_id(t):
 @query("request_hash", """
 SELECT request_id, substr(sha256((epoch_us(ts) * 1000)::VARCHAR || '-' || ip), 1, 16) AS hash FROM http_requests""")
 def request_hash(t):
-    nanos = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    nanos = F.unix_micros(to_instant(F.col("ts"))) * 1000
     return t.http_requests.select("request_id", ids.request_hash(nanos, F.col("ip")).alias("hash"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.functions.labels import decode_labels
+from tidewatch.functions.times import to_wall
 from tidewatch.operators import events as ev, selection, traces
 from tidewatch.plans.aggregates import rounded
 from tidewatch.plans.registry import query
@@ -141,7 +142,7 @@ def _streamed(t, name, df):
 
 
 def _wall_clock(df, *columns):
-    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+    return df.withColumns({c: to_wall(F.col(c)) for c in columns})
 
 
 @query("watermark_late", """

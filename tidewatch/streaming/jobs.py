@@ -13,7 +13,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+from pyspark.sql.types import TimestampNTZType
 
+from tidewatch.functions.times import to_instant
 from tidewatch.operators import alerts as al, counters, events, store
 from tidewatch.operators.latest import latest_metrics
 
@@ -26,8 +28,10 @@ def read_files(spark: SparkSession, path: str, schema, files_per_trigger: int =
 
 
 def event_time(df: DataFrame, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
-    """A watermark needs a timestamp with zone; wall-clock times are taken as UTC."""
-    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    """A watermark needs an instant; wall-clock times are taken as UTC."""
+    if isinstance(df.schema[ts].dataType, TimestampNTZType):
+        df = df.withColumn(ts, to_instant(F.col(ts)))
+    return df.withWatermark(ts, delay)
 
 
 def run_to_files(df: DataFrame, path: str, checkpoint: str) -> None:
