@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.functions import ids
-from tidewatch.functions.labels import decode_labels
 from tidewatch.functions.times import to_instant
 from tidewatch.operators import logs as lg
 from tidewatch.plans.registry import query
