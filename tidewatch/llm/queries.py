@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import decontaminate, preference, rollups
+from tidewatch.llm import bpe, decontaminate, preference, rollups, rules, simhash, toxicity
 from tidewatch.llm.registry import ORACLES, QUERIES, query, table
-from tidewatch.llm.storage import shared_folder
+from tidewatch.llm.storage import shared_folder, staged
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -65,8 +66,6 @@ def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     The second tokenizer's counts are revised to include an end id.  The batch of deletes arrives
     twice, and one batch is sent again after the last.
     """
-    from tidewatch.llm.storage import staged
-
     counted = staged(_counted(spark, sf_dir), "counted")
     first = counted.groupBy("digest").agg(F.min("doc_id").alias("first"))
     marked = counted.join(first, "digest")
@@ -114,3 +113,42 @@ def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every answered conversation against itself with another conversation's last answer."""
     chosen, rejected = preference.swapped_answers(table(spark, sf_dir, "conversations"))
     return preference.preference_rows(chosen, rejected)
+
+
+def remainder(n: int):
+    """crc32 of the doc_id's decimal text, modulo ``n``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from three of four folds."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = rules.fit_labelled(docs, labels, remainder(4) != 2)
+    return rules.scored(docs, model).select(
+        "doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+@query("op8_simhash")
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from four of five folds."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs, labels, remainder(5) != 0)
+    return toxicity.scored(docs, model).select(
+        "doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+@query("op9_bpe")
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
