@@ -71,7 +71,7 @@ class Model:
 
 def train(
     texts: list[str], labels: list[int], dim: int = 2, rounds: int = 60, rate: float = 0.05, scale: float = 300.0,
-    min_texts: int = 12, positive: float = 0.3, decay: float = 1e-4, seed: int = 5,
+    min_texts: int = 20, positive: float = 0.2, decay: float = 4e-4, seed: int = 5,
 ) -> Model:
     """Embeddings and softmax together, by Adam over all ``texts`` at once.
 
@@ -128,7 +128,7 @@ def train(
     return Model(bucket, float(b[1] - b[0]), float(np.log(positive / (1 - positive))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = 1500, longest: int = 50_000, **options) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = 2500, longest: int = 50_000, **options) -> Model:
     """Fit on a bounded sample of the labelled documents for which ``learn`` holds.
 
     ``labels`` has doc_id and label; a doc_id with both labels teaches nothing.  The sample has
