@@ -30,7 +30,7 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 def _digest(links: DataFrame) -> tuple:
     row = links.agg(
-        F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum("a"), F.sum("b")
+        F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)"))
     ).first()
     return tuple(row)
 
@@ -39,7 +39,7 @@ def components(links: DataFrame) -> DataFrame:
     """``node, component`` for every node of the links ``a, b`` (longs, any direction, repeats allowed).
 
     The component is its smallest node.  Each round halves the distance to it or better, and is
-    written to the shared folder; only a count and sums of the links come to the driver.  Links
+    written to the shared folder; only a count and sums of hashes of the links come to the driver.  Links
     of a node to itself are ignored, and nodes without other links are not in the result.
     """
     links = links.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import bpe, decontaminate, preference, rollups, rules, simhash, toxicity
+from tidewatch.llm import bpe, decontaminate, pq, preference, repair, rollups, rules, simhash, toxicity, warc
 from tidewatch.llm.registry import ORACLES, QUERIES, query, table
 from tidewatch.llm.storage import shared_folder, staged
 
@@ -152,3 +152,43 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op2_warc", r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages WHERE page_id IS NOT NULL),
+f AS (SELECT h, max(page_id) AS first FROM p GROUP BY 1),
+d AS (SELECT h, replace(unhex(sha1(h))::BIT::VARCHAR, ' ', '') AS bits FROM f),
+e AS (SELECT h, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + (substr(bits, i * 5 + 1, 5)::BIT::INTEGER), 1)), '') AS digest FROM d)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (h) JOIN e USING (h)
+""")
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record in ZIP packages, and what the packages say when read back."""
+    rows = warc.roles(table(spark, sf_dir, "pages"))
+    packages = warc.write_packages(rows, shared_folder(spark, "warc"))
+    return warc.read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op3_token_shards")
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as ids in compressed shards, and what the shards hold when read back."""
+    path = shared_folder(spark, "shards")
+    repair.write_shards(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return repair.read_documents(spark, path)
+
+
+@query("op4_embedding_dedup", r"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL),
+n AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS u FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND list_dot_product(a.u, b.u) >= 0.9),
+r AS (SELECT vec_id, vec_id AS reached FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.reached = l.a),
+c AS (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY 1),
+k AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN k USING (vec_id)
+""")
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.9 or more."""
+    return pq.near_duplicates(table(spark, sf_dir, "embeddings"))
