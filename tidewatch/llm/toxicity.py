@@ -80,18 +80,27 @@ def train(
     must have a bucket for it to get a vector.
     """
     rng = np.random.default_rng(seed)
-    found = [words_of(t) for t in texts]
-    keep = [i for i, w in enumerate(found) if w]
+    vocabulary: dict[str, int] = {}
+    coded = []
+    for text in texts:
+        words = words_of(text)
+        coded.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words)))
+    keep = [i for i, c in enumerate(coded) if len(c)]
     y = np.array([labels[i] for i in keep], np.int64)
     if not len(keep) or y.min() == y.max():
         share = min(max(float(np.mean(labels)), 1e-3), 1 - 1e-3) if labels else 0.01
         prior = float(np.log(share / (1 - share)))
         return Model(np.zeros(BUCKETS, np.float32), prior, prior)
-    vocabulary: dict[str, int] = {}
-    code = np.array([vocabulary.setdefault(w, len(vocabulary)) for i in keep for w in found[i]], np.int32)
-    lengths = np.array([len(found[i]) for i in keep])
-    grams, first = word_grams(list(vocabulary))
-    sizes = np.diff(np.r_[first, len(grams)])
+    code = np.concatenate([coded[i] for i in keep])
+    lengths = np.array([len(coded[i]) for i in keep])
+    all_words, parts, counted = list(vocabulary), [], []
+    for at in range(0, len(all_words), 20_000):
+        some, begin = word_grams(all_words[at:at + 20_000])
+        parts.append(some)
+        counted.append(np.diff(np.r_[begin, len(some)]))
+    grams, sizes = np.concatenate(parts), np.concatenate(counted)
+    first = np.cumsum(sizes) - sizes
+    del parts, coded, vocabulary, all_words
     owner = np.repeat(np.arange(len(first), dtype=np.int32), sizes)
     starts = np.r_[0, np.cumsum(lengths)[:-1]]
     text_of = np.repeat(np.arange(len(keep), dtype=np.int32), lengths)
@@ -128,7 +137,7 @@ def train(
     return Model(bucket, float(b[1] - b[0]), float(np.log(positive / (1 - positive))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = 2500, longest: int = 50_000, **options) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = 2000, longest: int = 50_000, **options) -> Model:
     """Fit on a bounded sample of the labelled documents for which ``learn`` holds.
 
     ``labels`` has doc_id and label; a doc_id with both labels teaches nothing.  The sample has
@@ -147,8 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = 2500
         of = known.filter(F.col("label") == value)
         most = of.count()
         share_of = F.lit(1.0) if most <= per_label else F.lit(1.25 * per_label / most)
-        picked = of.filter(F.pmod(near, F.lit(1 << 20)) < share_of * (1 << 20))
-        rows += short.join(picked, "doc_id").orderBy(near, "text").limit(per_label).select("text", "label").collect()
+        drawn = F.pmod(near, F.lit(1 << 20)) < share_of * (1 << 20)
+        rows += short.filter(learn & drawn).join(of.filter(drawn), "doc_id").orderBy(near, "text").limit(per_label).select("text", "label").collect()
     return train([r["text"] for r in rows], [r["label"] for r in rows], **options)
 
 
