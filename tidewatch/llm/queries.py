@@ -125,8 +125,9 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learnt from three of four folds."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    model = rules.fit_labelled(docs, labels, remainder(4) != 2)
-    return rules.scored(docs, model).select(
+    stats = staged(rules.text_statistics(docs), "statistics")
+    model = rules.fit_labelled(stats, labels, remainder(4) != 2)
+    return stats.withColumn("score", model.score()).select(
         "doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )
 

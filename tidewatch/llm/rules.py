@@ -27,8 +27,9 @@ def statistics(docs: DataFrame) -> DataFrame:
 
     All but the counts are shares of the characters, words or lines, and 0 for an empty text.
     """
-    text = F.coalesce("text", F.lit(""))
-    split = docs.withColumn("_text", text).withColumn("_words", F.filter(F.split("_text", r"\s+"), lambda w: w != ""))
+    kept = F.struct("*").alias("row")
+    split = docs.select(kept, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    split = split.withColumn("_words", F.filter(F.split("_text", r"\s+"), lambda w: w != ""))
     split = split.withColumn("_lines", F.split("_text", "\n"))
 
     def hits(pattern: str) -> Column:
@@ -48,7 +49,10 @@ def statistics(docs: DataFrame) -> DataFrame:
         "pipes": hits(r"\|") / words, "shouts": hits(r"!") / words, "symbols": hits(r"[#$%&*@^~<>{}]") / words,
         "sentence_ends": hits(r"[.!?](?=\s|$)") / words,
     }
-    return split.withColumn("stats", F.struct(*[values[k].alias(k) for k in STATISTICS])).drop("_text", "_words", "_lines")
+    stats = F.struct(*[values[k].alias(k) for k in STATISTICS])
+    return split.select("row", stats.alias("_stats")).select(
+        *[F.col("row")[c].alias(c) for c in docs.columns if c != "stats"], F.col("_stats").alias("stats")
+    )
 
 
 @dataclass(frozen=True)
@@ -128,13 +132,25 @@ def fit(
     return RuleModel(float(lasso.intercept), tuple(kept))
 
 
+def text_statistics(docs: DataFrame) -> DataFrame:
+    """``doc_id, stats`` alone: a narrow table, so that texts need not be moved to their labels."""
+    return statistics(docs.select("doc_id", "text")).select("doc_id", "stats")
+
+
 def scored(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """``docs`` with ``score``; null and empty texts are scored by their (zero) statistics."""
-    return statistics(docs).withColumn("score", model.score()).drop("stats")
+    """``docs`` with ``score``; null and empty texts are scored by their (zero) statistics.
+
+    A column of that name in ``docs`` is replaced, other columns stay.
+    """
+    row = docs.select(F.struct("*").alias("row"), "text")
+    found = statistics(row).select("row", model.score().alias("_score"))
+    return found.select(
+        *[F.col("row")[c].alias(c) for c in docs.columns if c != "score"], F.col("_score").alias("score")
+    )
 
 
-def fit_labelled(docs: DataFrame, labels: DataFrame, learn: Column, **options) -> RuleModel:
-    """Fit on the documents with a label in ``labels`` (doc_id, label) for which ``learn`` holds.
+def fit_labelled(stats: DataFrame, labels: DataFrame, learn: Column, **options) -> RuleModel:
+    """Fit on the rows of ``stats`` (doc_id, stats) for which ``learn`` holds and ``labels`` (doc_id, label) has a label.
 
     A doc_id that has both labels teaches nothing; repeated equal labels count once.
     """
@@ -142,5 +158,4 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, learn: Column, **options) -
         labels.filter(F.col("label").isin(0, 1)).groupBy("doc_id")
         .agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").drop("most")
     )
-    known = docs.select("doc_id", "text").filter(learn).join(agreed, "doc_id")
-    return fit(statistics(known).select("stats", "label"), **options)
+    return fit(stats.filter(learn).join(agreed, "doc_id").select("stats", "label"), **options)
