@@ -5,10 +5,12 @@ each distinct vector in one inverted list; its residual is coded by the nearest
 per subspace.  A query probes every list that can hold a partner, compares its distance table
 with the codes of the list, and the survivors are compared exactly.
 
-No link is lost at either step.  A vector within ``delta`` of the query lies in the cell of
-centroid ``c`` only if the query is within ``delta`` of the half space that separates ``c`` from
-the query's own centroid.  And the table's estimate is off by at most the stored length of the
-vector's coding error, which is added before the comparison.
+A partner at most ``delta`` away lies in the cell of centroid ``c`` only if its difference from the
+query reaches over the plane between ``c`` and the query's own centroid.  In ``dim`` dimensions a
+difference has ``delta / sqrt(dim)`` along a given direction on average; lists beyond ``reach`` times
+that are not probed (with ``reach = sqrt(dim)`` no list that can hold a partner is left out).  The
+table's estimate is off by at most the stored length of the vector's coding error, which is added
+before the comparison, so that step loses nothing.
 """
 
 from __future__ import annotations
@@ -95,7 +97,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def distinct_links(distinct: DataFrame, threshold: float = 0.9, sample_rows: int = 20_000, per_list: int = 256) -> DataFrame:
+def distinct_links(distinct: DataFrame, threshold: float = 0.9, sample_rows: int = 20_000, per_list: int = 256, reach: float = 2.5) -> DataFrame:
     """``kind, a, b, n``: rows ``links`` (``n`` others linked to ``a``, weighted by ``weight``) and ``edge`` (``a`` and ``b`` joined).
 
     ``distinct`` has ``id, unit, weight`` and one dimension.  The edges connect what is linked
@@ -108,7 +110,8 @@ def distinct_links(distinct: DataFrame, threshold: float = 0.9, sample_rows: int
     sample = picked.select("unit").limit(sample_rows).toPandas()
     quantiser = fit(_matrix(sample["unit"]), lists)
     shared = distinct.sparkSession.sparkContext.broadcast(quantiser)
-    delta = math.sqrt(2 - 2 * threshold) + 1e-6
+    dim = quantiser.centres.shape[1]
+    delta = (math.sqrt(2 - 2 * threshold) + 1e-6) * min(1.0, reach / math.sqrt(dim))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q = shared.value

@@ -85,11 +85,11 @@ def trie_links(keys: np.ndarray, side: np.ndarray, fps: np.ndarray, depth: int,
     last = np.r_[first[1:], n]
     ones = np.r_[0, np.cumsum(side)]
     middle = last - (ones[last] - ones[first])
-    paired = middle < last
+    paired = (keys[first] >> depth) != (keys[first] & ((1 << depth) - 1))
     # both sides of a pair of tries, or one trie with itself
     al, ah = first, middle
     bl, bh = np.where(paired, middle, first), last
-    top = fps[al] ^ fps[np.minimum(bl, n - 1)]
+    top = fps[np.minimum(al, n - 1)] ^ fps[np.minimum(bl, n - 1)]
     errors = np.bitwise_count((top >> np.uint64(64 - depth)) if depth else np.zeros(len(top), np.uint64)).astype(np.int64)
     live = (ah > al) & (bh > bl) & (errors <= budget)
     al, ah, bl, bh, errors = (x[live] for x in (al, ah, bl, bh, errors))
