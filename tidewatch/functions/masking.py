@@ -21,7 +21,8 @@ def mask_map(labels: Column) -> Column:
 def mask_struct(column: Column, dtype: T.DataType, name: str = "") -> Column:
     """Mask a nested column of known type; runs inside the JVM.
 
-    A sensitive field becomes text whatever its type was.
+    A sensitive field becomes text whatever its type was; in a map of other values than text the
+    value of a sensitive key becomes null.
     """
     if any(word in name.lower() for word in SENSITIVE):
         return F.lit(MASK)
@@ -30,8 +31,13 @@ def mask_struct(column: Column, dtype: T.DataType, name: str = "") -> Column:
         return F.when(column.isNotNull(), F.struct(*fields))
     if isinstance(dtype, T.ArrayType):
         return F.transform(column, lambda x: mask_struct(x, dtype.elementType))
-    if isinstance(dtype, T.MapType) and isinstance(dtype.valueType, T.StringType):
-        return mask_map(column)
+    if isinstance(dtype, T.MapType):
+        if isinstance(dtype.valueType, T.StringType):
+            return mask_map(column)
+        # values of sensitive keys cannot turn into text here, so they become null
+        return F.transform_values(
+            column, lambda k, v: F.when(~k.cast("string").rlike(_PATTERN), mask_struct(v, dtype.valueType))
+        )
     return column
 
 

@@ -332,11 +332,11 @@ def exact_percentiles(
     ``percentile()`` keeps every distinct value of a key in one aggregation
     buffer.  Here equal values are counted first, ranks come from a chunked
     running count over value ranges, and each percentile is a ``min`` over the
-    values whose cumulative count passes its rank.
+    values whose cumulative count passes its rank.  Nulls and NaN are left out.
     """
     keys = list(keys)
     counts = (
-        df.where(F.col(value).isNotNull())
+        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
         .groupBy(*keys, F.col(value).alias("__v"))
         .agg(F.count(F.lit(1)).alias("__n"))
     )

@@ -18,15 +18,18 @@ SAFETY_LIMITS = {"cpu_usage": 80.0, "memory_usage": 85.0, "disk_usage": 90.0}
 def safety_gate(actions: DataFrame, latest: DataFrame, restricted: Sequence[str] = ()) -> DataFrame:
     """Reasons against each action; none means it is allowed.
 
+    An unknown action type, and an unknown environment where some are restricted, count
+    against the action.  A system without a latest point has no load that could.
+
     The latest points are first turned into one row per system, so each action
     meets one row.
     """
     load = latest.where(F.col("name").isin(*SAFETY_LIMITS)).groupBy("system_id").agg(
         *[F.max(F.when(F.col("name") == n, F.col("value"))).alias(f"__{n}") for n in SAFETY_LIMITS]
     )
-    checks = [("action type", ~F.col("action_type").isin(*ALLOWED_TYPES))]
+    checks = [("action type", F.coalesce(~F.col("action_type").isin(*ALLOWED_TYPES), F.lit(True)))]
     if restricted:
-        checks.append(("environment", F.col("environment").isin(*restricted)))
+        checks.append(("environment", F.coalesce(F.col("environment").isin(*restricted), F.lit(True))))
     checks += [(n, F.col(f"__{n}") >= limit) for n, limit in SAFETY_LIMITS.items()]
     out = actions.join(load, "system_id", "left").withColumn("reasons", reasons(*checks))
     return out.withColumn("allowed", F.size("reasons") == 0).drop(*[f"__{n}" for n in SAFETY_LIMITS])

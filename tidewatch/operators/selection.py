@@ -8,6 +8,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewatch.functions.labels import utc_timestamp
+
 _UNITS = {"s": "SECONDS", "m": "MINUTES", "h": "HOURS", "d": "DAYS"}
 
 
@@ -33,13 +35,20 @@ def metrics_time_range(
     return chosen.orderBy(F.desc("ts"))
 
 
+def _bound(text: str) -> Column:
+    """A UTC wall-clock time from RFC 3339 text; without an offset it is UTC already."""
+    if re.search(r"\d(?:[Zz]|[+-]\d\d:?\d\d)$", text) and ":" in text:
+        return utc_timestamp(F.lit(text))
+    return F.lit(text).cast("timestamp_ntz")
+
+
 def historical_metrics(
     metrics: DataFrame, as_of: Column, start: str | None = None, end: str | None = None,
     range_text: str = "24h", system_id: str | None = None,
 ) -> DataFrame:
     """Range query with text bounds; the default is the last ``range_text`` before ``as_of``."""
-    upper = F.lit(end).cast("timestamp_ntz") if end else as_of
-    lower = F.lit(start).cast("timestamp_ntz") if start else upper - span(range_text)
+    upper = _bound(end) if end else as_of
+    lower = _bound(start) if start else upper - span(range_text)
     return metrics_time_range(metrics, lower, upper, system_id)
 
 

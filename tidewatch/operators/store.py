@@ -18,7 +18,7 @@ METRIC_KEY = ("system_id", "name", "ts", "labels")
 
 # Stream topics, and the processor that takes each record type.
 TOPICS = ("metrics", "logs", "events", "traces", "alerts", "errors", "audit", "dead-letter")
-PROCESSED_TOPICS = ("metrics", "logs", "events", "traces", "alerts")
+PROCESSED_TOPICS = ("metrics", "logs", "events", "traces", "alerts", "errors", "audit")
 
 
 def scan_metrics(df: DataFrame) -> DataFrame:
@@ -45,8 +45,8 @@ def ingest_collect(bodies: DataFrame, body: str = "body") -> DataFrame:
 def upsert_metrics(target: DataFrame, batch: DataFrame, seq: str = "seq") -> DataFrame:
     """Insert ``batch``; on an equal key the last of the batch replaces value and unit."""
     columns = [*METRIC_KEY, "value", "unit"]
-    old = target.select(*columns, F.lit(-1).alias("__seq"))
-    new = batch.select(*columns, F.col(seq).cast("int").alias("__seq"))
+    old = target.select(*columns, F.lit(-1).cast("long").alias("__seq"))
+    new = batch.select(*columns, F.col(seq).cast("long").alias("__seq"))
     winner = F.max_by(F.struct("value", "unit"), "__seq")
     return (
         old.unionByName(new).groupBy(*METRIC_KEY).agg(winner.alias("w"))
@@ -54,8 +54,20 @@ def upsert_metrics(target: DataFrame, batch: DataFrame, seq: str = "seq") -> Dat
     )
 
 
+def _last_of_each(batch: DataFrame, key: str = "id") -> DataFrame:
+    """One row per key: the last by ``seq`` where the batch has that column, else the greatest row."""
+    rest = [c for c in batch.columns if c not in (key, "seq")]
+    order = F.struct(*(["seq"] if "seq" in batch.columns else []), *rest)
+    last = batch.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("__w")) if rest else batch.select(key).distinct()
+    return last.select(key, *[F.col("__w")[c].alias(c) for c in rest])
+
+
 def _merge(target: DataFrame, batch: DataFrame, key: str, pick) -> DataFrame:
-    """Full outer merge on ``key``; ``pick(column, old, new, matched)`` gives each column."""
+    """Full outer merge on ``key``; ``pick(column, old, new)`` gives each column.
+
+    A key that the batch repeats counts once (see ``_last_of_each``).
+    """
+    batch = _last_of_each(batch, key)
     old = target.select(*[F.col(c).alias(f"o_{c}") for c in target.columns])
     new = batch.select(*[F.col(c).alias(f"n_{c}") for c in batch.columns])
     joined = old.join(new, F.col(f"o_{key}") == F.col(f"n_{key}"), "full_outer")
@@ -116,6 +128,7 @@ def active_rules(rules: DataFrame) -> DataFrame:
 
 
 def _patch(df: DataFrame, patches: DataFrame, set_columns: dict[str, Column]) -> DataFrame:
+    patches = _last_of_each(patches)
     p = patches.select(*[F.col(c).alias(f"p_{c}") for c in patches.columns])
     joined = df.join(p, F.col("id") == F.col("p_id"), "left")
     hit = F.col("p_id").isNotNull()
@@ -158,14 +171,15 @@ def update_alert(alerts: DataFrame, patches: DataFrame, as_of: Column) -> DataFr
 
 
 def acknowledge_alerts(alerts: DataFrame, ids: DataFrame, as_of: Column) -> DataFrame:
-    """Outcome of each requested acknowledgement; only active alerts change."""
-    found = ids.select("id").join(
+    """Outcome of each requested acknowledgement; only active alerts change, and only once."""
+    times = ids.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("__n"))
+    found = times.select("id", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__k")).join(
         alerts.select("id", F.col("status").alias("__old")), "id", "left"
     )
-    active = F.col("__old") == "active"
+    active = (F.col("__old") == "active") & (F.col("__k") == 1)
     return found.select(
         "id",
-        F.when(active, "acknowledged").otherwise(F.col("__old")).alias("status"),
+        F.when(F.col("__old") == "active", "acknowledged").otherwise(F.col("__old")).alias("status"),
         F.when(active, as_of).alias("updated_at"),
         F.when(F.col("__old").isNull(), "alert not found")
         .when(~active, "alert is not in active state").alias("error"),

@@ -165,7 +165,7 @@ def throughput_stream(t):
     return rounded(_wall_clock(got, "window_start"), "per_second")
 
 
-@query("state_ttl")
+@query("state_ttl", "SELECT user_id::VARCHAR AS key, count(*) AS n FROM events GROUP BY 1")
 def state_ttl(t):
     """Events per user, counted in expiring state."""
     stream = StreamTables(t.spark, t.sf_dir)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 SQL_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -30,19 +30,3 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder the cluster names.
-
-    The folder comes from ``spark.checkpoint.dir``.  Where the setting is absent
-    the caller must have set one on the context (tests do); a folder local to
-    one machine is never chosen here.
-    """
-    context = df.sparkSession.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir", None)
-    if configured and context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured)
-    if context.getCheckpointDir() is None:
-        raise ValueError("spark.checkpoint.dir is not set; name a shared folder first")
-    return df.checkpoint(eager=True)

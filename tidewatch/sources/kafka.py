@@ -11,15 +11,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def read_topics(
-    spark: SparkSession, servers: str, topics: str, *, max_per_trigger: int = 500,
-    starting: str = "latest",
+    spark: SparkSession, servers: str, topics: str, *, max_per_trigger: int | None = None,
+    starting: str = "latest", poll_records: int = 500,
 ) -> DataFrame:
+    """Stream of the topics; a micro-batch takes all there is unless ``max_per_trigger`` limits it.
+
+    ``poll_records`` is the most that one poll of one consumer returns.
+    """
+    limit = {} if max_per_trigger is None else {"maxOffsetsPerTrigger": max_per_trigger}
     return (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topics)
         .option("startingOffsets", starting)
-        .option("maxOffsetsPerTrigger", max_per_trigger)
+        .option("kafka.max.poll.records", poll_records)
+        .options(**limit)
         .load()
     )
 
