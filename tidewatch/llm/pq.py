@@ -86,10 +86,11 @@ def unit_vectors(rows: DataFrame) -> DataFrame:
     e = F.col("embedding").cast("array<double>")
     finite = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     top = F.array_max(F.transform(e, lambda v: F.abs(v)))
-    scaled = F.when(finite & (F.size(e) > 0) & (top > 0), F.transform(e, lambda v: v / top))
-    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, v: a + v * v))
-    return rows.select("vec_id", scaled.alias("scaled"), length.alias("length")).select(
-        "vec_id", F.transform("scaled", lambda v: v / F.col("length")).alias("unit")
+    # what a row divides by is spread over an array, as a lambda works it out again for every component
+    scaled = F.when(finite & (F.size(e) > 0) & (top > 0), F.zip_with(e, F.array_repeat(top, F.size(e)), lambda v, t: v / t))
+    length = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda a, v: a + v * v))
+    return rows.select("vec_id", scaled.alias("scaled")).select(
+        "vec_id", F.zip_with("scaled", F.array_repeat(length, F.size("scaled")), lambda v, n: v / n).alias("unit")
     )
 
 
