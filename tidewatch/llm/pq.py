@@ -110,12 +110,12 @@ def distinct_links(distinct: DataFrame, threshold: float = 0.9, sample_rows: int
     picked = distinct if n <= sample_rows else distinct.filter(near < F.lit(1.2 * sample_rows / n * (1 << 20)))
     sample = picked.select("unit").limit(sample_rows).toPandas()
     quantiser = fit(_matrix(sample["unit"]), lists)
-    shared = distinct.sparkSession.sparkContext.broadcast(quantiser)
+    shared = distinct.sparkSession.sparkContext.broadcast((quantiser.centres, quantiser.codebook))
     dim = quantiser.centres.shape[1]
     delta = (math.sqrt(2 - 2 * threshold) + 1e-6) * min(1.0, reach / math.sqrt(dim))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = shared.value
+        q = Quantiser(*shared.value)
         apart = np.sqrt(np.maximum(((q.centres[:, None] - q.centres[None]) ** 2).sum(2), 1e-30)) if len(q.centres) <= 512 else None
         for frame in frames:
             for at in range(0, len(frame), 256):
@@ -154,7 +154,7 @@ def distinct_links(distinct: DataFrame, threshold: float = 0.9, sample_rows: int
     dealt = members.unionByName(queries).repartition("list", "block").sortWithinPartitions("list", "block", F.desc("member"))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = shared.value
+        q = Quantiser(*shared.value)
         where, held = None, []
         block: dict = {}
 
