@@ -8,19 +8,23 @@ A shard is one row of a Parquet table, so a shard file is complete or absent.
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-#: Fixed value: how the vocabulary file's pre-tokenizer splits a text.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts without these characters are split here and their pieces remembered; the library takes others whole.
-UNUSUAL = regex.compile(r"[^\t\n\r !-~¡-ſ–—‘-„…€]")
+UNUSUAL = re.compile(r"[^\t\n\r !-~¡-ſ–—‘-„…€]")
+#: The letters and numbers among the usual characters.
+LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
+#: Fixed value: how the vocabulary file's pre-tokenizer splits a text, for usual characters.
+PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
 REMEMBERED = 400_000
 #: Ids after which a task begins a new shard.
 SHARD_IDS = 1 << 20
@@ -32,50 +36,46 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = regex.compile(PIECES)
+        self.pieces = re.compile(PIECES)
         self.usual = '"use_regex":true' in self.tokenizer.to_str() and self.tokenizer.normalizer is None
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.size, self.lengths = [], 0, []
-        self.table: tuple[np.ndarray, np.ndarray] | None = None
+        #: Pieces are numbered as they are first met; ``ids`` holds theirs in that order.
+        self.known: dict[str, int] = defaultdict(count().__next__)
+        self.ids, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.begin = self.lengths
 
     def _learn(self, pieces: list[str]) -> None:
+        ids, lengths = [self.ids], [self.lengths]
         for at in range(0, len(pieces), 20_000):
-            part = pieces[at:at + 20_000]
-            for piece, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[piece] = len(self.known)
-                self.lengths.append(len(coded.ids))
-                self.ids.append(np.array(coded.ids, np.int32))
+            coded = [c.ids for c in self.tokenizer.encode_batch_fast(pieces[at:at + 20_000], add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, coded), np.int64, len(coded)))
+            ids.append(np.fromiter(chain.from_iterable(coded), np.int32, int(lengths[-1].sum())))
+        self.ids, self.lengths = np.concatenate(ids), np.concatenate(lengths)
+        self.begin = np.cumsum(self.lengths) - self.lengths
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > REMEMBERED:
             self._forget()
-        plain = [
-            self.usual and not UNUSUAL.search(t) and not any(s in t for s in self.special) for t in texts
-        ]
-        split = [self.pieces.findall(t) if p else [] for t, p in zip(texts, plain)]
-        new = list(dict.fromkeys(x for pieces in split for x in pieces if x not in self.known))
-        self._learn(new)
-        if new or self.table is None:
-            lengths = np.array(self.lengths, np.int64)
-            if self.ids:
-                self.ids = [np.concatenate(self.ids)]
-            self.table = lengths, np.cumsum(lengths) - lengths
+        before, codes = len(self.known), []
+        for text in texts:
+            if not self.usual or UNUSUAL.search(text) or any(s in text for s in self.special):
+                codes.append(None)
+                continue
+            pieces = self.pieces.findall(text)
+            codes.append(np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces)))
+        if len(self.known) > before:
+            self._learn(list(islice(reversed(self.known), len(self.known) - before))[::-1])
         out = []
-        for text, usual, pieces in zip(texts, plain, split):
-            if not usual:
+        for text, code in zip(texts, codes):
+            if code is None:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32))
                 continue
-            if not pieces:
-                out.append(np.zeros(0, np.int32))
-                continue
-            lengths, begin = self.table
-            code = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-            size = lengths[code]
+            size = self.lengths[code]
             ends = np.cumsum(size)
-            out.append(self.ids[0][np.repeat(begin[code] - (ends - size), size) + np.arange(ends[-1])])
+            total = int(ends[-1]) if len(ends) else 0
+            out.append(self.ids[np.repeat(self.begin[code] - (ends - size), size) + np.arange(total)])
         return out
 
 
@@ -97,16 +97,15 @@ def compress(ids: np.ndarray, vocabulary: int, rounds: int = 10, least: int = 8)
         pairs = seq[:-1] * width + seq[1:]
         # a cheap count by hash first: few pairs are frequent enough to be sorted
         bucket = ((pairs * 0x9E3779B1) >> 12) & 0xFFFFF
-        rough = np.bincount(bucket, minlength=1 << 20)
-        floor = least
-        often = pairs[rough[bucket] >= floor]
+        rough = np.bincount(bucket, minlength=1 << 20)[bucket]
+        often = pairs[rough >= least]
         kinds, counts = np.unique(often, return_counts=True)
         if not len(counts) or counts.max() < least:
             break
         floor = max(least, int(counts.max()) >> (2 if turn < rounds - 1 else 62))
         chosen = kinds[counts >= floor]
         rank = np.argsort(np.argsort(-counts[counts >= floor], kind="stable"), kind="stable")
-        at = np.flatnonzero(rough[bucket] >= floor)
+        at = np.flatnonzero(rough >= floor)
         place = np.searchsorted(chosen, pairs[at])
         place[place == len(chosen)] = 0
         fits = chosen[place] == pairs[at]
