@@ -93,40 +93,51 @@ def train(
         return Model(np.zeros(BUCKETS, np.float32), prior, prior)
     code = np.concatenate([coded[i] for i in keep])
     lengths = np.array([len(coded[i]) for i in keep])
-    all_words, parts, counted = list(vocabulary), [], []
-    for at in range(0, len(all_words), 20_000):
+    # a bucket that few texts have would only learn these texts by heart: it stays zero
+    texts_with = np.zeros(len(vocabulary))
+    for c in coded:
+        texts_with[np.unique(c)] += 1
+    all_words = list(vocabulary)
+    del coded, vocabulary
+    sizes = np.zeros(len(all_words), np.int64)
+    in_texts = np.zeros(BUCKETS)
+    blocks = range(0, len(all_words), 20_000)
+    for at in blocks:
         some, begin = word_grams(all_words[at:at + 20_000])
-        parts.append(some)
-        counted.append(np.diff(np.r_[begin, len(some)]))
-    grams, sizes = np.concatenate(parts), np.concatenate(counted)
-    first = np.cumsum(sizes) - sizes
-    del parts, coded, vocabulary, all_words
-    owner = np.repeat(np.arange(len(first), dtype=np.int32), sizes)
+        size = np.diff(np.r_[begin, len(some)])
+        sizes[at:at + len(size)] = size
+        in_texts += np.bincount(some, np.repeat(texts_with[at:at + len(size)], size), BUCKETS)
+    # the n-grams are made again, so that only those of common buckets are held
+    common = in_texts >= min_texts
+    used = np.flatnonzero(common)
+    place = np.cumsum(common, dtype=np.int32) - 1
+    local, owner = [], []
+    for at in blocks:
+        some, _ = word_grams(all_words[at:at + 20_000])
+        of = np.repeat(np.arange(at, min(at + 20_000, len(all_words)), dtype=np.int32), sizes[at:at + 20_000])
+        local.append(place[some[common[some]]])
+        owner.append(of[common[some]])
+    local, owner = np.concatenate(local), np.concatenate(owner)
+    del all_words
     starts = np.r_[0, np.cumsum(lengths)[:-1]]
     text_of = np.repeat(np.arange(len(keep), dtype=np.int32), lengths)
-    # a bucket that few texts have would only learn these texts by heart: it stays zero
-    pairs = np.unique(text_of.astype(np.int64) * len(first) + code)
-    in_texts = np.bincount(grams, np.bincount(pairs % len(first), minlength=len(first))[owner], BUCKETS)
-    common = in_texts[grams] >= min_texts
-    used, local = np.unique(grams[common], return_inverse=True)
-    owner = owner[common]
     if not len(used):
-        used, local, owner = np.zeros(1, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int32)
+        used, local, owner = np.zeros(1, np.int32), np.zeros(1, np.int32), np.zeros(1, np.int32)
     e = rng.uniform(-0.02, 0.02, (len(used), dim))
     w, b = rng.choice([-0.5, 0.5], (dim, 1)) * np.array([-1.0, 1.0]), np.zeros(2)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (e, w, b)]
     target = np.eye(2)[y]
     weight = np.where(y == 1, positive / (y == 1).sum(), (1 - positive) / (y == 0).sum())[:, None]
     for step in range(1, rounds + 1):
-        words = np.stack([np.bincount(owner, e[local, k], len(first)) for k in range(dim)], 1) / sizes[:, None]
-        mean = np.stack([np.add.reduceat(words[code, k], starts) for k in range(dim)], 1) / lengths[:, None]
+        words = np.stack([np.bincount(owner, e[:, k][local], len(sizes)) for k in range(dim)], 1) / sizes[:, None]
+        mean = np.stack([np.add.reduceat(words[:, k][code], starts) for k in range(dim)], 1) / lengths[:, None]
         logits = scale * mean @ w + b
         p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         d = (p - target) * weight
         d_mean = scale * d @ w.T / lengths[:, None]
-        d_words = np.stack([np.bincount(code, d_mean[text_of, k], len(first)) for k in range(dim)], 1) / sizes[:, None]
-        d_e = np.stack([np.bincount(local, d_words[owner, k], len(used)) for k in range(dim)], 1) + decay * e
+        d_words = np.stack([np.bincount(code, d_mean[:, k][text_of], len(sizes)) for k in range(dim)], 1) / sizes[:, None]
+        d_e = np.stack([np.bincount(local, d_words[:, k][owner], len(used)) for k in range(dim)], 1) + decay * e
         grads = (d_e, scale * mean.T @ d, d.sum(0))
         for (m, v), value, grad, pace in zip(state, (e, w, b), grads, (rate, 0.03, 0.3)):
             m += 0.1 * (grad - m)
@@ -157,7 +168,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = 2000
         most = of.count()
         share_of = F.lit(1.0) if most <= per_label else F.lit(1.25 * per_label / most)
         drawn = F.pmod(near, F.lit(1 << 20)) < share_of * (1 << 20)
-        rows += short.filter(learn & drawn).join(of.filter(drawn), "doc_id").orderBy(near, "text").limit(per_label).select("text", "label").collect()
+        # some 1.25 x per_label ids, never over twice as many: small enough for every task
+        ids = F.broadcast(of.filter(drawn).orderBy(near).limit(2 * per_label))
+        rows += short.filter(learn & drawn).join(ids, "doc_id").orderBy(near, "text").limit(per_label).select("text", "label").collect()
     return train([r["text"] for r in rows], [r["label"] for r in rows], **options)
 
 
