@@ -165,6 +165,23 @@ def test_percentiles_of_wide_and_tiny_values(spark):
     assert r["q"] == pytest.approx(np.percentile(values, 30)) and r["m"] == np.percentile(values, 50)
 
 
+@pytest.mark.parametrize("low, step", [(0.0, 1e-6), (1e9, 1.0), (-5.0, 1e-3)])
+def test_no_range_of_values_holds_much_of_a_key(spark, low, step):
+    """Close values spread over all ranges, in their order."""
+    df = spark.range(20_000).select(F.lit("k").alias("k"), (F.lit(low) + F.col("id") * step).alias("v"))
+    cut = ordered.with_value_chunks(df, ["k"], "v", "r", pieces=64)
+    sizes = cut.groupBy("r").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("r").collect()
+    assert len(sizes) == 64 and max(r["n"] for r in sizes) < 2 * 20_000 / 64
+    assert all(a["hi"] < b["lo"] for a, b in zip(sizes, sizes[1:]))
+    assert ordered.exact_percentiles(df, ["k"], "v", {"m": 0.5}).first()["m"] == pytest.approx(low + 9999.5 * step)
+
+
+def test_ranges_of_null_keys_and_few_values(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0), ("a", 2.0)], "k string, v double")
+    got = {r["k"]: r["m"] for r in ordered.exact_percentiles(df, ["k"], "v", {"m": 0.5}).collect()}
+    assert got == {None: 2.0, "a": 2.0}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "id long, k string, ts timestamp_ntz, v double")
     chunk = ordered.time_chunk("ts")

@@ -180,10 +180,38 @@ def test_availability_counts_overlaps_once(spark):
         "id string, system_id string, created_at timestamp_ntz, resolved_at timestamp_ntz",
     )
     lit = lambda t: F.lit(str(t)).cast("timestamp_ntz")
-    r = one(al.availability(df, lit(h(0)), lit(h(24)), "hour"))
+    r = one(al.availability(df, systems(spark, "s"), lit(h(0)), lit(h(24)), "hour"))
     assert r["outage_s"] == 12 * 3600 and r["availability"] == 0.5
 
 
+def test_open_outages_run_to_the_end_and_calm_systems_are_there(spark):
+    h = lambda n: AT + dt.timedelta(hours=n)
+    df = spark.createDataFrame(
+        [("a", "s", h(18), None), ("b", "s", h(20), h(22)), ("c", "s", h(30), None)],
+        "id string, system_id string, created_at timestamp_ntz, resolved_at timestamp_ntz",
+    )
+    lit = lambda t: F.lit(str(t)).cast("timestamp_ntz")
+    got = al.availability(df, systems(spark, "s", "t"), lit(h(0)), lit(h(24)), "hour").collect()
+    assert {r["system_id"]: (r["outage_s"], r["availability"]) for r in got} == {"s": (6 * 3600.0, 0.75), "t": (0.0, 1.0)}
+
+
+def test_held_out_metrics():
+    accuracy, precision, recall, f1 = learning.held_out_metrics({(0.0, 0.0): 6, (0.0, 1.0): 2, (1.0, 1.0): 1, (1.0, 0.0): 1})
+    assert (accuracy, recall) == (0.7, pytest.approx(0.7))
+    assert precision == pytest.approx(0.8 * 6 / 7 + 0.2 / 3)
+    assert f1 == pytest.approx(0.8 * 0.8 + 0.2 * 0.4)
+    assert learning.held_out_metrics({}) == (None,) * 4
+
+
+def test_retraining_reports_failures_and_empty_tables(spark):
+    fields = ", ".join(f"{c} double" for c in learning.FEATURES)
+    none = spark.createDataFrame([], f"row_id string, label int, {fields}")
+    from pyspark.ml.classification import LogisticRegression
+
+    r = one(learning.retrain_all(none, {"m": LogisticRegression()}, "row_id"))
+    assert (r["model_name"], r["status"]) == ("m", "failed") and r["error"]
+
+
 def test_notifications(spark):
     df = spark.createDataFrame([("a", "email,slack,fax")], "id string, channels string")
     got = {(r["channel"], r["known"]) for r in al.notification_rows(df, "resolved", ["email"]).collect()}

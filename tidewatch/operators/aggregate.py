@@ -99,7 +99,7 @@ def health_score(
     """
     rows = _last(metrics, as_of, range_text)
     if latest_only:
-        rows = rows.groupBy(_ON_SYSTEM, "name").agg(F.max_by("value", "ts").alias("value"))
+        rows = rows.groupBy(_ON_SYSTEM, "name").agg(F.max_by("value", F.struct("ts", "id")).alias("value"))
     per_system = rows.groupBy(_ON_SYSTEM).agg(_score().alias("health_score"))
     return _onto_systems(systems, per_system).fillna(0.0, ["health_score"])
 

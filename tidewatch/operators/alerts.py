@@ -65,10 +65,15 @@ def alert_project(evaluated: DataFrame, as_of: Column) -> DataFrame:
 
 
 def alerts_to_resolve(evaluated: DataFrame, alerts: DataFrame, as_of: Column) -> DataFrame:
-    """Active alerts on a metric for which some rule evaluated false, as resolved."""
-    calm = _on_metric(evaluated.where(~F.col("triggered")))
+    """Active alerts on a metric for which some rule evaluated false, as resolved.
+
+    ``channels`` are those of the first such rule by id, for :func:`notification_rows`.
+    """
+    calm = evaluated.where(~F.col("triggered")).groupBy(
+        F.col("system_id").alias("__s"), F.col("metric_name").alias("__m")
+    ).agg(F.min_by("channels", "id").alias("channels"))
     return (
-        alerts.where(F.col("status") == "active").join(calm, _same_metric(), "left_semi")
+        alerts.drop("channels").where(F.col("status") == "active").join(calm, _same_metric()).drop("__s", "__m")
         .withColumns({"status": F.lit("resolved"), "updated_at": as_of, "resolved_at": as_of})
     )
 
@@ -234,17 +239,19 @@ def mtbf(alerts: DataFrame, by: Sequence[str] = ("system_id",)) -> DataFrame:
     )
 
 
-def availability(alerts: DataFrame, start: Column, end: Column, chunk: str = "month") -> DataFrame:
-    """1 - (union of outages) / window, per system.
+def availability(
+    alerts: DataFrame, systems: DataFrame, start: Column, end: Column, chunk: str = "month"
+) -> DataFrame:
+    """1 - (union of outages) / window, for each of ``systems``.
 
-    An outage runs from creation to resolution.  Overlaps count once: each outage
+    An outage runs from creation to resolution, or to ``end`` while it is open; a system without
+    outages was available all the time.  Overlaps count once: each outage
     adds only what lies after the furthest end before it.
     """
-    outages = alerts.where(
-        F.col("resolved_at").isNotNull() & (F.col("resolved_at") > start) & (F.col("created_at") < end)
-    ).select(
+    until = F.coalesce("resolved_at", end)
+    outages = alerts.where((until > start) & (F.col("created_at") < end)).select(
         "system_id", "id", F.greatest("created_at", start).alias("o_start"),
-        F.least("resolved_at", end).alias("o_end"),
+        F.least(until, end).alias("o_end"),
     )
     seen = ordered.running(
         outages, ["system_id"], ["o_start", "id"], ordered.time_chunk("o_start", chunk),
@@ -252,6 +259,8 @@ def availability(alerts: DataFrame, start: Column, end: Column, chunk: str = "mo
     )
     extra = F.greatest(F.lit(0.0), seconds_between(F.greatest("o_start", "covered"), F.col("o_end")))
     window = seconds_between(start, end)
-    return seen.groupBy("system_id").agg(F.sum(extra).alias("outage_s")).withColumn(
+    lost = seen.groupBy("system_id").agg(F.sum(extra).alias("outage_s"))
+    named = systems.select(F.col("id").alias("system_id"))
+    return named.join(lost, "system_id", "left").fillna(0.0, ["outage_s"]).withColumn(
         "availability", 1 - F.col("outage_s") / window
     )

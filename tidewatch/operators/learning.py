@@ -269,37 +269,54 @@ def forest_importance(model, train: DataFrame, columns: Sequence[str] = FEATURES
     return train.sparkSession.createDataFrame(rows, "feature_name string, importance double, rank int")
 
 
-def retrain_all(train: DataFrame, trainers: dict[str, object]) -> DataFrame:
-    """Fit each model; a row per model with the outcome and its training accuracy.
+def retrain_all(data: DataFrame, trainers: dict[str, object], id_column: str, test_share: float = 0.2) -> DataFrame:
+    """Fit each model on the training share and measure it on the rows held out; a row per model.
 
-    The loop is over a handful of model kinds; each fit is a distributed job, and
-    a failing one does not stop the others.
+    The scaler is fitted on the training rows alone.  Precision, recall and F1 are means over the
+    labels, weighted by their rows.  The loop is over a handful of model kinds; each fit is a
+    distributed job, and a failing one does not stop the others.  Only the counts of (label,
+    prediction) come to the driver.
     """
-    data = assemble(train)
-    parts = []
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StandardScaler
+
+    split = assemble(train_test_split(data, id_column, test_share), output="raw_features")
+    train, test = split.where(~F.col("is_test")), split.where("is_test")
+    rows = []
     for name, estimator in trainers.items():
         try:
-            model = estimator.fit(data)
-            right = F.avg((F.col("prediction") == F.col("label")).cast("double"))
-            parts.append(model.transform(data).agg(right.alias("accuracy"), F.count(F.lit(1)).alias("rows")).select(
-                F.lit(name).alias("model_name"), F.lit("success").alias("status"), "accuracy", "rows",
-                F.lit(None).cast("string").alias("error"),
-            ))
+            scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True)
+            model = Pipeline(stages=[scaler, estimator]).fit(train)
+            pairs = model.transform(test).groupBy("label", "prediction").count().collect()
+            counts = {(float(r["label"]), float(r["prediction"])): r["count"] for r in pairs}
+            rows.append((name, "success", *held_out_metrics(counts), sum(counts.values()), None))
         except Exception as failure:  # noqa: BLE001
-            parts.append(train.limit(1).select(
-                F.lit(name).alias("model_name"), F.lit("failed").alias("status"),
-                F.lit(None).cast("double").alias("accuracy"), F.lit(None).cast("long").alias("rows"),
-                F.lit(type(failure).__name__).alias("error"),
-            ))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+            rows.append((name, "failed", None, None, None, None, None, type(failure).__name__))
+    return data.sparkSession.createDataFrame(
+        rows, "model_name string, status string, accuracy double, precision double, recall double, f1 double, "
+        "test_rows long, error string"
+    )
+
+
+def held_out_metrics(counts: dict[tuple[float, float], int]) -> tuple[float | None, ...]:
+    """Accuracy and weighted precision, recall and F1 from counts of (label, prediction); None without rows."""
+    total = sum(counts.values())
+    if not total:
+        return None, None, None, None
+    precision = recall = f1 = 0.0
+    for label in {at[0] for at in counts}:
+        right = counts.get((label, label), 0)
+        of_label = sum(n for (y, _), n in counts.items() if y == label)
+        as_label = sum(n for (_, y), n in counts.items() if y == label)
+        p, r = right / as_label if as_label else 0.0, right / of_label
+        share = of_label / total
+        precision, recall = precision + share * p, recall + share * r
+        f1 += share * (2 * p * r / (p + r) if right else 0.0)
+    return sum(n for (y, z), n in counts.items() if y == z) / total, precision, recall, f1
 
 
 # --- isolation forest -----------------------------------------------------
 
-SUBSAMPLE = 256
 EULER = 0.5772156649
 
 
@@ -341,17 +358,19 @@ def _path_lengths(x: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         at[rows] = np.where(goes_left, node[:, 2], node[:, 3]).astype(int)
 
 
-def grow_forest(df: DataFrame, columns: Sequence[str], id_column: str, trees: int = 100, seed: int = 42) -> DataFrame:
-    """Isolation trees, one row each, grown in parallel on hash samples of 256 rows.
+def grow_forest(
+    df: DataFrame, columns: Sequence[str], id_column: str, trees: int = 100, seed: int = 42, subsample: int = 256
+) -> DataFrame:
+    """Isolation trees, one row each, grown in parallel on hash samples of ``subsample`` rows.
 
     A pool of rows is drawn first, by a hash of the id, so that only about
-    ``4 * SUBSAMPLE * trees`` rows are ever multiplied by the number of trees.
-    Each tree takes the 256 rows of the pool with the smallest hashes for it; the
+    ``4 * subsample * trees`` rows are ever multiplied by the number of trees.
+    Each tree takes the ``subsample`` rows of the pool with the smallest hashes for it; the
     limit per tree is applied before the rows are grouped.
     """
     columns = list(columns)
     total = df.select(F.count(F.lit(1))).scalar()
-    wanted = float(4 * SUBSAMPLE * trees)
+    wanted = float(4 * subsample * trees)
     ids = F.col(id_column).cast("string")
 
     def uniform(*salt: Column) -> Column:
@@ -360,13 +379,13 @@ def grow_forest(df: DataFrame, columns: Sequence[str], id_column: str, trees: in
     pool = df.select(id_column, *columns).where(
         uniform(F.lit("pool")) < F.lit(wanted) / F.greatest(total, F.lit(1))
     )
-    share = F.lit(4.0 * SUBSAMPLE) / F.least(F.greatest(total, F.lit(1)), F.lit(wanted))
+    share = F.lit(4.0 * subsample) / F.least(F.greatest(total, F.lit(1)), F.lit(wanted))
     drawn = (
         pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
         .withColumn("__u", uniform(F.col("tree"))).where(F.col("__u") < share)
     )
     smallest = Window.partitionBy("tree").orderBy("__u", id_column)
-    sample = drawn.withColumn("__r", F.row_number().over(smallest)).where(F.col("__r") <= SUBSAMPLE)
+    sample = drawn.withColumn("__r", F.row_number().over(smallest)).where(F.col("__r") <= subsample)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
@@ -381,18 +400,19 @@ def grow_forest(df: DataFrame, columns: Sequence[str], id_column: str, trees: in
 
 def isolation_score(
     df: DataFrame, columns: Sequence[str], id_column: str, contamination: float = 0.1,
-    trees: int = 100, seed: int = 42, error: float = 0.001,
+    trees: int = 100, seed: int = 42, error: float = 0.001, subsample: int = 256,
 ) -> DataFrame:
     """Anomaly score and flag of each row.
 
     ``score`` is offset so that about ``contamination`` of the rows lie below 0.
-    The forest is at most ``trees`` x 511 nodes whatever the size of the data, so
+    Trees are grown on ``subsample`` rows each, the size the method is defined by; every row is scored.
+    The forest is at most ``trees`` x (2 x ``subsample`` - 1) nodes whatever the size of the data, so
     it is sent to the tasks with the scoring function.
     """
     columns = list(columns)
     forest = [
         (r["size"], np.array(json.loads(r["nodes"]), dtype=float))
-        for r in grow_forest(df, columns, id_column, trees, seed).toLocalIterator()
+        for r in grow_forest(df, columns, id_column, trees, seed, subsample).toLocalIterator()
     ]
     scale = _average_path(max(size for size, _ in forest)) or 1.0
 

@@ -91,5 +91,6 @@ def analyze_logs(logs: DataFrame) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_seen"),
             F.max("ts").alias("last_seen"), F.max(F.length("template")).alias("length"),
+            F.min("template").alias("template"),
         )
     )

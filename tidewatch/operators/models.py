@@ -72,10 +72,9 @@ def select_optimal_model(requests: DataFrame, models: DataFrame, as_of: Column)
 def model_rankings(model_metrics: DataFrame) -> DataFrame:
     """Models of each metric from best to worst; equal values keep their input order."""
     long = unpivot_scores(model_metrics).withColumn("__neg", -F.col("value"))
-    ranked = ordered.running(
-        long, ["metric"], ["__neg", "position"], ordered.magnitude_chunk(F.col("__neg")), rank=ordered.row_number()
-    )
-    return ranked.drop("__neg")
+    cut = ordered.with_value_chunks(long, ["metric"], "__neg", "__range")
+    ranked = ordered.running(cut, ["metric"], ["__neg", "position"], F.col("__range"), rank=ordered.row_number())
+    return ranked.drop("__neg", "__range")
 
 
 def rolling_model_performance(predictions: DataFrame, window: int = 100, block: int = 100_000) -> DataFrame:

@@ -81,10 +81,28 @@ def number_chunk(column: str, size: int) -> Column:
     return F.floor(F.col(column) / F.lit(size))
 
 
-def magnitude_chunk(value: Column, per_octave: int = 64) -> Column:
-    """Monotone chunk of any double: ``per_octave`` chunks per power of two."""
-    size = F.log2(F.lit(1.0) + F.abs(value)) * F.lit(per_octave)
-    return F.floor(F.signum(value) * size)
+def with_value_chunks(df: DataFrame, keys: Sequence[str], value: str, name: str, pieces: int = 256) -> DataFrame:
+    """Add ``name``: which of ``pieces`` ranges of its key a value lies in, 0 or more, monotone in the value.
+
+    The bounds are approximate percentiles of the key, so the ranges hold about as many rows each
+    whatever the values are.  They balance the work only: results do not depend on them.  ``pieces``
+    is a power of two; equal values share a range.
+    """
+    shares = [k / pieces for k in range(1, pieces)]
+    bounds = F.approx_percentile(value, shares, 16 * pieces)
+    if keys:
+        per_key = df.groupBy(*keys).agg(bounds.alias("__bounds")).select(
+            *[F.col(k).alias(f"__k_{k}") for k in keys], "__bounds"
+        )
+        same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+        found = df.join(per_key, same).drop(*[f"__k_{k}" for k in keys])
+    else:
+        found = df.withColumn("__bounds", df.agg(bounds).scalar())
+    steps = F.array(*[F.lit(1 << b) for b in range(pieces.bit_length() - 2, -1, -1)])
+    below = F.aggregate(
+        steps, F.lit(0), lambda at, step: at + F.when(F.element_at("__bounds", at + step) < F.col(value), step).otherwise(0)
+    )
+    return found.withColumn(name, below).drop("__bounds")
 
 
 def _summary(scan: Scan, order: Column) -> Column:
@@ -341,7 +359,7 @@ def exact_percentiles(
         .agg(F.count(F.lit(1)).alias("__n"))
     )
     ranked = running(
-        counts, keys, ["__v"], magnitude_chunk(F.col("__v")),
+        with_value_chunks(counts, keys, "__v", "__range"), keys, ["__v"], F.col("__range"),
         __cum=running_sum(F.col("__n")), __all=total_sum(F.col("__n")),
     )
     aggs = []

@@ -300,7 +300,7 @@ AGGREGATORS = {
     "max": lambda: F.max("value"),
     "sum": lambda: F.sum("value"),
     "count": lambda: F.count("value").cast("double"),
-    "last": lambda: F.max_by("value", "ts"),
+    "last": lambda: F.max_by("value", F.struct("ts", "id")),
 }
 
 

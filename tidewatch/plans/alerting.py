@@ -186,12 +186,12 @@ def mtbf(t):
 
 @query("availability", """
 WITH w AS (SELECT TIMESTAMP '1996-01-01 00:00:00' AS a, TIMESTAMP '1998-01-01 00:00:00' AS b),
-o AS (SELECT system_id, id, greatest(created_at, a) AS s, least(resolved_at, b) AS e FROM alerts JOIN w ON TRUE
-  WHERE resolved_at IS NOT NULL AND resolved_at > a AND created_at < b),
+o AS (SELECT system_id, id, greatest(created_at, a) AS s, least(coalesce(resolved_at, b), b) AS e FROM alerts JOIN w ON TRUE
+  WHERE coalesce(resolved_at, b) > a AND created_at < b),
 c AS (SELECT *, max(e) OVER (PARTITION BY system_id ORDER BY s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cov FROM o)
-SELECT system_id, sum(greatest(0, epoch(e) - epoch(greatest(s, cov))))::DOUBLE AS outage_s,
-  round(1 - sum(greatest(0, epoch(e) - epoch(greatest(s, cov)))) / 63158400.0::DOUBLE, 6) AS availability
-FROM c GROUP BY system_id""")
+SELECT y.id AS system_id, coalesce(sum(greatest(0, epoch(e) - epoch(greatest(s, cov)))), 0)::DOUBLE AS outage_s,
+  round(1 - coalesce(sum(greatest(0, epoch(e) - epoch(greatest(s, cov)))), 0) / 63158400.0::DOUBLE, 6) AS availability
+FROM systems y LEFT JOIN c ON c.system_id = y.id GROUP BY y.id""")
 def availability(t):
     bounds = [F.lit(x).cast("timestamp_ntz") for x in ("1996-01-01 00:00:00", "1998-01-01 00:00:00")]
-    return rounded(al.availability(t.alerts, *bounds), "availability")
+    return rounded(al.availability(t.alerts, t.systems, *bounds), "availability")

@@ -40,12 +40,12 @@ def new_alerts_anti(t):
 
 
 @query("alerts_to_resolve", f"""
-WITH e AS ({EVALUATED}) SELECT id, system_id, metric_name, 'resolved' AS status, {AT} AS resolved_at FROM alerts a
-WHERE status = 'active' AND EXISTS (SELECT 1 FROM e WHERE NOT e.triggered AND a.system_id = e.system_id
-  AND a.metric_name = e.metric_name)""")
+WITH e AS ({EVALUATED}), c AS (SELECT system_id, metric_name, arg_min(channels, id) AS channels FROM e WHERE NOT triggered GROUP BY ALL)
+SELECT id, system_id, metric_name, 'resolved' AS status, {AT} AS resolved_at, c.channels
+FROM alerts JOIN c USING (system_id, metric_name) WHERE status = 'active'""")
 def alerts_to_resolve(t):
     got = alerts.alerts_to_resolve(evaluated(t), t.alerts, as_of())
-    return got.select("id", "system_id", "metric_name", "status", "resolved_at")
+    return got.select("id", "system_id", "metric_name", "status", "resolved_at", "channels")
 
 
 SNAPSHOT = f"""

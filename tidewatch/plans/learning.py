@@ -304,7 +304,7 @@ def train_random_forest(t):
 
     keyed = ml.failure_features(t.metrics).withColumn("row_id", F.concat_ws("/", "system_id", "day"))
     data = ml.train_test_split(keyed, "row_id")
-    model = ml.train_random_forest(data.where(~F.col("is_test")), trees=20, depth=6)
+    model = ml.train_random_forest(data.where(~F.col("is_test")))
     return model.transform(ml.assemble(data)).select(
         "system_id", "day", "is_test", "label", vector_to_array("probability")[1].alias("failure_probability")
     )
@@ -314,17 +314,16 @@ def train_random_forest(t):
 def isolation_score(t):
     """Systems and days scored by an isolation forest."""
     df = ml.failure_features(t.metrics).withColumn("row_id", F.concat_ws("/", "system_id", "day"))
-    names = ["cpu_usage", "memory_usage", "error_rate", "response_time", "request_count"]
-    return ml.isolation_score(df.select("row_id", *names), names, "row_id").select("row_id", "score", "is_anomaly")
+    return ml.isolation_score(df.select("row_id", *ml.FEATURES), ml.FEATURES, "row_id").select("row_id", "score", "is_anomaly")
 
 
 @query("retrain_all")
 def retrain_all(t):
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 
-    train = ml.failure_features(t.metrics)
-    return ml.retrain_all(train, {
-        "random_forest": RandomForestClassifier(numTrees=10, maxDepth=5, seed=42),
-        "logistic": LogisticRegression(maxIter=10),
+    data = ml.failure_features(t.metrics).withColumn("row_id", F.concat_ws("/", "system_id", "day"))
+    return ml.retrain_all(data, {
+        "random_forest": RandomForestClassifier(numTrees=100, maxDepth=10, seed=42),
+        "logistic": LogisticRegression(),
         "broken": RandomForestClassifier(labelCol="no_such_column"),
-    })
+    }, "row_id")

@@ -67,7 +67,7 @@ def request_hash(t):
 @query("analyze_logs", r"""
 WITH x AS (SELECT level, ts, trim(regexp_replace(regexp_replace(regexp_replace(message, '0[xX][0-9a-fA-F]+', '<hex>', 'g'),
   '[0-9]+', '<num>', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS tpl FROM logs)
-SELECT md5(tpl) AS template_id, level, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen, max(length(tpl))::INT AS length
+SELECT md5(tpl) AS template_id, level, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen, max(length(tpl))::INT AS length, min(tpl) AS template
 FROM x GROUP BY 1, 2""")
 def analyze_logs(t):
     return lg.analyze_logs(t.logs)

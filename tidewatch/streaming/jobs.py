@@ -205,10 +205,11 @@ def standing_alerts(changes: BatchLog) -> DataFrame:
 class RecentCount(StatefulProcessor):
     """Running count of the rows of a key; the state expires after the TTL."""
 
-    TTL_MS = 3_600_000
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle) -> None:
-        self._count = handle.getValueState("count", "n long", ttlDurationMs=self.TTL_MS)
+        self._count = handle.getValueState("count", "n long", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n = self._count.get()[0] if self._count.exists() else 0
@@ -220,7 +221,7 @@ class RecentCount(StatefulProcessor):
         pass
 
 
-def recent_counts(df: DataFrame, key: str) -> DataFrame:
+def recent_counts(df: DataFrame, key: str, ttl_seconds: int = 3600) -> DataFrame:
     """Counts per key kept in the state store with a TTL.
 
     Rows are counted inside each Arrow batch first, so a busy key sends a row per
@@ -233,6 +234,6 @@ def recent_counts(df: DataFrame, key: str) -> DataFrame:
 
     counted = df.select(F.col(key).cast("string").alias("key")).mapInPandas(combine, "key string, n long")
     return counted.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=RecentCount(), outputStructType="key string, n long",
+        statefulProcessor=RecentCount(ttl_seconds * 1000), outputStructType="key string, n long",
         outputMode="Update", timeMode="ProcessingTime",
     )
