@@ -8,6 +8,7 @@ A shard is one row of a Parquet table, so a shard file is complete or absent.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -16,6 +17,7 @@ from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
@@ -220,27 +222,35 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     Null texts are empty, rows without doc_id are left out, and rows of one doc_id are ordered by
     text.  ``end_id`` is appended to each document.
     """
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    fields = pa.schema(
+        [("part", pa.int32()), ("number", pa.int32()), ("first_doc", pa.int64()), ("n_ids", pa.int64()), ("vocabulary", pa.int32())]
+        + [(name, pa.binary()) for name in ("docs", "sizes", "rules", "lengths", "sequence")]
+    )
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a task has one core: the library's threads would only add memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = Encoder(tokenizer)
         size = encoder.tokenizer.get_vocab_size(with_added_tokens=True)
         vocabulary = max(size, *encoder.tokenizer.get_added_tokens_decoder(), (end_id or 0)) + 1
         tail = np.array([] if end_id is None else [end_id], np.int32)
         ids, doc_ids, sizes, held, number, part = [], [], [], 0, 0, None
 
-        def shard() -> pd.DataFrame:
+        def shard() -> pa.RecordBatch:
             whole = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             rules, lengths, sequence = compress(whole, vocabulary)
-            return pd.DataFrame({
+            return pa.RecordBatch.from_pydict({
                 "part": [part], "number": [number], "first_doc": [doc_ids[0]], "n_ids": [len(whole)], "vocabulary": [vocabulary],
                 "docs": [zlib.compress(np.array(doc_ids, "<i8").tobytes(), 1)], "sizes": [zlib.compress(np.array(sizes, "<i8").tobytes(), 1)],
                 "rules": [pack(rules.ravel())], "lengths": [pack(lengths)], "sequence": [pack(sequence)],
-            })
-
-        for frame in frames:
-            for at in range(0, len(frame), 64):
-                rows = frame.iloc[at:at + 64]
-                part = int(rows["part"].iloc[0])
-                for doc_id, found in zip(rows["doc_id"], encoder.encode([t or "" for t in rows["text"]])):
+            }, fields)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                rows = batch.slice(at, 64)
+                part = rows.column("part")[0].as_py()
+                texts = [t or "" for t in rows.column("text").to_pylist()]
+                for doc_id, found in zip(rows.column("doc_id").to_pylist(), encoder.encode(texts)):
                     coded = np.r_[found, tail].astype(np.int32)
                     ids.append(coded)
                     doc_ids.append(doc_id)
@@ -258,7 +268,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").select(
         F.spark_partition_id().alias("part"), "doc_id", "text"
     )
-    dealt.mapInPandas(write, SHARD).write.parquet(path)
+    dealt.mapInArrow(write, SHARD).write.parquet(path)
 
 
 def read_documents(spark, path: str) -> DataFrame:
