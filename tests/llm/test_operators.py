@@ -290,6 +290,47 @@ def test_simhash_odd_rows(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_copies_against_brute_force(spark):
+    """Every pair at 0.8 or more of the five-word shingles goes, and rows of other texts stay."""
+    rng = random.Random(4)
+    texts = ["", None, " ", "One two", "one  two", "three"]
+    for length in (30, 120, 900):
+        for _ in range(12):
+            words = [f"w{rng.randrange(4000)}" for _ in range(length)]
+            for changes in (0, 1, 2, 3, length // 60):  # chains, and pairs on both sides of the threshold
+                words = list(words)
+                for _ in range(changes):
+                    words[rng.randrange(length)] = f"x{rng.randrange(10**6)}"
+                texts.append(" ".join(words))
+    rng.shuffle(texts)
+    rows = [(i // 2 if i % 7 else None, t) for i, t in enumerate(texts)]  # ids repeat over texts, or are missing
+    docs = documents(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(5)
+
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                root[find(i)] = find(j)
+    groups = {}
+    for k, (i, t) in enumerate(rows):
+        groups.setdefault(find(k), []).append((i is None, i or 0))
+    got = simhash.one_of_each(docs).collect()
+    place = {t or "": find(k) for k, t in enumerate(texts)}
+    assert {place[r["text"] or ""]: (r["doc_id"] is None, r["doc_id"] or 0) for r in got} == {g: min(m) for g, m in groups.items()}
+    assert len(got) == len(groups)
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(40)] + [(100, 100), (7, 5)] + [(200 + rng.randrange(30), 200 + rng.randrange(30)) for _ in range(60)]

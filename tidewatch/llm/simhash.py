@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.llm.components import components
+from tidewatch.llm.decontaminate import _bounded
+from tidewatch.llm.overlap import class_of, similar_links
 from tidewatch.llm.storage import staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -200,10 +202,22 @@ def near_duplicates(docs: DataFrame, budget: int = 2, size: int = 3) -> DataFram
     )
 
 
-def one_of_each(docs: DataFrame, budget: int = 2, size: int = 3) -> DataFrame:
-    """The documents without near copies of smaller doc_id; rows without doc_id stay, repeated rows stay once."""
-    groups = near_duplicates(docs, budget, size)
-    copies = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    kept = named.join(copies, "doc_id", "left_anti").select(docs.columns)
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+def one_of_each(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
+    """One document of each group of near copies, that of the smallest doc_id; repeated rows stay once.
+
+    Texts whose sets of ``size``-word shingles have a Jaccard similarity of ``similarity`` or more are
+    linked.  Rows are told apart by doc_id and text: of different texts under one doc_id each has its
+    own group.  Rows without doc_id come after all others, so one stays only where its group has no other.
+    """
+    row, text_class = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), class_of(F.col("text"))
+    rows = staged(docs.select("doc_id", row.alias("r"), text_class.alias("c")), "rows")
+    reached = staged(components(similar_links(docs, similarity, size)), "reached")
+    grouped = rows.join(reached, rows["c"] == reached["node"], "left").select(
+        "r", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "r").alias("order"), F.coalesce("component", "c").alias("root")
+    )
+    best = grouped.groupBy("root").agg(F.min("order").alias("best"))
+    copies = staged(grouped.join(best, "root").filter(F.col("r") != F.col("best.r")).select("r").distinct(), "copies")
+    kept = docs.withColumn("r", row).join(_bounded(copies), "r", "left_anti")
+    if not rows.groupBy("r").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["r"])
+    return kept.select(docs.columns)
