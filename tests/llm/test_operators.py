@@ -171,6 +171,26 @@ def test_embeddings_against_brute_force(spark):
     assert pq.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_no_link_of_anisotropic_vectors_is_lost(spark):
+    """Many lists, and variance that falls with the dimension: each vector has all its links."""
+    rng = np.random.default_rng(6)
+    scale = 1 / np.arange(1, 65) ** 0.5
+    x = rng.normal(size=(1500, 64)) * scale + 0.4 * (rng.normal(size=(25, 64)) * scale)[rng.integers(0, 25, 1500)]
+    x = np.r_[x, x[:500] + 0.35 * rng.normal(size=(500, 64)) * scale]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    weight = rng.integers(1, 4, len(x))
+    df = spark.createDataFrame([(i, v.tolist(), int(n)) for i, (v, n) in enumerate(zip(x, weight))], "id long, unit array<double>, weight long")
+    found = pq.distinct_links(df.repartition(4), 0.9, per_list=25).collect()
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    counts = np.zeros(len(x), int)
+    for r in found:
+        if r["kind"] == "links":
+            counts[r["a"]] += r["n"]
+    assert near.sum() > 500
+    assert (counts == near @ weight).all()
+
+
 # 5
 
 

@@ -6,11 +6,11 @@ per subspace.  A query probes every list that can hold a partner, compares its d
 with the codes of the list, and the survivors are compared exactly.
 
 A partner at most ``delta`` away lies in the cell of centroid ``c`` only if its difference from the
-query reaches over the plane between ``c`` and the query's own centroid.  In ``dim`` dimensions a
-difference has ``delta / sqrt(dim)`` along a given direction on average; lists beyond ``reach`` times
-that are not probed (with ``reach = sqrt(dim)`` no list that can hold a partner is left out).  The
-table's estimate is off by at most the stored length of the vector's coding error, which is added
-before the comparison, so that step loses nothing.
+query reaches over the plane between ``c`` and the query's own centroid; only lists behind planes
+farther than ``delta`` away are not probed, so no list that can hold a partner is left out.  As that holds
+from both ends, the vector in the list of the smaller number probes the other's, and the pair counts
+for both.  The table's estimate is off by at most the stored length of the vector's coding error,
+which is added before the comparison, so that step loses nothing either.
 """
 
 from __future__ import annotations
@@ -98,7 +98,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def distinct_links(distinct: DataFrame, threshold: float = 0.9, sample_rows: int = 20_000, per_list: int = 256, reach: float = 2.5) -> DataFrame:
+def distinct_links(distinct: DataFrame, threshold: float = 0.9, sample_rows: int = 20_000, per_list: int = 2048) -> DataFrame:
     """``kind, a, b, n``: rows ``links`` (``n`` others linked to ``a``, weighted by ``weight``) and ``edge`` (``a`` and ``b`` joined).
 
     ``distinct`` has ``id, unit, weight`` and one dimension.  The edges connect what is linked
@@ -111,8 +111,7 @@ def distinct_links(distinct: DataFrame, threshold: float = 0.9, sample_rows: int
     sample = picked.select("unit").limit(sample_rows).toPandas()
     quantiser = fit(_matrix(sample["unit"]), lists)
     shared = distinct.sparkSession.sparkContext.broadcast((quantiser.centres, quantiser.codebook))
-    dim = quantiser.centres.shape[1]
-    delta = (math.sqrt(2 - 2 * threshold) + 1e-6) * min(1.0, reach / math.sqrt(dim))
+    delta = math.sqrt(2 - 2 * threshold) + 1e-6
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q = Quantiser(*shared.value)
@@ -128,7 +127,7 @@ def distinct_links(distinct: DataFrame, threshold: float = 0.9, sample_rows: int
                 gap = far - far[np.arange(len(x)), own][:, None]
                 between = apart[own] if apart is not None else np.sqrt(np.maximum(
                     ((q.centres[own][:, None] - q.centres[None]) ** 2).sum(2), 1e-30))
-                probed = gap <= 2 * delta * between
+                probed = (gap <= 2 * delta * between + 1e-9) & (np.arange(len(q.centres)) > own[:, None])
                 probed[np.arange(len(x)), own] = True
                 row, centre = np.nonzero(probed)
                 ids, weights, units = rows["id"].to_numpy(), rows["weight"].to_numpy(), rows["unit"].to_numpy()
@@ -146,10 +145,10 @@ def distinct_links(distinct: DataFrame, threshold: float = 0.9, sample_rows: int
     sizes = placed.groupBy("list").agg(F.sum(F.col("member").cast("int")).alias("members"))
     cut = placed.join(sizes.filter("members > 0"), "list").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    members = cut.filter("member").select("list", own.alias("block"), "id", "weight", "unit", "code", "error", F.lit(True).alias("member"))
+    members = cut.filter("member").select("list", own.alias("block"), "id", "weight", "unit", "code", "error", F.lit(True).alias("member"), F.lit(False).alias("foreign"))
     queries = cut.select(
         "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "weight", "unit",
-        F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("error"), F.lit(False).alias("member"),
+        F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("error"), F.lit(False).alias("member"), (~F.col("member")).alias("foreign"),
     )
     dealt = members.unionByName(queries).repartition("list", "block").sortWithinPartitions("list", "block", F.desc("member"))
 
@@ -190,6 +189,11 @@ def distinct_links(distinct: DataFrame, threshold: float = 0.9, sample_rows: int
             counts = np.bincount(r, block["weight"][c], len(ids)).astype(np.int64)
             some = counts > 0
             out.append(pd.DataFrame({"kind": "links", "a": ids[some], "b": ids[some], "n": counts[some]}))
+            # a vector of another list is not probed in turn: its pairs count for the members too
+            foreign = rows["foreign"].to_numpy()[r]
+            back = np.bincount(c[foreign], rows["weight"].to_numpy()[r[foreign]], len(block["id"])).astype(np.int64)
+            met = back > 0
+            out.append(pd.DataFrame({"kind": "links", "a": block["id"][met], "b": block["id"][met], "n": back[met]}))
             a, b = spanning(ids[r], block["id"][c])
             out.append(pd.DataFrame({"kind": "edge", "a": a, "b": b, "n": 0}))
             return pd.concat(out)
