@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm import bpe, decontaminate, pq, preference, repair, rollups, rules, simhash, toxicity, warc
+from tidewatch.llm import (
+    bpe, decontaminate, licenses, pq, preference, repair, rollups, rules, search, simhash, spelling, toxicity, warc,
+)
 from tidewatch.llm.registry import ORACLES, QUERIES, query, table
 from tidewatch.llm.storage import shared_folder, staged
 
@@ -193,3 +195,67 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at a cosine of 0.9 or more."""
     return pq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_spelling")
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every frequent word; one in 199 runs of a document loses a letter."""
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), thinned=199)
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op12_search", r"""
+WITH e AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents WHERE doc_id IS NOT NULL),
+l AS (SELECT doc_id, count(*) AS n FROM e GROUP BY 1),
+c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM l),
+i AS (SELECT item_id, min(text) AS text FROM benchmark WHERE item_id IS NOT NULL GROUP BY 1),
+q AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id,
+      unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM i) GROUP BY ALL),
+p AS (SELECT doc_id, term, count(*) AS tf FROM e SEMI JOIN q USING (term) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY 1),
+s AS (SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT AS score
+      FROM q JOIN p USING (term) JOIN w USING (term) JOIN l USING (doc_id), c GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+""")
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _scan_sql() -> str:
+    """Every block and template by counting shared words, without any filter."""
+    sets = [(number, licenses.size_class(licenses.words_of(text)), label, set(licenses.words_of(text))) for number, (label, text) in enumerate(licenses.TEMPLATES)]
+    words = ", ".join(
+        f"({number}, {size}, '{label}', '{word}', {len(own)}, {licenses.needed(list(own), licenses.THRESHOLD)})"
+        for number, size, label, own in sets for word in sorted(own)
+    )
+    phrases = " UNION ALL ".join(
+        f"SELECT r, i, '{label}' AS label FROM v WHERE " + " AND ".join(f"{c} = '{w}'" for c, w in zip(("w", "w1", "w2"), licenses.words_of(phrase)))
+        for phrase, label in licenses.PHRASES
+    )
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+u AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM d),
+v AS (SELECT r, i, w, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2 FROM u WINDOW o AS (PARTITION BY r ORDER BY i)),
+b AS ({phrases}),
+base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base FROM b GROUP BY r),
+t(template, c, label, w, size, need) AS (VALUES {words}),
+h AS (SELECT r, i, template, c, label, w, size, need FROM u JOIN t USING (w)),
+k AS (SELECT *, i // c AS block FROM h UNION ALL SELECT *, i // c - 1 FROM h WHERE i >= c),
+m AS (SELECT r, label, count(DISTINCT w) / size::DOUBLE AS share FROM k GROUP BY r, template, block, label, size, need HAVING count(DISTINCT w) >= need),
+a AS (SELECT r, list(DISTINCT label) AS added, max(share) AS share FROM m GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(added, [])))), ',') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN a USING (r)"""
+
+
+@query("op13_licenses", _scan_sql())
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
