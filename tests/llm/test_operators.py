@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 from tidewatch.llm import (
     bpe, components, decontaminate, pq, preference, repair, rollups, rules, simhash, toxicity, warc,
 )
+from tidewatch.llm.queries import QUERIES
 from tidewatch.llm.storage import shared_folder
 
 DOCS = "doc_id long, text string, lang string, source string, score string, words string, stats string"
@@ -171,24 +172,60 @@ def test_embeddings_against_brute_force(spark):
     assert pq.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_no_link_of_anisotropic_vectors_is_lost(spark):
-    """Many lists, and variance that falls with the dimension: each vector has all its links."""
-    rng = np.random.default_rng(6)
-    scale = 1 / np.arange(1, 65) ** 0.5
-    x = rng.normal(size=(1500, 64)) * scale + 0.4 * (rng.normal(size=(25, 64)) * scale)[rng.integers(0, 25, 1500)]
-    x = np.r_[x, x[:500] + 0.35 * rng.normal(size=(500, 64)) * scale]
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    weight = rng.integers(1, 4, len(x))
+def spread_vectors(kind, n, rng):
+    """``n`` unit vectors in 64 dimensions and ``n // 3`` more at a cosine of about 0.85 to 0.97 to some of them."""
+    scale = np.ones(64) if kind == "isotropic" else 1 / np.arange(1, 65) ** 0.5
+    x = rng.normal(size=(n, 64)) * scale
+    x = np.r_[x, x[:n // 3] + rng.uniform(0.25, 0.6, (n // 3, 1)) * rng.normal(size=(n // 3, 64)) * scale]
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def counted_links(spark, x, weight, **options):
     df = spark.createDataFrame([(i, v.tolist(), int(n)) for i, (v, n) in enumerate(zip(x, weight))], "id long, unit array<double>, weight long")
-    found = pq.distinct_links(df.repartition(4), 0.9, per_list=25).collect()
+    counts = np.zeros(len(x), int)
+    for r in pq.distinct_links(df.repartition(4), 0.9, **options).filter("kind = 'links'").collect():
+        counts[r["a"]] += r["n"]
     near = x @ x.T >= 0.9
     np.fill_diagonal(near, False)
-    counts = np.zeros(len(x), int)
-    for r in found:
-        if r["kind"] == "links":
-            counts[r["a"]] += r["n"]
-    assert near.sum() > 500
-    assert (counts == near @ weight).all()
+    return counts, near @ weight
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "anisotropic"])
+def test_calibrated_probes_find_the_links(spark, kind):
+    """Two hundred lists: nearly all links with calibrated probes, none counted twice; every link with ``exact``."""
+    rng = np.random.default_rng(6)
+    x = spread_vectors(kind, 4500, rng)
+    weight = rng.integers(1, 4, len(x))
+    got, want = counted_links(spark, x, weight, per_list=30)
+    assert (got <= want).all() and want.sum() > 1000
+    assert got.sum() >= 0.999 * want.sum()
+    some = np.r_[0:800, 4500:5300]  # vectors and their partners
+    got, want = counted_links(spark, x[some], weight[some], per_list=25, exact=True)
+    assert (got == want).all() and want.sum() > 100
+
+
+def test_few_lists_are_probed():
+    rng = np.random.default_rng(7)
+    x = spread_vectors("anisotropic", 15_000, rng)
+    q = pq.fit(x, 80)
+    probes = [pq.calibrated_probes(q, x, 0.9, recall) for recall in (0.9, 0.99, 0.9999)]
+    assert probes == sorted(probes) and probes[-1] < 40
+
+
+def test_planted_links_reach_the_query(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    x = spread_vectors("anisotropic", 600, rng).astype(np.float32)
+    x = np.r_[x, x[:5], 3 * x[5:7]]
+    rows = [(i, [float(v) for v in e], 0) for i, e in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in QUERIES["op4_embedding_dedup"](spark, str(tmp_path)).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    reach = near.copy()
+    for _ in range(10):
+        reach = (reach.astype(int) @ reach.astype(int)) > 0
+    assert got == {i: (int(near[i].sum()) - 1, int(np.flatnonzero(reach[i])[0])) for i in range(len(x))}
+    assert sum(n for n, _ in got.values()) > 100
 
 
 # 5
