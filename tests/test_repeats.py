@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F, types as T
 
 from tidewatch.functions import masking
-from tidewatch.operators import ordered, remediation, selection, store
+from tidewatch.operators import ordered, quantiles, remediation, selection, store
 
 def as_of():
     return F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
@@ -48,7 +48,7 @@ def test_errors_and_audit_are_topics(spark):
 
 def test_percentiles_leave_nan_out(spark):
     rows = spark.createDataFrame([("k", float(v)) for v in range(1, 11)] + [("k", float("nan"))] * 6, "k string, v double")
-    assert ordered.exact_percentiles(rows, ["k"], "v", {"p50": 0.5}).first()["p50"] == 5.5
+    assert quantiles.exact_percentiles(rows, ["k"], "v", {"p50": 0.5}).first()["p50"] == 5.5
 
 
 def test_maps_of_other_values_are_masked(spark):

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewatch.operators import ordered
+from tidewatch.operators import ordered, quantiles
 from tidewatch.operators.selection import span
 
 _ON_SYSTEM = "system_id"
@@ -201,22 +201,15 @@ PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
 def metric_percentiles(metrics: DataFrame, by: Sequence[str] = ("name",), approximate: bool = False) -> DataFrame:
     if not approximate:
-        return ordered.exact_percentiles(metrics, by, "value", PERCENTILES)
+        return quantiles.exact_percentiles(metrics, by, "value", PERCENTILES)
     return metrics.groupBy(*by).agg(
         *[F.approx_percentile("value", q).alias(n) for n, q in PERCENTILES.items()]
     )
 
 
 def feature_vector(metrics: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Mean, deviation, extremes, quartiles and length of each series."""
-    moments = metrics.groupBy(*by).agg(
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"), F.count("value").alias("n"),
-    )
-    quartiles = ordered.exact_percentiles(
-        metrics, by, "value", {"median": 0.5, "p25": 0.25, "p75": 0.75}
-    )
-    return moments.join(quartiles, list(by))
+    """Mean, deviation, extremes, quartiles and length of each series, of all values but NaN."""
+    return quantiles.exact_percentiles(metrics, by, "value", {"median": 0.5, "p25": 0.25, "p75": 0.75}, moments=True)
 
 
 def batch_summary(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -237,7 +230,7 @@ def requests_by_type(requests: DataFrame, batch_size: int = 100) -> DataFrame:
     """
     numbered = ordered.running(
         requests, ["prediction_type"], ["generated_at", "request_id"],
-        ordered.time_chunk("generated_at"), __n=ordered.row_number(),
+        ordered.row_chunks("generated_at"), __n=ordered.row_number(),
     )
     batch = F.floor((F.col("__n") - 1) / F.lit(batch_size)).cast("long")
     return numbered.withColumn("batch", batch).groupBy("prediction_type", "batch").agg(

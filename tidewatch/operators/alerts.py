@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewatch.functions.conditions import alert_condition
 from tidewatch.functions.ids import entity_id
 from tidewatch.functions.labels import combine_labels, decode_labels, encode_labels
-from tidewatch.operators import ordered
+from tidewatch.operators import ordered, quantiles
 
 
 def rules_join_latest(rules: DataFrame, latest: DataFrame) -> DataFrame:
@@ -209,13 +209,11 @@ def threshold_check(systems: DataFrame, latest: DataFrame) -> DataFrame:
 
 
 def adaptive_thresholds(metrics: DataFrame) -> DataFrame:
-    """Thresholds learned per series: mean + 3 deviations, and the 99th percentile."""
-    spread = metrics.groupBy("system_id", "name").agg(
-        (F.avg("value") + 3 * F.stddev_pop("value")).alias("sigma_threshold"),
-        F.count("value").alias("n"),
+    """Thresholds learned per series: mean + 3 deviations, and the 99th percentile, of all values but NaN."""
+    learned = quantiles.exact_percentiles(metrics, ["system_id", "name"], "value", {"p99": 0.99}, moments=True)
+    return learned.select(
+        "system_id", "name", (F.col("mean") + 3 * F.col("std")).alias("sigma_threshold"), "n", "p99"
     )
-    tail = ordered.exact_percentiles(metrics, ["system_id", "name"], "value", {"p99": 0.99})
-    return spread.join(tail, ["system_id", "name"])
 
 
 def mttr(alerts: DataFrame, by: Sequence[str] = ("severity",)) -> DataFrame:

@@ -40,7 +40,7 @@ def sessions(df: DataFrame, key: str, gap_seconds: int, ts: str = "ts", tie: str
     """
     paused = F.timestamp_diff("MICROSECOND", F.col("__before"), F.col(ts)) >= gap_seconds * 1_000_000
     found = ordered.island_aggregates(
-        df, [key], [ts, tie], ordered.time_chunk(ts), {"__before": F.col(ts)},
+        df, [key], [ts, tie], ordered.row_chunks(ts), {"__before": F.col(ts)},
         F.col("__before").isNull() | paused,
         session_start=("min", F.col(ts)), last=("max", F.col(ts)), n=("count", F.col(tie)), total=("sum", F.col("value")),
     )
@@ -80,7 +80,7 @@ def dedup_ttl(df: DataFrame, keys: Sequence[str], ttl_seconds: int, ts: str = "t
 
 def event_order(df: DataFrame, key: str, ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """Position of each event in the event-time order of its key."""
-    return ordered.running(df, [key], [ts, tie], ordered.time_chunk(ts), position=ordered.row_number())
+    return ordered.running(df, [key], [ts, tie], ordered.row_chunks(ts), position=ordered.row_number())
 
 
 def sorted_output(df: DataFrame, key: str, ts: str = "ts") -> DataFrame:

@@ -15,7 +15,7 @@ from tidewatch.functions.sampling import hash_fraction
 from tidewatch.functions.scoring import (
     FEATURES, contributing_factors, failure_label, failure_time, recommendations, risk_level,
 )
-from tidewatch.operators import ordered
+from tidewatch.operators import ordered, quantiles
 from tidewatch.operators.aggregate import ensemble_probability
 
 # Stored percentages become the fractions the model uses.
@@ -40,7 +40,7 @@ def timeseries_points(metrics: DataFrame, points_per_row: int = 10_000) -> DataF
     """Ordered ``(ts, value)`` points per series, in parts of bounded size."""
     numbered = ordered.running(
         metrics.select("system_id", "name", "ts", "id", "value"), ["system_id", "name"], ["ts", "id"],
-        ordered.time_chunk("ts"), position=ordered.row_number(),
+        ordered.row_chunks("ts"), position=ordered.row_number(),
     )
     part = F.floor((F.col("position") - 1) / F.lit(points_per_row)).cast("long")
     points = F.array_sort(F.collect_list(F.struct("position", "ts", "value")))
@@ -53,13 +53,13 @@ def ds_y_frame(metrics: DataFrame) -> DataFrame:
     return metrics.select("system_id", "name", F.col("ts").alias("ds"), F.col("value").alias("y"))
 
 
-def clean_series(metrics: DataFrame, keys: Sequence[str] = ("system_id", "name"), chunk: str = "hour") -> DataFrame:
+def clean_series(metrics: DataFrame, keys: Sequence[str] = ("system_id", "name")) -> DataFrame:
     """Fill missing values forward, then clip to the quartiles -/+ 1.5 ranges."""
     keys = list(keys)
     filled = ordered.running(
-        metrics, keys, ["ts", "id"], ordered.time_chunk("ts", chunk), filled=ordered.last_known(F.col("value"))
+        metrics, keys, ["ts", "id"], ordered.row_chunks("ts"), filled=ordered.last_known(F.col("value"))
     )
-    quartiles = ordered.exact_percentiles(metrics, keys, "value", {"q1": 0.25, "q3": 0.75})
+    quartiles = quantiles.exact_percentiles(metrics, keys, "value", {"q1": 0.25, "q3": 0.75})
     width = F.col("q3") - F.col("q1")
     clipped = F.least(F.greatest(F.col("filled"), F.col("q1") - 1.5 * width), F.col("q3") + 1.5 * width)
     return filled.join(quartiles, keys, "left").withColumn(
@@ -94,7 +94,7 @@ def engineer_features(metrics: DataFrame, as_of: Column, keys: Sequence[str] = (
     """Trend (slope per hour), seasonality (spread of hourly means over deviation), volatility."""
     keys = list(keys)
     steps = ordered.running(
-        metrics, keys, ["ts", "id"], ordered.time_chunk("ts"), before=ordered.previous(F.col("value"))
+        metrics, keys, ["ts", "id"], ordered.row_chunks("ts"), before=ordered.previous(F.col("value"))
     )
     basic = steps.groupBy(*keys).agg(
         F.regr_slope("value", _hours(as_of)).alias("trend"), F.stddev_pop("value").alias("__std"),
@@ -135,18 +135,19 @@ def anomaly_stat(
     A sample is an anomaly when its z-score exceeds ``4 - 2.5 * sensitivity``.
     Values are centred on the mean of their series, so that sums of squares keep
     their precision; a window whose deviation is below a millionth of the
-    deviation of the series counts as constant.
+    deviation of the series counts as constant.  Nulls and NaN count as no samples.
     """
     if not 0.1 <= sensitivity <= 1.0:
         raise ValueError("sensitivity must be between 0.1 and 1")
     keys = list(keys)
+    known = F.when(~F.isnan("value"), F.col("value"))
     stats = metrics.groupBy(*keys).agg(
-        F.coalesce(F.avg("value"), F.lit(0.0)).alias("__mean"), F.coalesce(F.var_pop("value"), F.lit(0.0)).alias("__var")
+        F.coalesce(F.avg(known), F.lit(0.0)).alias("__mean"), F.coalesce(F.var_pop(known), F.lit(0.0)).alias("__var")
     )
-    x = F.col("value") - F.col("__mean")
+    x = known - F.col("__mean")
     sums = ordered.trailing_sums(
         metrics.join(stats, keys), keys, "ts", window_hours * 3600, False,
-        n_before=F.when(F.col("value").isNotNull(), 1).otherwise(0).cast("long"),
+        n_before=F.when(known.isNotNull(), 1).otherwise(0).cast("long"),
         __sx=F.coalesce(x, F.lit(0.0)), __sxx=F.coalesce(x * x, F.lit(0.0)),
     )
     n = F.when(F.col("n_before") > 0, F.col("n_before"))
@@ -156,7 +157,7 @@ def anomaly_stat(
     return sums.withColumns(
         {
             "n_before": F.coalesce("n_before", F.lit(0)), "expected_value": mean + F.col("__mean"),
-            "z": (F.col("value") - F.col("__mean") - mean) / deviation,
+            "z": (known - F.col("__mean") - mean) / deviation,
         }
     ).withColumns(
         {
@@ -220,7 +221,7 @@ def capacity_eta(metrics: DataFrame, limits: dict[str, float], as_of: Column, ke
 def resource_optimization(metrics: DataFrame, names: Sequence[str], keys: Sequence[str] = ("system_id", "name")) -> DataFrame:
     """Size advice from the 95th percentile of utilisation."""
     used = metrics.where(F.col("name").isin(*names))
-    p = ordered.exact_percentiles(used, keys, "value", {"p95": 0.95})
+    p = quantiles.exact_percentiles(used, keys, "value", {"p95": 0.95})
     advice = F.when(F.col("p95") < 30, "downsize").when(F.col("p95") > 80, "upsize").otherwise("keep")
     return p.withColumn("advice", advice)
 

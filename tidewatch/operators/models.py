@@ -72,9 +72,8 @@ def select_optimal_model(requests: DataFrame, models: DataFrame, as_of: Column)
 def model_rankings(model_metrics: DataFrame) -> DataFrame:
     """Models of each metric from best to worst; equal values keep their input order."""
     long = unpivot_scores(model_metrics).withColumn("__neg", -F.col("value"))
-    cut = ordered.with_value_chunks(long, ["metric"], "__neg", "__range")
-    ranked = ordered.running(cut, ["metric"], ["__neg", "position"], F.col("__range"), rank=ordered.row_number())
-    return ranked.drop("__neg", "__range")
+    ranked = ordered.running(long, ["metric"], ["__neg", "position"], ordered.value_chunks("__neg"), rank=ordered.row_number())
+    return ranked.drop("__neg")
 
 
 def rolling_model_performance(predictions: DataFrame, window: int = 100, block: int = 100_000) -> DataFrame:
@@ -105,7 +104,7 @@ def sequence_windows(
 ) -> DataFrame:
     """All sliding windows of ``length`` samples of each series; none if it is shorter."""
     df = series.select(*keys, ts, tie, value)
-    cut = ordered.blocks(df, keys, [ts, tie], ordered.time_chunk(ts), length - 1, block)
+    cut = ordered.blocks(df, keys, [ts, tie], ordered.row_chunks(ts), length - 1, block)
     back = Window.partitionBy(*keys, "block").orderBy("row_no").rowsBetween(-(length - 1), 0)
     return (
         cut.select(

@@ -15,7 +15,8 @@ chunk:
    sorted once, and nothing is joined.
 
 ``order`` is a list of column names, ascending, and must be a total order within
-a key.  ``chunk`` must not decrease along the order.
+a key.  ``chunk`` must not decrease along the order: a column, or ``RowChunks``,
+which measures the rows and bounds those of a chunk.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from tidewatch.operators.chunks import RowChunks, row_chunks, value_chunks, with_chunks
+
+__all__ = ["RowChunks", "row_chunks", "value_chunks"]
 _CHUNK = "__chunk"
 _CARRY = "__carry"
 
@@ -81,30 +85,6 @@ def number_chunk(column: str, size: int) -> Column:
     return F.floor(F.col(column) / F.lit(size))
 
 
-def with_value_chunks(df: DataFrame, keys: Sequence[str], value: str, name: str, pieces: int = 256) -> DataFrame:
-    """Add ``name``: which of ``pieces`` ranges of its key a value lies in, 0 or more, monotone in the value.
-
-    The bounds are approximate percentiles of the key, so the ranges hold about as many rows each
-    whatever the values are.  They balance the work only: results do not depend on them.  ``pieces``
-    is a power of two; equal values share a range.
-    """
-    shares = [k / pieces for k in range(1, pieces)]
-    bounds = F.approx_percentile(value, shares, 16 * pieces)
-    if keys:
-        per_key = df.groupBy(*keys).agg(bounds.alias("__bounds")).select(
-            *[F.col(k).alias(f"__k_{k}") for k in keys], "__bounds"
-        )
-        same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
-        found = df.join(per_key, same).drop(*[f"__k_{k}" for k in keys])
-    else:
-        found = df.withColumn("__bounds", df.agg(bounds).scalar())
-    steps = F.array(*[F.lit(1 << b) for b in range(pieces.bit_length() - 2, -1, -1)])
-    below = F.aggregate(
-        steps, F.lit(0), lambda at, step: at + F.when(F.element_at("__bounds", at + step) < F.col(value), step).otherwise(0)
-    )
-    return found.withColumn(name, below).drop("__bounds")
-
-
 def _summary(scan: Scan, order: Column) -> Column:
     if scan.kind == "previous":
         return F.max_by(F.struct(scan.value.alias("v")), order)
@@ -159,10 +139,10 @@ def _output(scan: Scan, value: Column, window) -> Column:
 
 
 def _with_carry(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, scans: dict[str, Scan]
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | RowChunks, scans: dict[str, Scan]
 ) -> tuple[DataFrame, object]:
     """Rows with their chunk and scan inputs, carry rows in front, and the window."""
-    df = df.withColumn(_CHUNK, chunk)
+    df = with_chunks(df, keys, chunk, _CHUNK) if isinstance(chunk, RowChunks) else df.withColumn(_CHUNK, chunk)
     order_struct = F.struct(*[F.col(c) for c in order])
     summaries = df.groupBy(*keys, _CHUNK).agg(
         *[_summary(s, order_struct).alias(f"__s_{n}") for n, s in scans.items()]
@@ -183,7 +163,7 @@ def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column,
+    chunk: Column | RowChunks,
     **scans: Scan,
 ) -> DataFrame:
     """Add one column per scan to ``df``."""
@@ -200,7 +180,7 @@ def islands(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column,
+    chunk: Column | RowChunks,
     prev: dict[str, Column],
     starts: Column,
     name: str = "island",
@@ -224,7 +204,7 @@ def island_aggregates(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column,
+    chunk: Column | RowChunks,
     prev: dict[str, Column],
     starts: Column,
     **aggregates: tuple[str, Column],
@@ -271,7 +251,7 @@ def blocks(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column,
+    chunk: Column | RowChunks,
     halo: int,
     size: int = 100_000,
 ) -> DataFrame:
@@ -296,81 +276,47 @@ def blocks(
     )
 
 
-def time_halo(df: DataFrame, ts: str, span_seconds: int) -> DataFrame:
-    """Cut a time axis into slices of ``span_seconds`` for range windows.
-
-    Adds ``slice`` and ``is_halo``: each row appears in its own slice and, as a
-    halo row, in the next one, so a range window that looks back at most
-    ``span_seconds`` inside ``(key, slice)`` is exact.
-    """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    own = F.floor(micros / F.lit(span_seconds * 1_000_000)).cast("long")
-    return (
-        df.withColumn("__shift", F.explode(F.array(F.lit(0), F.lit(1))))
-        .withColumn("slice", own + F.col("__shift"))
-        .withColumn("is_halo", F.col("__shift") == 1)
-        .drop("__shift")
-    )
-
-
 def trailing_sums(
-    df: DataFrame, keys: Sequence[str], ts: str, span_seconds: int, include_now: bool, **sums: Column
+    df: DataFrame, keys: Sequence[str], ts: str, span_seconds: int, include_now: bool,
+    rows: int | None = None, **sums: Column,
 ) -> DataFrame:
     """Sums over the rows of a key in ``[ts - span, ts]``, or ``[ts - span, ts)``.
 
-    A sliding range frame adds up its rows again for every row.  Here each row
-    enters a running sum at its time and leaves it (negated) when the span is
-    over, so the work is linear.  The time axis is cut into slices as long as the
-    span: a row is summed in its own slice and enters and leaves in the next.
+    A sliding range frame adds up its rows again for every row.  Here each row enters a running sum
+    at its time and leaves it (negated) when the span is over, so the work is linear.  The time axis
+    is cut into slices as long as the span, so that errors of rounding do not add up over a whole key:
+    a row enters in its own slice and leaves in the next, which begins with the total of the slice
+    before it, one row.  A slice is cut into chunks of ``rows`` rows, each of which begins with what the
+    chunks before it add up to, so no task holds a whole span.  Rows of one time stay together.
     """
+    keys, names = list(keys), list(sums)
     span = span_seconds * 1_000_000
-    inputs = df.select("*", *[c.alias(f"__v_{n}") for n, c in sums.items()])
-    cut = time_halo(inputs, ts, span_seconds).withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp")))
-    leaves = F.array(F.lit(False), F.lit(True))
-    spread = cut.withColumn("__leaves", F.explode(F.when(F.col("is_halo"), leaves).otherwise(F.array(F.lit(False)))))
-    at = F.col("__us") + F.when(F.col("__leaves"), F.lit(span + int(include_now))).otherwise(F.lit(0))
-    sign = F.when(F.col("__leaves"), -1).otherwise(1)
-    upto = Window.partitionBy(*keys, "slice").orderBy("__at").rangeBetween(
-        Window.unboundedPreceding, 0 if include_now else -1
+    slice_of = F.floor(F.col("__us") / F.lit(span)).cast("long")
+    inputs = df.select("*", *[c.alias(f"__v_{n}") for n, c in sums.items()]).withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp")))
+    inputs = inputs.withColumn("__slice", slice_of)
+    # a leaving row counts from the instant after the last that still sees it
+    shift = F.when(F.col("__own"), 0).otherwise(1)
+    moves = inputs.withColumn("__own", F.explode(F.array(F.lit(True), F.lit(False)))).select(
+        *df.columns, "__own", (F.col("__slice") + shift).alias("__slice"),
+        (F.col("__us") + shift * F.lit(span + int(include_now))).alias("__at"),
+        *[(F.col(f"__v_{n}") * (1 - 2 * shift)).alias(f"__v_{n}") for n in names],
     )
-    out = spread.withColumn("__at", at).select(
-        *df.columns, "is_halo", *[F.sum(F.col(f"__v_{n}") * sign).over(upto).alias(n) for n in sums]
+    begun = inputs.groupBy(*keys, "__slice").agg(*[F.sum(f"__v_{n}").alias(f"__v_{n}") for n in names]).select(
+        *keys, F.lit(False).alias("__own"), (F.col("__slice") + 1).alias("__slice"),
+        ((F.col("__slice") + 1) * span - 1).alias("__at"), *[f"__v_{n}" for n in names],
     )
-    return out.where(~F.col("is_halo")).drop("is_halo")
-
-
-def exact_percentiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    quantiles: dict[str, float],
-) -> DataFrame:
-    """Linear-interpolation percentiles per key, exact, without one task per key.
-
-    ``percentile()`` keeps every distinct value of a key in one aggregation
-    buffer.  Here equal values are counted first, ranks come from a chunked
-    running count over value ranges, and each percentile is a ``min`` over the
-    values whose cumulative count passes its rank.  Nulls and NaN are left out.
-    """
-    keys = list(keys)
-    counts = (
-        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-        .groupBy(*keys, F.col(value).alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__n"))
+    events = moves.unionByName(begun, allowMissingColumns=True)
+    cut = with_chunks(events, [*keys, "__slice"], RowChunks(F.col("__at"), min(span, 3_600_000_000), rows), _CHUNK)
+    held = cut.groupBy(*keys, "__slice", _CHUNK).agg(*[F.sum(f"__v_{n}").alias(f"__v_{n}") for n in names])
+    before = Window.partitionBy(*keys, "__slice").orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carries = held.select(
+        *keys, "__slice", _CHUNK, F.lit(False).alias("__own"), F.lit(-(1 << 62)).alias("__at"),
+        *[F.sum(f"__v_{n}").over(before).alias(f"__v_{n}") for n in names],
+    )
+    upto = Window.partitionBy(*keys, "__slice", _CHUNK).orderBy("__at").rangeBetween(
+        Window.unboundedPreceding, 0 if include_now else -1
     )
-    ranked = running(
-        with_value_chunks(counts, keys, "__v", "__range"), keys, ["__v"], F.col("__range"),
-        __cum=running_sum(F.col("__n")), __all=total_sum(F.col("__n")),
+    out = cut.unionByName(carries, allowMissingColumns=True).select(
+        *df.columns, "__own", *[F.sum(f"__v_{n}").over(upto).alias(n) for n in names]
     )
-    aggs = []
-    for name, q in quantiles.items():
-        rank = F.lit(float(q)) * (F.col("__all") - 1)
-        aggs.append(F.min(F.when(F.col("__cum") > F.floor(rank), F.col("__v"))).alias(f"__lo_{name}"))
-        aggs.append(F.min(F.when(F.col("__cum") > F.ceil(rank), F.col("__v"))).alias(f"__hi_{name}"))
-    out = ranked.groupBy(*keys).agg(F.max("__all").alias("__all"), *aggs)
-    cols = []
-    for name, q in quantiles.items():
-        rank = F.lit(float(q)) * (F.col("__all") - 1)
-        lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-        cols.append((lo + (hi - lo) * (rank - F.floor(rank))).alias(name))
-    return out.select(*keys, *cols)
+    return out.where("__own").drop("__own")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions.conditions import reasons
-from tidewatch.operators import ordered
+from tidewatch.operators import ordered, quantiles
 from tidewatch.operators.alerts import seconds_between
 
 # Action types allowed, and the load above which nothing is done.
@@ -114,8 +114,8 @@ def analytics_summary(alerts: DataFrame) -> DataFrame:
 
 def analytics_performance(requests: DataFrame) -> DataFrame:
     """Latency percentiles and error share by path."""
-    quantiles = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
-    latency = ordered.exact_percentiles(requests, ["path"], "duration_s", quantiles)
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    latency = quantiles.exact_percentiles(requests, ["path"], "duration_s", shares)
     counts = requests.groupBy("path").agg(
         F.count(F.lit(1)).alias("n"), (F.count_if(F.col("status") >= 400) / F.count(F.lit(1))).alias("error_share")
     )

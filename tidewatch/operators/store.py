@@ -249,7 +249,7 @@ def prom_matrix(
     one series) continues in further rows numbered by ``part``.
     """
     numbered = ordered.running(
-        vector, keys, [ts, tie], ordered.time_chunk(ts), __n=ordered.row_number()
+        vector, keys, [ts, tie], ordered.row_chunks(ts), __n=ordered.row_number()
     )
     part = F.floor((F.col("__n") - 1) / F.lit(points_per_row)).cast("long")
     pairs = F.array_sort(F.collect_list(F.struct(F.col("__n").alias("n"), F.col(ts).alias("time"), F.col(value).alias("value"))))

@@ -33,6 +33,6 @@ def span_batch(spans: DataFrame, batch: int, max_ms: float) -> DataFrame:
     """Number export batches of ``batch`` spans per service, without oversized spans."""
     fit = spans.where(F.col("duration_ms") <= max_ms)
     out = ordered.running(
-        fit, ["service"], ["ts", "span_id"], ordered.time_chunk("ts"), __n=ordered.row_number()
+        fit, ["service"], ["ts", "span_id"], ordered.row_chunks("ts"), __n=ordered.row_number()
     )
     return out.withColumn("batch", F.floor((F.col("__n") - 1) / F.lit(batch)).cast("long")).drop("__n")

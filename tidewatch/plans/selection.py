@@ -89,7 +89,7 @@ def order_by_recency(t):
     )
     df = t.metrics.select("id", "ts", reverse.alias("age"), (-F.col("id")).alias("minus_id"))
     out = ordered.running(
-        df, [], ["age", "minus_id"], F.floor(F.col("age") / F.lit(86_400_000_000)), position=ordered.row_number()
+        df, [], ["age", "minus_id"], ordered.RowChunks(F.col("age"), 3_600_000_000), position=ordered.row_number()
     )
     return out.select("id", "ts", "position")
 
