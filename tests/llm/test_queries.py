@@ -1,11 +1,14 @@
 """The registered queries at the smallest scale, against SQL or a brute-force version."""
 
 import hashlib
+import itertools
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import xxhash
 from tokenizers import Tokenizer
 
@@ -104,6 +107,40 @@ def test_held_out_accuracy(spark, key, label, least):
     assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in tested]) >= least
 
 
+def brute_jaccard_groups(texts, least=0.8):
+    """The smallest id of each group of texts linked by the Jaccard similarity of their five-word shingles."""
+    sets = {}
+    for d, t in texts.items():
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if w]
+        sets[d] = {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {find(d) for d in sets}
+
+
+def brute_leaks(texts, items):
+    def shingles(text):
+        words = regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
+        return {tuple(words[i:i + 5]) for i in range(len(words) - 4)}
+
+    wanted = [s for s in map(shingles, items) if s]
+    out = set()
+    for d, t in texts.items():
+        own = shingles(t)
+        if any(len(own & s) >= 0.8 * len(s) - 1e-9 for s in wanted):
+            out.add(d)
+    return out
+
+
 def test_pipeline(spark):
     """Every stage keeps the columns and takes its decisions from its own input."""
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
@@ -115,8 +152,10 @@ def test_pipeline(spark):
         now = {r["doc_id"]: r["text"] for r in docs.collect()}
         assert set(now) <= set(kept) and docs.count() <= before
         if name == "SimHash near-dedup":
-            fps = {d: brute_fingerprint(t) for d, t in kept.items()}
-            assert set(now) == set(brute_components(fps, 2).values())
+            assert set(now) == brute_jaccard_groups(kept)
+        if name == "benchmark decontamination":
+            assert set(now) == set(kept) - brute_leaks(kept, [r["text"] for r in rows(spark, "benchmark")])
         kept, before = now, len(now)
-    out = corpus_pipeline.run(spark, SF_DIR).collect()
-    assert {r["doc_id"] for r in out} == set(kept)
+    out = {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, SF_DIR).collect()}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert out == {d: len(tokenizer.encode(t or "", add_special_tokens=False).ids) for d, t in kept.items()}
