@@ -268,6 +268,33 @@ def test_preference_rows(spark):
     assert preference.preference_rows(chosen.limit(0), rejected.limit(0)).count() == 0
 
 
+def test_branched_answers(spark):
+    """No turn is lost, and both sides part at the picked answer."""
+    rng = random.Random(2)
+    talks = {c: [(t, "assistant" if t % 2 else "user", f"{c}/{t}") for t in range(rng.randint(1, 9))] for c in range(40)}
+    talks[6] = [(0, "user", "no answer"), (1, None, None)]
+    talks[8] = talks[9] = [(0, "assistant", "same")]
+    rows = [(c, t, role, text, "x") for c, turns in talks.items() for t, role, text in turns]
+    rows += [(1, 0, "user", "1/0", "x"), (None, 1, "user", "a", "x"), (1, None, "user", "a", "x")]
+    conversations = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, said string")
+    chosen, rejected = ({(r["pair_id"], r["turn"]): (r["role"], r["text"]) for r in side.collect()} for side in preference.branched_answers(conversations))
+    assert chosen == {(c, t): (role or "", text or "") for c, turns in talks.items() for t, role, text in turns}
+    assert set(rejected) == set(chosen)
+    depths = set()
+    for c, turns in talks.items():
+        answers = [t for t, role, _ in turns if role == "assistant"]
+        apart = [t for t, *_ in turns if chosen[c, t] != rejected[c, t]]
+        if not answers or c in (8, 9):
+            assert not apart
+            continue
+        at = min(answers, key=lambda t: ((c * 31 + t * 17) % 101, t))
+        last = [text for _, role, text in talks.get(c ^ 1, []) if role == "assistant"][-1:]
+        assert apart == [at] and rejected[c, at] == ("assistant", *(last or [""]))
+        depths.add((answers.index(at), len(answers) - answers.index(at)))
+    assert len(depths) > 5
+    assert preference.branched_answers(conversations.limit(0))[1].count() == 0
+
+
 # 7 and 10
 
 

@@ -57,22 +57,25 @@ def preference_rows(chosen: DataFrame, rejected: DataFrame, trained_role: str =
     )
 
 
-def swapped_answers(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+def branched_answers(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected turns out of plain conversations, as a ranking set with random negatives.
 
-    Every conversation with an answer is chosen.  Its rejected twin ends, in place of its last
-    answer, with the last answer of the conversation whose number follows (in blocks of two: 2k
-    and 2k+1 swap).  Where that one has no answer, the rejected side ends before the answer.
+    The chosen side is the whole conversation.  The rejected side has, in place of one answer, the
+    last answer of the conversation whose number follows (in blocks of two: 2k and 2k+1 swap), or an
+    empty text where that one has no answer; all turns around it are the same.  The answer is picked by
+    the remainder of numbers, of equal ones the first, so both sides part after prefixes of any length.
+    A conversation without an answer, or whose replacement says the same, has equal sides.  Rows without conv_id or turn belong to no conversation
+    and are left out; of repeated turns the one with the smallest role and text counts.
     """
-    turns = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text").filter(
-        F.col("pair_id").isNotNull() & F.col("turn").isNotNull()
+    turns = _turns(conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text"))
+    answers = turns.filter(F.col("said.role") == "assistant")
+    mixed = (F.col("pair_id") % 1009 * 31 + F.col("turn") % 1009 * 17) % 101
+    picked = answers.groupBy("pair_id").agg(
+        F.min(F.struct(mixed.alias("mixed"), "turn")).alias("at"), F.max_by("said.text", "turn").alias("last")
     )
-    answer = F.struct("turn", "text")
-    last = turns.filter(F.col("role") == "assistant").groupBy("pair_id").agg(F.max(answer).alias("last"))
-    chosen = turns.join(last.select("pair_id", F.col("last.turn").alias("end")), "pair_id").filter(F.col("turn") <= F.col("end"))
-    before = chosen.filter(F.col("turn") < F.col("end")).drop("end")
-    other = last.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("last.text").alias("text"))
-    wrong = last.select("pair_id", F.col("last.turn").alias("turn")).join(other, "pair_id").select(
-        "pair_id", "turn", F.lit("assistant").alias("role"), "text"
+    other = picked.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("last").alias("wrong"))
+    wrong = picked.join(other, "pair_id", "left").select("pair_id", F.col("at.turn").alias("turn"), F.coalesce("wrong", F.lit("")).alias("wrong"))
+    rejected = turns.join(wrong, ["pair_id", "turn"], "left")
+    return turns.select("pair_id", "turn", "said.role", "said.text"), rejected.select(
+        "pair_id", "turn", "said.role", F.coalesce("wrong", "said.text").alias("text")
     )
-    return chosen.drop("end"), before.unionByName(wrong)

@@ -92,28 +92,23 @@ def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op6_preference", r"""
-WITH t AS (SELECT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-           WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-l AS (SELECT pair_id, max(turn) AS fin FROM t WHERE role = 'assistant' GROUP BY 1),
-la AS (SELECT pair_id, turn AS fin, max(text) AS text FROM t SEMI JOIN (SELECT pair_id, fin AS turn FROM l) USING (pair_id, turn)
-       WHERE role = 'assistant' GROUP BY ALL),
-c0 AS (SELECT t.* FROM t JOIN l USING (pair_id) WHERE turn <= fin),
-r0 AS (SELECT t.* FROM t JOIN l USING (pair_id) WHERE turn < fin
-       UNION ALL SELECT a.pair_id, a.fin, 'assistant', b.text FROM la a JOIN la b ON b.pair_id = xor(a.pair_id, 1)),
-c AS (SELECT pair_id, turn, min(row(role, text)) AS said FROM c0 GROUP BY ALL),
-r AS (SELECT pair_id, turn, min(row(role, text)) AS said FROM r0 GROUP BY ALL),
-b AS (SELECT pair_id, turn, c.said AS cs, r.said AS rs FROM c FULL JOIN r USING (pair_id, turn)),
+WITH t AS (SELECT conv_id AS pair_id, turn, min(row(coalesce(role, ''), coalesce(text, ''))) AS said FROM conversations
+           WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+a AS (SELECT pair_id, min(row((pair_id % 1009 * 31 + turn % 1009 * 17) % 101, turn))[2] AS turn, arg_max(said[2], turn) AS answer
+      FROM t WHERE said[1] = 'assistant' GROUP BY 1),
+w AS (SELECT a.pair_id, a.turn, coalesce(o.answer, '') AS wrong FROM a LEFT JOIN a o ON o.pair_id = xor(a.pair_id, 1)),
+b AS (SELECT t.pair_id, t.turn, said AS cs, row(said[1], coalesce(wrong, said[2])) AS rs FROM t LEFT JOIN w USING (pair_id, turn)),
 m AS (SELECT pair_id, min(turn) AS cut FROM b WHERE cs IS DISTINCT FROM rs GROUP BY 1),
 p AS (SELECT pair_id, 'prompt' AS part, turn, cs AS said FROM b LEFT JOIN m USING (pair_id) WHERE cut IS NULL OR turn < cut
-      UNION ALL SELECT pair_id, 'chosen', turn, cs FROM b JOIN m USING (pair_id) WHERE turn >= cut AND cs IS NOT NULL
-      UNION ALL SELECT pair_id, 'rejected', turn, rs FROM b JOIN m USING (pair_id) WHERE turn >= cut AND rs IS NOT NULL),
+      UNION ALL SELECT pair_id, 'chosen', turn, cs FROM b JOIN m USING (pair_id) WHERE turn >= cut
+      UNION ALL SELECT pair_id, 'rejected', turn, rs FROM b JOIN m USING (pair_id) WHERE turn >= cut),
 o AS (SELECT pair_id, part, turn, said[1] AS role, '<|' || said[1] || '|>' || chr(10) || said[2] || chr(10) AS segment FROM p)
 SELECT *, CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(role) + 5 ELSE length(segment) END AS loss_from,
        length(segment) AS loss_to FROM o
 """)
 def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every answered conversation against itself with another conversation's last answer."""
-    chosen, rejected = preference.swapped_answers(table(spark, sf_dir, "conversations"))
+    """Every conversation against itself with one answer, at differing depths, out of another conversation."""
+    chosen, rejected = preference.branched_answers(table(spark, sf_dir, "conversations"))
     return preference.preference_rows(chosen, rejected)
 
 
