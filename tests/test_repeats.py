@@ -56,3 +56,9 @@ def test_maps_of_other_values_are_masked(spark):
     out = df.select(*[masking.mask_struct(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields]).first()
     assert out["m"] == {"api_key": None, "n": 1} and out["d"] == {"a": {"token": masking.MASK, "x": "y"}}
     assert isinstance(df.schema["m"].dataType, T.MapType)
+
+
+def test_deep_json_is_masked_as_a_whole(spark):
+    deep = "[" * 200_000 + "1" + "]" * 200_000
+    got = [r["t"] for r in spark.createDataFrame([(deep,), ('{"token":"x","a":1}',)], "t string").select(masking.mask_json("t").alias("t")).collect()]
+    assert got == [masking.MASK, '{"token":"%s","a":1}' % masking.MASK]

@@ -62,7 +62,9 @@ def test_collect_keeps_the_last_batch(spark, tmp_path):
 def test_alerts_open_and_resolve(spark, tmp_path):
     rules = spark.createDataFrame([("r", "s", "hot", "cpu_usage", "gt", 90.0, "high", None, "email")], RULES)
     state, changes = jobs.BoundedState(spark, str(tmp_path / "open")), jobs.BatchLog(spark, str(tmp_path / "changes"))
-    step = jobs.alert_stream(state, changes, rules, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+    at = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    notices = jobs.BatchLog(spark, str(tmp_path / "notices"))
+    step = jobs.alert_stream(state, changes, rules, at, jobs.BoundedState(spark, str(tmp_path / "points")), notices)
 
     def batch(value, minute):
         return spark.createDataFrame(
@@ -79,6 +81,67 @@ def test_alerts_open_and_resolve(spark, tmp_path):
     assert log == [(0, "active"), (2, "resolved"), (3, "active")]
     step(batch(99, 3), 3)
     assert jobs.standing_alerts(changes).count() == 1 and changes.read().count() == 3
+    said = [(r["batch"], r["type"], r["channel"]) for r in notices.read().orderBy("batch").collect()]
+    assert said == [(0, "triggered", "email"), (2, "resolved", "email"), (3, "triggered", "email")]
+
+
+def test_late_points_do_not_resolve(spark, tmp_path):
+    """Batches in any order of time, against the rules on the newest point seen so far."""
+    rules = spark.createDataFrame([
+        ("r1", "s", "hot", "cpu_usage", "gt", 90.0, "high", None, "email,slack"), ("r2", "t", "hot", "cpu_usage", "gt", 50.0, None, None, "email"),
+        ("r3", "u", "hot", "cpu_usage", "gt", 50.0, None, None, "email"),
+    ], RULES)
+    state, changes = jobs.BoundedState(spark, str(tmp_path / "open")), jobs.BatchLog(spark, str(tmp_path / "changes"))
+    at = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    step = jobs.alert_stream(state, changes, rules, at, jobs.BoundedState(spark, str(tmp_path / "points")))
+    batches = [
+        [(5, "s", 95.0), (5, "t", 40.0)], [(3, "s", 10.0), (6, "t", 60.0)], [(4, "t", 10.0)], [(7, "s", 20.0), (9, "x", 99.0)],
+        [(6, "s", 99.0), (6, "t", 70.0)], [],
+    ]
+    newest, id_ = {}, 0
+    for number, rows in enumerate(batches):
+        table = []
+        for minute, system, value in rows:
+            id_ += 1
+            table.append((id_, system, "cpu_usage", value, "percent", None, START + dt.timedelta(minutes=minute)))
+            newest[system] = max(newest.get(system, (-1, 0, 0.0)), (minute, id_, value))
+        schema = "id long, system_id string, name string, value double, unit string, labels string, ts timestamp_ntz"
+        step(spark.createDataFrame(table, schema), number)
+        want = {s for s, limit in (("s", 90), ("t", 50)) if s in newest and newest[s][2] > limit}
+        assert {r["system_id"] for r in jobs.standing_alerts(changes).collect()} == want, number
+    assert {r["channels"] for r in changes.read().where("status = 'active'").collect()} == {"email,slack", "email"}
+
+
+def test_the_last_point_of_an_envelope_wins(spark, tmp_path):
+    point = '{"name":"cpu_usage","value":%s,"timestamp":"2024-01-01T00:00:00Z"}'
+    envelope = '{"system_id":"s","metrics":[%s,%s]}'
+    rows = [(2, envelope % (point % 9, point % 1)), (1, envelope % (point % 8, point % 7)), (3, "{bad"), (4, None), (5, '{"metrics":[]}')]
+    df = spark.createDataFrame(rows, "offset long, body string")
+    for order, want in ((["offset"], 1.0), ([], 1.0)):
+        table, rejects = jobs.BatchLog(spark, str(tmp_path / f"log{len(order)}")), jobs.BatchLog(spark, str(tmp_path / f"bad{len(order)}"))
+        for _ in range(2):
+            jobs.collect_stream(table, order=order, rejects=rejects)(df.repartition(3), 0)
+            assert [(r["name"], r["value"]) for r in jobs.collected_metrics(table).collect()] == [("cpu_usage", want)]
+        reasons = {r["offset"]: r["reason"] for r in rejects.read().collect()}
+        assert reasons == {3: "malformed body", 4: "no body", 5: "no system_id"}
+
+
+def test_a_batch_delivered_twice_is_stored_once(spark, tmp_path):
+    from tidewatch.sources import files
+
+    rows = [(i, "s", "cpu_usage" if i % 9 else None, float(i), START + dt.timedelta(minutes=i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, system_id string, name string, value double, ts timestamp_ntz")
+    path = str(tmp_path / "store")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else small tasks are merged
+    try:
+        for part, batch in ((df.where("id < 200"), "a"), (df.where("id >= 200"), "b"), (df.where("id < 200"), "a")):
+            files.write_metrics(part, path, batch, rows_per_file=50)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = files.read_metrics(spark, path)
+    assert sorted(r["id"] for r in got.collect()) == list(range(300))
+    files_of_one = {r["f"] for r in got.where("batch = 'a' AND name = 'cpu_usage'").select(F.input_file_name().alias("f")).collect()}
+    assert 1 < len(files_of_one) <= 4
 
 
 def test_routes(spark, tmp_path):

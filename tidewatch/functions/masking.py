@@ -57,14 +57,19 @@ def _mask_text(text):
         return None
     try:
         parsed = json.loads(text)
+        if not isinstance(parsed, (dict, list)):
+            return text
+        return json.dumps(_mask_value(parsed), ensure_ascii=False, separators=(",", ":"))
     except ValueError:
         return text
-    if not isinstance(parsed, (dict, list)):
-        return text
-    return json.dumps(_mask_value(parsed), ensure_ascii=False, separators=(",", ":"))
+    except RecursionError:
+        return MASK
 
 
 @F.pandas_udf(T.StringType())
 def mask_json(texts: pd.Series) -> pd.Series:
-    """Mask JSON text of unknown shape; text that is not JSON is left alone."""
+    """Mask JSON text of unknown shape.
+
+    Text that is not JSON is left alone; text nested too deeply to be looked through is masked as a whole.
+    """
     return texts.map(_mask_text)

@@ -32,14 +32,49 @@ ENVELOPE = (
 )
 
 
-def ingest_collect(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """JSON envelopes to metric rows; the envelope's system wins over any in a point."""
-    parsed = bodies.select(F.from_json(body, ENVELOPE).alias("e"))
-    return parsed.select("e.system_id", F.explode("e.metrics").alias("m")).select(
+def collect_points(bodies: DataFrame, body: str = "body", order: Sequence[str] = ()) -> DataFrame:
+    """Metric rows of JSON envelopes, with ``seq``: their place among all points, to settle equal keys by.
+
+    ``order`` names the columns that say which envelope came first (an offset, an arrival time).  Envelopes
+    that tie, or carry no order, are ordered by their text, so that a batch read again settles the same.
+    """
+    place = F.struct(*order, F.col(body).alias("body"), "position")
+    parsed = bodies.select(body, *order, F.from_json(body, ENVELOPE).alias("e"))
+    return parsed.select(body, *order, "e.system_id", F.posexplode("e.metrics").alias("position", "m")).select(
         "system_id", "m.name", "m.value", "m.unit",
         encode_labels(F.col("m.labels")).alias("labels"),
-        utc_timestamp(F.col("m.timestamp")).alias("ts"),
+        utc_timestamp(F.col("m.timestamp")).alias("ts"), place.alias("seq"),
+    )
+
+
+def ingest_collect(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """JSON envelopes to metric rows; the envelope's system wins over any in a point.
+
+    Envelopes that give no rows are those of :func:`rejected_envelopes`, and those with an empty list.
+    """
+    return collect_points(bodies, body).drop("seq")
+
+
+def rejected_envelopes(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """The rows whose envelope is refused, with the ``reason``: nothing is dropped in silence."""
+    corrupt = "_corrupt"
+    parsed = bodies.withColumn("__e", F.from_json(
+        body, f"{ENVELOPE}, {corrupt} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}
+    ))
+    e = F.col("__e")
+    reason = (
+        F.when(F.col(body).isNull() | (F.trim(body) == ""), "no body")
+        .when(e.isNull() | e[corrupt].isNotNull(), "malformed body")
+        .when(F.coalesce(e["system_id"], F.lit("")) == "", "no system_id")
+        .when(e["metrics"].isNull(), "no metrics")
     )
+    return parsed.withColumn("reason", reason).where(F.col("reason").isNotNull()).drop("__e")
+
+
+def settle_points(points: DataFrame) -> DataFrame:
+    """One row for each metric key: value and unit of the last by ``seq``."""
+    last = F.max_by(F.struct("value", "unit"), "seq").alias("w")
+    return points.groupBy(*METRIC_KEY).agg(last).select(*METRIC_KEY, "w.value", "w.unit")
 
 
 def upsert_metrics(target: DataFrame, batch: DataFrame, seq: str = "seq") -> DataFrame:
@@ -145,15 +180,15 @@ def _unless_empty(new: str, old: str) -> Column:
 
 
 def update_system_partial(systems: DataFrame, patches: DataFrame, as_of: Column) -> DataFrame:
-    """Apply patches; an empty text or null map leaves the stored value."""
-    return _patch(
-        systems, patches,
-        {
-            "name": _unless_empty("p_name", "name"),
-            "thresholds": F.coalesce("p_thresholds", "thresholds"),
-            "updated_at": as_of,
-        },
-    )
+    """Apply patches of name, description, tags and thresholds.
+
+    An empty text, a null list or map, and a column the patches do not have leave the stored value;
+    a patch of a column the systems do not have is ignored.
+    """
+    changes = {c: _unless_empty(f"p_{c}", c) for c in ("name", "description")}
+    changes |= {c: F.coalesce(f"p_{c}", c) for c in ("tags", "thresholds")}
+    known = {c: v for c, v in changes.items() if c in systems.columns and c in patches.columns}
+    return _patch(systems, patches, {**known, "updated_at": as_of})
 
 
 def update_alert(alerts: DataFrame, patches: DataFrame, as_of: Column) -> DataFrame:

@@ -85,6 +85,17 @@ def notification_rows(t):
     return got.select("rule_id", "channel", "type", "known")
 
 
+@query("resolution_notices", f"""
+WITH e AS ({EVALUATED}), calm AS (SELECT system_id, metric_name, arg_min(channels, id) AS channels FROM e WHERE NOT triggered GROUP BY 1, 2),
+r AS (SELECT a.id, unnest(string_split(c.channels, ',')) AS channel FROM alerts a JOIN calm c USING (system_id, metric_name) WHERE a.status = 'active')
+SELECT id, channel, 'resolved' AS type, channel IN ('email', 'slack', 'webhook', 'pagerduty') AS known FROM r WHERE channel <> 'slack'""")
+def resolution_notices(t):
+    """Notifications of the alerts that calm rules resolve, through the channels of the rule."""
+    resolved = al.alerts_to_resolve(evaluated(t), t.alerts, as_of())
+    got = al.notification_rows(resolved, "resolved", enabled=("email", "webhook", "pagerduty"))
+    return got.select("id", "channel", "type", "known")
+
+
 @query("priority_channels", """
 SELECT id, channel, priority, row_number() OVER (PARTITION BY id ORDER BY priority, channel)::INT AS position FROM (
   SELECT id, c.channel, c.priority FROM alerts JOIN (VALUES ('pagerduty', 1, '^critical'), ('slack', 2, 'cpu|memory'),

@@ -76,8 +76,27 @@ def upsert_systems(t):
     )
 
 
+@query("ingest_rejects", """
+SELECT id, CASE id % 5 WHEN 1 THEN 'malformed body' WHEN 2 THEN 'no system_id' WHEN 3 THEN 'no metrics' ELSE 'no body' END AS reason
+FROM metrics WHERE id % 5 <> 0""")
+def ingest_rejects(t):
+    """Why envelopes are refused: cut off, without a system, without points, or empty."""
+    no = F.col("id") % 5
+    points = F.array(F.struct("name", "value"))
+    whole = F.to_json(F.struct("system_id", points.alias("metrics")))
+    body = (
+        F.when(no == 0, whole).when(no == 1, F.expr("left(whole, length(whole) - 3)"))
+        .when(no == 2, F.to_json(F.struct(points.alias("metrics")))).when(no == 3, F.to_json(F.struct("system_id")))
+        .otherwise("")
+    )
+    bodies = t.metrics.withColumn("whole", whole).select("id", body.alias("body"))
+    return store.rejected_envelopes(bodies).select("id", "reason")
+
+
 @query("update_system_partial", f"""
 SELECT id, CASE WHEN system_no % 4 = 1 THEN 'renamed-' || system_no ELSE name END AS name,
+  CASE WHEN system_no % 4 = 1 THEN 'now ' || type ELSE type END AS description,
+  CASE WHEN system_no % 4 = 0 THEN 'patched' ELSE status END AS tag,
   CASE WHEN system_no % 4 = 0 THEN '{{"cpu_usage":50}}' ELSE thresholds END AS thresholds,
   CASE WHEN system_no % 4 < 2 THEN {AT} END AS updated_at
 FROM systems""")
@@ -86,11 +105,13 @@ def update_system_partial(t):
     patches = t.systems.where(no % 4 < 2).select(
         "id",
         F.when(no % 4 == 1, F.concat(F.lit("renamed-"), no)).otherwise("").alias("name"),
+        F.when(no % 4 == 1, F.concat(F.lit("now "), "type")).otherwise("").alias("description"),
+        F.when(no % 4 == 0, F.array(F.lit("patched"))).alias("tags"),
         F.when(no % 4 == 0, '{"cpu_usage":50}').alias("thresholds"),
     )
-    return store.update_system_partial(
-        t.systems.select("id", "name", "thresholds"), patches, as_of()
-    )
+    stored = t.systems.select("id", "name", F.col("type").alias("description"), F.array("status").alias("tags"), "thresholds")
+    got = store.update_system_partial(stored, patches, as_of())
+    return got.select("id", "name", "description", F.array_join("tags", ",").alias("tag"), "thresholds", "updated_at")
 
 
 @query("upsert_alerts", f"""
@@ -340,7 +361,10 @@ SELECT ts::DATE AS date, name, count(*) AS n, round(sum(value), 4) AS total FROM
 def sink_files(t):
     """Write by date and name, read back."""
     path = files.shared_folder(t.spark, "metrics")
-    files.write_metrics(t.metrics, path)
+    last_day = F.col("ts") >= F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")
+    files.write_metrics(t.metrics.where(~last_day), path, batch="month")
+    for _ in range(2):  # a batch delivered again replaces itself
+        files.write_metrics(t.metrics.where(last_day), path, batch="last-day")
     return files.read_metrics(t.spark, path).groupBy("date", "name").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")
     )

@@ -199,5 +199,6 @@ def alert_stream(t):
     out = shared_folder(t.spark, "alerts")
     state, changes = jobs.BoundedState(t.spark, f"{out}/open"), jobs.BatchLog(t.spark, f"{out}/changes")
     rules = selection.enabled_rules(t.rules, t.systems)
-    jobs.run_batches(stream.metrics, jobs.alert_stream(state, changes, rules, as_of()), f"{out}/checkpoint")
+    step = jobs.alert_stream(state, changes, rules, as_of(), jobs.BoundedState(t.spark, f"{out}/points"))
+    jobs.run_batches(stream.metrics, step, f"{out}/checkpoint")
     return jobs.standing_alerts(changes).select("rule_id", "system_id", "metric_name", "status")

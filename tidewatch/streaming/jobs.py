@@ -8,7 +8,7 @@ after a failure gives the same result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,7 +17,6 @@ from pyspark.sql.types import TimestampNTZType
 
 from tidewatch.functions.times import to_instant
 from tidewatch.operators import alerts as al, counters, events, store
-from tidewatch.operators.latest import latest_metrics
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -120,21 +119,29 @@ class BoundedState:
         self.spark, self.path = spark, path.rstrip("/")
 
     def before(self, batch: int) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/v={batch - 1}") if batch else None
+        return self.at(batch - 1) if batch else None
+
+    def at(self, batch: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/v={batch}")
 
     def write(self, df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v={batch}")
 
 
-def collect_stream(table: BatchLog, body: str = "body") -> Callable[[DataFrame, int], None]:
+def collect_stream(
+    table: BatchLog, body: str = "body", order: Sequence[str] = (), rejects: BatchLog | None = None,
+) -> Callable[[DataFrame, int], None]:
     """Micro-batch step: points of JSON envelopes appended to the metric log.
 
-    Points of one batch with the same key are settled before they are written.
+    Of points of one batch with the same key the last wins: by ``order`` (columns that say which
+    envelope came first), then by their place in the envelope.  A batch run again writes the same.
+    With ``rejects``, refused envelopes and their reasons are logged there.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        points = store.ingest_collect(batch, body).withColumn("seq", F.lit(0))
-        table.write(store.upsert_metrics(points.limit(0), points), number)
+        table.write(store.settle_points(store.collect_points(batch, body, order)), number)
+        if rejects is not None:
+            rejects.write(store.rejected_envelopes(batch, body), number)
 
     return step
 
@@ -160,22 +167,41 @@ def collected_metrics(table: BatchLog) -> DataFrame:
 
 
 ALERT_COLUMNS = (
-    "id", "rule_id", "system_id", "metric_name", "severity", "status", "created_at", "updated_at", "resolved_at",
+    "id", "rule_id", "system_id", "metric_name", "severity", "status", "created_at", "updated_at", "resolved_at", "channels",
 )
 
 
+POINT_COLUMNS = ("system_id", "name", "id", "value", "unit", "labels", "ts")
+
+
+def newest_points(points: BoundedState, rules: DataFrame, batch: DataFrame, number: int) -> DataFrame:
+    """The newest point so far of each system and metric that some rule watches; kept as version ``number``.
+
+    The state is bounded by the rules.  Points are ordered by time and id, so a late one changes nothing.
+    """
+    watched = rules.select("system_id", F.col("metric_name").alias("name")).distinct()
+    seen = batch.select(*POINT_COLUMNS).join(watched, ["system_id", "name"], "left_semi")
+    before = points.before(number)
+    seen = seen if before is None else before.select(*POINT_COLUMNS).unionByName(seen)
+    last = F.max_by(F.struct("id", "value", "unit", "labels", "ts"), F.struct("ts", "id")).alias("p")
+    points.write(seen.groupBy("system_id", "name").agg(last).select("system_id", "name", "p.*"), number)
+    return points.at(number)
+
+
 def alert_stream(
-    open_alerts: BoundedState, changes: BatchLog, rules: DataFrame, at: Column
+    open_alerts: BoundedState, changes: BatchLog, rules: DataFrame, at: Column, points: BoundedState,
+    notices: BatchLog | None = None, enabled: Sequence[str] = al.CHANNELS,
 ) -> Callable[[DataFrame, int], None]:
-    """Micro-batch step: evaluate the rules on the newest points, open and resolve alerts.
+    """Micro-batch step: evaluate the rules on the newest points so far, open and resolve alerts.
 
-    Kept are the open alerts, at most one per system and metric, and a log of
-    every opening and resolution.  Rules that trigger are handled before rules
-    that are calm, so both read the same evaluation.
+    Kept are the newest points of watched metrics, the open alerts, at most one per system and metric, and a
+    log of every opening and resolution; a late point neither opens nor resolves.  With ``notices``, each
+    opening and resolution is logged there once for every enabled channel.  Rules that trigger are
+    handled before rules that are calm, so both read the same evaluation.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        checked = al.rules_join_latest(rules, latest_metrics(batch)).persist()
+        checked = al.rules_join_latest(rules, newest_points(points, rules, batch, number)).persist()
         none = F.lit(None).cast("timestamp_ntz")
         current = open_alerts.before(number)
         if current is None:
@@ -184,6 +210,9 @@ def alert_stream(
         standing = current.unionByName(opened)
         resolved = al.alerts_to_resolve(checked, standing, at).select(*ALERT_COLUMNS)
         changes.write(opened.unionByName(resolved), number)
+        if notices is not None:
+            said = [al.notification_rows(df, kind, enabled) for df, kind in ((opened, "triggered"), (resolved, "resolved"))]
+            notices.write(said[0].unionByName(said[1]), number)
         open_alerts.write(standing.join(resolved.select("id"), "id", "left_anti").select(*ALERT_COLUMNS), number)
         checked.unpersist()
 
