@@ -1,5 +1,8 @@
 """Repeated ids in a batch, unknown values, offsets and NaN."""
 
+import datetime as dt
+import random
+
 from pyspark.sql import functions as F, types as T
 
 from tidewatch.functions import masking
@@ -62,3 +65,36 @@ def test_deep_json_is_masked_as_a_whole(spark):
     deep = "[" * 200_000 + "1" + "]" * 200_000
     got = [r["t"] for r in spark.createDataFrame([(deep,), ('{"token":"x","a":1}',)], "t string").select(masking.mask_json("t").alias("t")).collect()]
     assert got == [masking.MASK, '{"token":"%s","a":1}' % masking.MASK]
+
+
+def test_downsample_reads_once_and_keeps_each_retention(spark):
+    """Every aggregator at three resolutions, limits inside windows, and NaN, against plain Python."""
+    as_of = dt.datetime(2024, 1, 31, 5, 20)
+    rng = random.Random(1)
+    rows = []
+    for i in range(600):
+        value = rng.choice([float("nan"), None, *[float(rng.randint(-9, 9)) for _ in range(8)]])
+        rows.append((i, rng.choice("st"), "m", value, as_of - dt.timedelta(minutes=rng.randint(0, 4 * 24 * 60))))
+    df = spark.createDataFrame(rows, "id long, system_id string, name string, value double, ts timestamp_ntz")
+    rules = [(r, d, a) for r, d in (("90 minutes", 1), ("1 hour", 2), ("1 day", 3)) for a in store.AGGREGATORS]
+    got = {}
+    out = store.downsample(df, rules, F.lit(as_of.isoformat(" ")).cast("timestamp_ntz"))
+    for r in out.collect():
+        got[r["resolution"], r["aggregator"], r["system_id"], r["window_start"]] = r["value"]
+    want = {}
+    for resolution, days, aggregator in rules:
+        size = store.resolution_seconds(resolution)
+        groups = {}
+        for i, s, _, v, ts in rows:
+            if ts >= as_of - dt.timedelta(days=days):
+                us = (ts - dt.datetime(1970, 1, 1)) // dt.timedelta(seconds=1)
+                groups.setdefault((s, dt.datetime(1970, 1, 1) + dt.timedelta(seconds=us - us % size)), []).append((ts, i, v))
+        for (s, start), group in groups.items():
+            values = [v for _, _, v in group if v is not None and v == v]
+            known = [(ts, i, v) for ts, i, v in group if v is None or v == v]
+            want[resolution, aggregator, s, start] = {
+                "avg": sum(values) / len(values) if values else None, "min": min(values, default=None), "max": max(values, default=None),
+                "sum": sum(values) if values else None, "count": float(len(values)), "last": max(known, key=lambda r: r[:2])[2] if known else None,
+            }[aggregator]
+    assert got == want
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1

@@ -6,6 +6,7 @@ equi-join; the result is a new version of the whole table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -329,29 +330,68 @@ def retention_prune(metrics: DataFrame, as_of: Column, days: int) -> DataFrame:
     return metrics.where(F.col("ts") >= as_of - F.expr(f"INTERVAL {int(days)} DAYS"))
 
 
+#: How each aggregator reads the state merged for a window.
 AGGREGATORS = {
-    "avg": lambda: F.avg("value"),
-    "min": lambda: F.min("value"),
-    "max": lambda: F.max("value"),
-    "sum": lambda: F.sum("value"),
-    "count": lambda: F.count("value").cast("double"),
-    "last": lambda: F.max_by("value", F.struct("ts", "id")),
+    "avg": lambda: F.sum("__sum") / F.sum("__n"),
+    "min": lambda: F.min("__min"),
+    "max": lambda: F.max("__max"),
+    "sum": lambda: F.sum("__sum"),
+    "count": lambda: F.sum("__n").cast("double"),
+    "last": lambda: F.max(F.struct("__last.ts", "__last.id", "__last.value"))["value"],
 }
+UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400, "week": 604_800}
+
+
+def resolution_seconds(text: str) -> int:
+    """Seconds of a resolution such as ``5 minutes``."""
+    number, unit = text.split()
+    return int(number) * UNITS[unit.lower().rstrip("s")]
 
 
 def downsample(
     metrics: DataFrame, rules: Sequence[tuple[str, int, str]], as_of: Column
 ) -> DataFrame:
-    """Apply ``(resolution, retention days, aggregator)`` rules and union the results."""
-    parts = []
-    for resolution, days, aggregator in rules:
-        parts.append(
-            retention_prune(metrics, as_of, days)
-            .groupBy("system_id", "name", F.window("ts", resolution).alias("w"))
-            .agg(AGGREGATORS[aggregator]().alias("value"))
-            .select(
-                F.lit(resolution).alias("resolution"), F.lit(aggregator).alias("aggregator"),
-                "system_id", "name", F.col("w.start").alias("window_start"), "value",
-            )
+    """Apply ``(resolution, retention days, aggregator)`` rules and union the results.
+
+    The points are read once, whatever the number of rules: they are first reduced to states that
+    can be merged (sum, count, least, greatest, last), one for each series, step of the finest common
+    resolution, and side of the retention limits; each rule merges the states it keeps.  NaN is left out.
+    """
+    ts_type = metrics.schema["ts"].dataType.simpleString()
+    zero = F.lit("1970-01-01 00:00:00" + ("" if ts_type == "timestamp_ntz" else " UTC")).cast(ts_type)
+    seconds = [resolution_seconds(r) for r, _, _ in rules]
+    step = math.gcd(*seconds) * 1_000_000
+    limits = sorted({int(days) for _, days, _ in rules})
+    age = F.lit(0)
+    for days in limits:
+        age = age + F.when(F.col("ts") < as_of - F.expr(f"INTERVAL {days} DAYS"), 1).otherwise(0)
+    known = F.when(~F.isnan("value"), F.col("value"))
+    at = F.timestamp_diff("MICROSECOND", zero, F.col("ts"))
+    states = (
+        retention_prune(metrics, as_of, limits[-1])
+        .withColumns({"__at": at - F.pmod(at, F.lit(step)), "__age": age})
+        .groupBy("system_id", "name", "__at", "__age").agg(
+            F.sum(known).alias("__sum"), F.count(known).alias("__n"), F.min(known).alias("__min"), F.max(known).alias("__max"),
+            F.max(F.when(~F.isnan("value") | F.col("value").isNull(), F.struct("ts", "id", "value"))).alias("__last"),
         )
-    return reduce(DataFrame.unionByName, parts)
+    )
+    # a rule keeps the states on its side of its own limit
+    kept = F.filter(
+        F.array(*[
+            F.struct(F.lit(i).alias("rule"), F.lit(limits.index(int(days))).alias("oldest"), (F.col("__at") - F.pmod("__at", F.lit(size * 1_000_000))).alias("start"))
+            for i, ((_, days, _), size) in enumerate(zip(rules, seconds))
+        ]),
+        lambda r: r["oldest"] >= F.col("__age"),
+    )
+    merged = states.withColumn("__r", F.explode(kept)).groupBy("system_id", "name", "__r.rule", "__r.start").agg(
+        *[AGGREGATORS[a]().alias(f"__v_{a}") for a in sorted({a for _, _, a in rules})]
+    )
+
+    def of_rule(values: Sequence[Column]) -> Column:
+        return F.element_at(F.array(*values), F.col("rule") + 1)
+
+    return merged.select(
+        of_rule([F.lit(r) for r, _, _ in rules]).alias("resolution"), of_rule([F.lit(a) for _, _, a in rules]).alias("aggregator"),
+        "system_id", "name", F.timestamp_add("MICROSECOND", F.col("start"), zero).alias("window_start"),
+        of_rule([F.col(f"__v_{a}") for _, _, a in rules]).alias("value"),
+    )
