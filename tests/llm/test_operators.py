@@ -132,6 +132,20 @@ def test_grammar_round_trip(seed):
         assert (shard.ids(a, b) == ids[a:b]).all()
 
 
+@pytest.mark.parametrize("least", [2, 3, 8])
+def test_no_frequent_pair_is_left(least):
+    """Rounds go on until no pair occurs ``least`` times side by side; colliding hashes count as well."""
+    rng = np.random.default_rng(least)
+    ids = rng.zipf(1.3, 20_000) % 3000
+    _, _, sequence = repair.compress(ids, 3000, least)
+    apart, last = {}, {}
+    for i, pair in enumerate(zip(sequence[:-1].tolist(), sequence[1:].tolist())):
+        if last.get(pair) != i - 1:
+            apart[pair] = apart.get(pair, 0) + 1
+            last[pair] = i
+    assert max(apart.values()) < least
+
+
 def test_shards_of_odd_texts(spark):
     path = shared_folder(spark, "odd")
     order = [7, 3, 11, 0, 5, 2, 9, 14, 1, 4, 6, 8, 10, 12, 13]

@@ -81,20 +81,18 @@ class Encoder:
         return out
 
 
-def compress(ids: np.ndarray, vocabulary: int, rounds: int = 10, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, vocabulary: int, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (pairs of symbols), expansion lengths of the nonterminals, and the shortened sequence.
 
-    A round replaces, from left to right, all pairs that occur at least half as often as the most
-    frequent one (a quarter in later rounds) and ``least`` times; where pairs overlap the more
-    frequent wins.  Symbol ``vocabulary + k`` stands for rule ``k``; rules use earlier symbols only.
+    A round replaces, from left to right, all pairs that occur at least a quarter as often as the most
+    frequent one and ``least`` times; where pairs overlap the more frequent wins.  Rounds go on until no
+    pair occurs ``least`` times.  Symbol ``vocabulary + k`` stands for rule ``k``; rules use earlier symbols only.
     """
     seq = ids.astype(np.int64)
     rules: list[np.ndarray] = []
     lengths = [np.ones(0, np.int64)]
     made = 0
-    for turn in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         width = vocabulary + made
         pairs = seq[:-1] * width + seq[1:]
         # a cheap count by hash first: few pairs are frequent enough to be sorted
@@ -104,7 +102,7 @@ def compress(ids: np.ndarray, vocabulary: int, rounds: int = 10, least: int = 8)
         kinds, counts = np.unique(often, return_counts=True)
         if not len(counts) or counts.max() < least:
             break
-        floor = max(least, int(counts.max()) >> (2 if turn < rounds - 1 else 62))
+        floor = max(least, int(counts.max()) >> 2)
         chosen = kinds[counts >= floor]
         rank = np.argsort(np.argsort(-counts[counts >= floor], kind="stable"), kind="stable")
         at = np.flatnonzero(rough >= floor)
@@ -216,11 +214,14 @@ SHARD = (
 )
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, shard_ids: int = SHARD_IDS) -> None:
+def write_shards(
+    docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, shard_ids: int = SHARD_IDS, least: int = 8,
+) -> None:
     """Encode ``doc_id, text`` and write the shards to ``path`` in ascending order of doc_id.
 
     Null texts are empty, rows without doc_id are left out, and rows of one doc_id are ordered by
-    text.  ``end_id`` is appended to each document.
+    text.  ``end_id`` is appended to each document.  A pair of ids becomes a rule of its shard while it
+    occurs ``least`` times there: a rule for fewer costs more bytes than it saves.
     """
     fields = pa.schema(
         [("part", pa.int32()), ("number", pa.int32()), ("first_doc", pa.int64()), ("n_ids", pa.int64()), ("vocabulary", pa.int32())]
@@ -238,7 +239,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
 
         def shard() -> pa.RecordBatch:
             whole = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            rules, lengths, sequence = compress(whole, vocabulary)
+            rules, lengths, sequence = compress(whole, vocabulary, least)
             return pa.RecordBatch.from_pydict({
                 "part": [part], "number": [number], "first_doc": [doc_ids[0]], "n_ids": [len(whole)], "vocabulary": [vocabulary],
                 "docs": [zlib.compress(np.array(doc_ids, "<i8").tobytes(), 1)], "sizes": [zlib.compress(np.array(sizes, "<i8").tobytes(), 1)],
