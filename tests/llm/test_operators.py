@@ -1,5 +1,6 @@
 """Small cases of each operator: nulls, empty and long texts, ties, repeats, empty tables, extra columns."""
 
+import gzip
 import io
 import random
 import zipfile
@@ -91,6 +92,47 @@ def test_packages_round_trip(spark, tmp_path):
     for path in (tmp_path / "p").iterdir():
         with zipfile.ZipFile(path) as z:
             assert z.testzip() is None and z.namelist() == [warc.ARCHIVE, warc.INDEX]
+            index = z.read(warc.INDEX).decode().splitlines()
+            assert index[0] == warc.CDX and all(len(line.split(" ")) == 11 for line in index[1:])
+            assert b"WARC-Date: 1970-01-01T00:00:00Z" in gzip.decompress(z.read(warc.ARCHIVE))
+
+
+def test_many_packages_are_read_by_many_tasks(spark, tmp_path):
+    pages = spark.range(60).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.col("id").cast("string"), 90).alias("html"))
+    packages = warc.write_packages(warc.roles(pages).coalesce(1), f"file://{tmp_path}/p", package_bytes=400)
+    got = warc.read_packages(packages)
+    assert packages.count() >= 8 and got.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
+    assert got.count() == 60
+
+
+def test_packages_with_several_archives(spark, tmp_path):
+    """Two archives with index lines, one without, records of other types and other packages' names."""
+    def archive(*records):
+        packed = [warc._gzip(r) for r in records]
+        return b"".join(packed), packed
+
+    info = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    plain = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:2>\r\nContent-Type: text/html\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    one, parts = archive(warc.record(1, "a", b"first" * 9, "response", None), warc.record(2, "b", b"first" * 9, "revisit", 1))
+    two, single = archive(warc.record(3, "c", "é".encode(), "response", None))
+    three, _ = archive(info, plain, warc.record(4, "d", b"x" * 3_000_000, "response", None), warc.record(5, "e", b"", "response", None))
+    lines = warc.CDX + "\n" + warc.index_line("a", "2024-01-01", "D", "response", len(parts[0]), 0, "one.warc.gz")
+    lines += warc.index_line("b", "2024-01-01", "D", "revisit", len(parts[1]), len(parts[0]), "one.warc.gz")
+    with zipfile.ZipFile(tmp_path / "x.wacz", "w") as z:
+        for name, data in (("archive/one.warc.gz", one), ("archive/two.warc.gz", two), ("archive/three.warc.gz", three), ("indexes/a.cdx", lines),
+                           ("indexes/b.cdx", " CDX S V g\n%d 0 two.warc.gz\n" % len(single[0])), ("indexes/index.idx", "ignored"), ("pages/pages.jsonl", "{}")):
+            z.writestr(name, data)
+    packages = spark.createDataFrame([(str(tmp_path / "x.wacz"),)], "path string")
+    got = {(r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"], len(r["body"])) for r in warc.read_packages(packages).collect()}
+    assert got == {
+        (1, "response", None, 45, 45), (2, "revisit", 1, 45, 0), (3, "response", None, 2, 2), (None, "resource", None, 3, 3),
+        (4, "response", None, 3_000_000, 3_000_000), (5, "response", None, 0, 0),
+    }
+    assert list(warc.Reader(str(tmp_path / "x.wacz")).walk("archive/three.warc.gz", 7))[-1][0] > 0
+    with zipfile.ZipFile(tmp_path / "y.wacz", "w") as z:
+        z.writestr("indexes/a.cdx", lines)
+    with pytest.raises(ValueError):
+        warc.Reader(str(tmp_path / "y.wacz")).index()
 
 
 @pytest.mark.parametrize("zip64", [False, True])
@@ -98,11 +140,12 @@ def test_reads_foreign_zip(tmp_path, zip64):
     path = tmp_path / "x.wacz"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
         z.comment = b"a comment"
-        for name, data in ((warc.ARCHIVE, b"0123456789"), (warc.INDEX, b"7 2 3\n")):
+        lines = b" CDX V S g\n2 3 data.warc.gz\n"
+        for name, data in ((warc.ARCHIVE, b"0123456789"), (warc.INDEX, lines)):
             with z.open(name, "w", force_zip64=zip64) as f:
                 f.write(data)
     reader = warc.Reader(str(path))
-    assert reader.index() == [(7, 2, 3)]
+    assert reader.index() == {warc.ARCHIVE: [(2, 3)]}
     assert reader.range(reader.start_of(warc.ARCHIVE) + 2, 3) == b"234"
     packed = io.BytesIO()
     with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:

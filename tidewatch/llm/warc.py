@@ -1,9 +1,13 @@
 """WARC records in ZIP packages: written per task, read back by byte ranges.
 
 A package holds ``archive/data.warc.gz`` (one gzip member per record) and ``indexes/index.cdx``
-(one line per record), both stored without compression, so a record is one range of the package
-file.  The reader finds the members through the central directory, with its ZIP64 form, and never
-unpacks anything but the records it is asked for.
+(one CDX line per record), both stored without compression, so a record is one range of the package
+file.  The reader finds all members under ``archive/`` and ``indexes/`` through the central directory,
+with its ZIP64 form, and unpacks nothing but the records that the index lines name; archives that
+no line names are walked record by record.
+
+A response holds the page behind an HTTP head, as its type asks; a revisit holds the head alone,
+with the length of the page it stands for.
 """
 
 from __future__ import annotations
@@ -28,6 +32,12 @@ LOCAL, CENTRAL, END, END64, LOCATOR64 = 0x04034B50, 0x02014B50, 0x06054B50, 0x06
 FULL16, FULL32 = 0xFFFF, 0xFFFFFFFF
 #: Archive bytes after which a task begins a new package.
 PACKAGE_BYTES = 64 << 20
+#: Tasks at most that read packages.
+READERS = 20_000
+#: The fields of an index line.
+CDX = " CDX N b a m s k r M S V g"
+#: Stands for the time of capture where it is not known.
+UNKNOWN_DATE = "1970-01-01T00:00:00Z"
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -46,21 +56,30 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int, url: str, payload: bytes, kind: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record.  A revisit carries the digest and size of the payload, not the payload."""
-    body = payload if kind == "response" else b""
+def record(page_id: int, url: str, payload: bytes, kind: str, refers_to: int | None, date: str = UNKNOWN_DATE) -> bytes:
+    """One WARC/1.1 record.  A revisit carries the HTTP head and the digest of the payload, not the payload."""
+    body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    body += payload if kind == "response" else b""
     headers = [
-        ("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Target-URI", " ".join(url.split())),
-        ("WARC-Payload-Digest", f"sha1:{digest_of(payload)}"), ("X-Payload-Length", str(len(payload))),
+        ("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Date", date),
+        ("WARC-Target-URI", " ".join(url.split())), ("WARC-Payload-Digest", f"sha1:{digest_of(payload)}"),
     ]
     if refers_to is not None:
         headers.append(("WARC-Refers-To", f"<urn:page:{refers_to}>"))
         headers.append(("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
-    headers += [("Content-Type", "text/html"), ("Content-Length", str(len(body)))]
+    headers += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(body)))]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + "\r\n"
     return head.encode() + body + b"\r\n\r\n"
 
 
+def index_line(url: str, date: str, digest: str, kind: str, size: int, offset: int, name: str) -> str:
+    """The CDX line of a record; fields that are unknown are dashes."""
+    where = "%20".join(url.split()) or "-"
+    stamp = "".join(c for c in date if c.isdigit())
+    mime = "text/html" if kind == "response" else "warc/revisit"
+    return f"{where.lower()} {stamp} {where} {mime} 200 {digest} - - {size} {offset} {name}\n"
+
+
 def _gzip(data: bytes) -> bytes:
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress(data) + packer.flush()
@@ -138,7 +157,9 @@ def roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
 
 
-def write_packages(rows: DataFrame, folder: str, package_bytes: int = PACKAGE_BYTES, zip64: bool = True) -> DataFrame:
+def write_packages(
+    rows: DataFrame, folder: str, package_bytes: int = PACKAGE_BYTES, zip64: bool = True, date: str = UNKNOWN_DATE,
+) -> DataFrame:
     """Write ``page_id, url, payload, record_type, refers_to`` as packages; returns ``path, records``.
 
     A package is written under a name of its own and listed only when complete, so what a failed
@@ -159,18 +180,21 @@ def write_packages(rows: DataFrame, folder: str, package_bytes: int = PACKAGE_BY
             package.finish()
             package.close()
             stream.close()
-            return pd.DataFrame({"path": [name], "records": [len(lines)]})
+            return pd.DataFrame({"path": [name], "records": [len(lines) - 1]})
 
         for frame in frames:
             for row in frame.itertuples(index=False):
                 if package is None:
                     name, lines = f"{folder.rstrip('/')}/{uuid.uuid4().hex}.wacz", []
+                    lines.append(CDX + "\n")
                     stream = system.open_output_stream(f"{base}/{name.rpartition('/')[2]}")
                     package = Package(stream, zip64)
                     package.begin(ARCHIVE)
                 refers = None if pd.isna(row.refers_to) else int(row.refers_to)
-                data = _gzip(record(row.page_id, row.url, bytes(row.payload), row.record_type, refers))
-                lines.append(f"{row.page_id} {package.add(data)} {len(data)}\n")
+                payload = bytes(row.payload)
+                data = _gzip(record(row.page_id, row.url, payload, row.record_type, refers, date))
+                at = package.add(data)
+                lines.append(index_line(row.url, date, digest_of(payload), row.record_type, len(data), at, ARCHIVE.rpartition("/")[2]))
                 if package.size >= package_bytes:
                     yield close()
                     package = None
@@ -250,10 +274,49 @@ class Reader:
         name_n, extra_n = struct.unpack("<HH", head[26:30])
         return member.header + 30 + name_n + extra_n
 
-    def index(self) -> list[tuple[int, int, int]]:
-        """page_id, offset and size of each record in the archive member."""
-        data = self.range(self.start_of(INDEX), self.members[INDEX].size).decode()
-        return [tuple(map(int, line.split(" "))) for line in data.splitlines()]
+    def within(self, folder: str) -> list[str]:
+        return sorted(name for name in self.members if name.startswith(f"{folder}/") and not name.endswith("/"))
+
+    def index(self) -> dict[str, list[tuple[int, int]]]:
+        """Offset and size of each record, by archive member, out of all index members."""
+        found: dict[str, list[tuple[int, int]]] = {}
+        for member in self.within("indexes"):
+            if not member.endswith(".cdx"):
+                continue
+            fields: list[str] = CDX.split()[1:]
+            for line in self.range(self.start_of(member), self.members[member].size).decode().splitlines():
+                if line.startswith(" CDX "):
+                    fields = line.split()[1:]
+                elif line.strip():
+                    row = dict(zip(fields, line.split(" ")))
+                    found.setdefault(f"archive/{row['g'].rpartition('/')[2]}", []).append((int(row["V"]), int(row["S"])))
+        missing = sorted(set(found) - set(self.members))
+        if missing:
+            raise ValueError(f"the index names archives that are not there: {missing[:3]}")
+        return found
+
+    def walk(self, name: str, step: int = 1 << 20) -> Iterator[tuple[int, int]]:
+        """Offset and size of each gzip member of an archive without index lines."""
+        start, size = self.start_of(name), self.members[name].size
+        begun = at = 0
+        unpacker = zlib.decompressobj(31)
+        while at < size:
+            data = self.range(start + at, min(step, size - at))
+            at += len(data)
+            while data:
+                unpacker.decompress(data)
+                if not unpacker.eof:
+                    break
+                data = unpacker.unused_data
+                yield begun, at - len(data) - begun
+                begun, unpacker = at - len(data), zlib.decompressobj(31)
+
+    def records(self) -> Iterator[tuple[str, int, int]]:
+        """Archive member, offset and size of every record."""
+        listed = self.index()
+        for name in self.within("archive"):
+            for offset, size in listed.get(name) or self.walk(name):
+                yield name, offset, size
 
     def close(self) -> None:
         self.file.close()
@@ -279,31 +342,46 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _page_of(urn: str | None) -> int | None:
-    return int(urn.rpartition(":")[2].rstrip(">")) if urn else None
+    """The number of a page's record, null for records of other names."""
+    number = (urn or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(number) if number.lstrip("-").isdigit() else None
+
+
+def payload_of(headers: dict[str, str], block: bytes) -> tuple[bytes, int]:
+    """The payload of a record, and its full length as the HTTP head states it."""
+    if not headers.get("Content-Type", "").startswith("application/http"):
+        return block, len(block)
+    head, _, body = block.partition(b"\r\n\r\n")
+    stated = [line.partition(b":")[2] for line in head.split(b"\r\n") if line.lower().startswith(b"content-length:")]
+    return body, int(stated[0]) if stated else len(body)
 
 
 def read_packages(packages: DataFrame) -> DataFrame:
     """``page_id, url, record_type, refers_to, payload_digest, payload_bytes, body`` of every record.
 
-    ``packages`` has the column ``path``.  The digest of a response is recomputed from its payload;
-    the size and digest of a revisit are those its headers state for the full payload.
+    ``packages`` has the column ``path``, one package each; packages are dealt to a task each.  The digest of
+    a response is recomputed from its payload; the size and digest of a revisit are those it states for
+    the full payload.  Records that are neither response, revisit nor resource are passed over.
     """
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path in frame["path"]:
                 reader = Reader(path)
-                start, out, held = reader.start_of(ARCHIVE), [], 0
-                for _, offset, size in reader.index():
-                    headers, body = parse_record(zlib.decompress(reader.range(start + offset, size), 31))
+                starts = {name: reader.start_of(name) for name in reader.within("archive")}
+                out, held = [], 0
+                for name, offset, size in reader.records():
+                    headers, block = parse_record(zlib.decompress(reader.range(starts[name] + offset, size), 31))
                     kind = headers["WARC-Type"]
-                    stated = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                    digest = digest_of(body) if kind == "response" else stated
-                    if digest != stated:
+                    if kind not in ("response", "revisit", "resource"):
+                        continue
+                    body, length = payload_of(headers, block)
+                    stated = headers.get("WARC-Payload-Digest", "").removeprefix("sha1:")
+                    digest = stated if kind == "revisit" else digest_of(body)
+                    if stated and digest != stated:
                         raise ValueError("a payload does not match its digest")
                     out.append((
                         _page_of(headers["WARC-Record-ID"]), headers.get("WARC-Target-URI", ""), kind,
-                        _page_of(headers.get("WARC-Refers-To")), digest,
-                        len(body) if kind == "response" else int(headers["X-Payload-Length"]), body,
+                        _page_of(headers.get("WARC-Refers-To")), digest, length if kind == "revisit" else len(body), body,
                     ))
                     held += len(body)
                     if held > 8 << 20:
@@ -313,7 +391,9 @@ def read_packages(packages: DataFrame) -> DataFrame:
                 if out:
                     yield _records(out)
 
-    return packages.select("path").repartition("path").mapInPandas(read, RECORD)
+    # a number of its own: small paths would else be merged into one task
+    tasks = max(1, min(packages.count(), READERS))
+    return packages.select("path").repartition(tasks, "path").mapInPandas(read, RECORD)
 
 
 RECORD = (
