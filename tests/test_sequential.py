@@ -83,3 +83,27 @@ def test_segments_split_the_hot_client(frame):
     cut = sequential.segments(frame, ["client"], "ts", "request_id", 60)
     hot = cut.where("client = 'hot'").groupBy(sequential.SEGMENT).agg(F.count("*").alias("n")).collect()
     assert len(hot) > 20
+
+
+def test_suppression_rules_share_one_pass(spark):
+    """Three rules of different times, first match first, and alerts without a rule, against plain Python."""
+    rng = random.Random(8)
+    names = ["cpu_usage", "error_rate", "disk"]
+    rows = [
+        (i, rng.choice("ab"), rng.choice(names), rng.choice(["low", "high"]), START + dt.timedelta(seconds=rng.randint(0, 200_000)))
+        for i in range(900)
+    ]
+    rules = [("^cpu", 7200, "low"), ("cpu", 600, None), ("rate", 50_000, None)]
+    df = spark.createDataFrame(rows, "id long, system_id string, metric_name string, severity string, created_at timestamp_ntz")
+    out = sequential.alert_suppress(df.repartition(3), rules)
+    want, last = {}, {}
+    for i, s, m, severity, at in sorted(rows, key=lambda r: (r[4], r[0])):
+        rule = next((k for k, (p, _, c) in enumerate(rules) if p.strip("^") in m and c in (None, severity)), None)
+        key = (s, m, rule)
+        want[i] = rule is None or key not in last or at - last[key] >= dt.timedelta(seconds=rules[rule][1])
+        if want[i]:
+            last[key] = at
+    assert {r["id"]: r["kept"] for r in out.collect()} == want
+    assert out.columns == [*df.columns, "kept"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 3
+    assert all(r["kept"] for r in sequential.alert_suppress(df, []).collect())

@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.operators import ordered
 
@@ -145,7 +145,7 @@ def rate_limit_bucket(requests: DataFrame, per_minute: int, burst: int) -> DataF
 NEVER = -(2**62)
 
 
-def _chunk_exits(spacing: int):
+def _chunk_exits():
     """Tabulate chunks: for each first kept time, the last kept time of the chunk.
 
     The time carried in lies before the chunk, so the first kept row is one of
@@ -155,7 +155,7 @@ def _chunk_exits(spacing: int):
     written as one.
     """
 
-    def finish(key, chunk, entries, group_of, parent, last):
+    def finish(key, chunk, spacing, entries, group_of, parent, last):
         def root(g):
             while parent[g] != g:
                 parent[g] = parent[parent[g]]
@@ -166,21 +166,22 @@ def _chunk_exits(spacing: int):
         for entry, group in zip(entries, group_of):
             end = last[root(group)]
             if out and out[-1][3] == end:
-                out[-1] = (key, chunk, entry, end)
+                out[-1] = (key, chunk, entry, end, spacing)
             else:
-                out.append((key, chunk, entry, end))
+                out.append((key, chunk, entry, end, spacing))
         return out
 
     def tabulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["key", "chunk", "entry", "exit"]
+        columns = ["key", "chunk", "entry", "exit", "spacing"]
         current, entries, group_of, parent, last, waiting = None, [], [], [], [], deque()
         for batch in batches:
             done = []
-            for key, chunk, us in zip(batch["__key"], batch["__chunk"], batch["__us"]):
+            for key, chunk, us, spacing in zip(batch["__key"], batch["__chunk"], batch["__us"], batch["__spacing"]):
                 if (key, chunk) != current:
                     if current is not None:
-                        done += finish(*current, entries, group_of, parent, last)
+                        done += finish(*current, held, entries, group_of, parent, last)
                     current, entries, group_of, parent, last, waiting = (key, chunk), [], [], [], [], deque()
+                    held = spacing
                     limit, open_ = us + spacing, True
                 joined = None
                 while waiting and waiting[0][0] <= us:
@@ -202,19 +203,19 @@ def _chunk_exits(spacing: int):
                     waiting.append((us + spacing, joined))
             yield pd.DataFrame(done, columns=columns)
         if current is not None:
-            yield pd.DataFrame(finish(*current, entries, group_of, parent, last), columns=columns)
+            yield pd.DataFrame(finish(*current, held, entries, group_of, parent, last), columns=columns)
 
     return tabulate
 
 
-def _carry_states(spacing: int):
+def _carry_states():
     """Read the tables of a key in order: the last kept time each chunk inherits."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, chunk_now, state, settled = None, None, NEVER, False
         for batch in batches:
             out = []
-            for key, chunk, entry, end in zip(batch["key"], batch["chunk"], batch["entry"], batch["exit"]):
+            for key, chunk, entry, end, spacing in zip(*(batch[c] for c in ("key", "chunk", "entry", "exit", "spacing"))):
                 if key != current:
                     current, chunk_now, state = key, None, NEVER
                 if chunk != chunk_now:
@@ -228,28 +229,31 @@ def _carry_states(spacing: int):
 
 
 def keep_spaced(
-    df: DataFrame, keys: Sequence[str], ts: str, tie: str, seconds: int, name: str = "kept",
+    df: DataFrame, keys: Sequence[str], ts: str, tie: str, seconds: int | Column, name: str = "kept",
     chunk_seconds: int | None = None,
 ) -> DataFrame:
     """Keep a row unless a kept row of its key lies less than ``seconds`` before it.
 
-    Chunks are sixteen times the spacing, at least an hour, so the tables hold
-    about a sixteenth of the rows or less.
+    ``seconds`` may be a column that is the same for all rows of a key.  Chunks are sixteen times the
+    spacing, at least an hour, so the tables hold about a sixteenth of the rows or less.
     """
-    spacing = int(seconds * 1_000_000)
-    width = (chunk_seconds or max(3600, 16 * seconds)) * 1_000_000
+    if isinstance(seconds, Column):
+        whole = seconds.cast("long") * F.lit(1_000_000).cast("long")
+    else:
+        whole = F.lit(int(seconds * 1_000_000)).cast("long")
+    width = F.lit(chunk_seconds * 1_000_000) if chunk_seconds else F.greatest(F.lit(3_600_000_000).cast("long"), 16 * whole)
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df.withColumns(
-        {"__us": us, "__chunk": F.floor(us / F.lit(width)).cast("long"), "__key": F.to_json(F.struct(*keys))}
-    )
+    rows = df.withColumns({
+        "__us": us, "__chunk": F.floor(us / width).cast("long"), "__key": F.to_json(F.struct(*keys)), "__spacing": whole,
+    })
     exits = (
-        rows.select("__key", "__chunk", "__us").repartition("__key", "__chunk")
+        rows.select("__key", "__chunk", "__us", "__spacing").repartition("__key", "__chunk")
         .sortWithinPartitions("__key", "__chunk", "__us")
-        .mapInPandas(_chunk_exits(spacing), "key string, chunk long, entry long, exit long")
+        .mapInPandas(_chunk_exits(), "key string, chunk long, entry long, exit long, spacing long")
     )
     states = (
         exits.repartition("key").sortWithinPartitions("key", "chunk", "entry")
-        .mapInPandas(_carry_states(spacing), "__key string, __chunk long, __state long")
+        .mapInPandas(_carry_states(), "__key string, __chunk long, __state long")
     )
     laid = (
         rows.withColumn("__state", F.lit(None).cast("long")).unionByName(states, allowMissingColumns=True)
@@ -262,7 +266,7 @@ def keep_spaced(
         last = NEVER
         for batch in batches:
             marks = []
-            for state, at in zip(batch.column("__state").to_pylist(), batch.column("__us").to_pylist()):
+            for state, at, spacing in zip(*(batch.column(c).to_pylist() for c in ("__state", "__us", "__spacing"))):
                 if state is not None:
                     last = state
                     marks.append(False)
@@ -284,7 +288,8 @@ def alert_suppress(
     ``rules`` is configuration: (pattern, seconds, condition).  The first rule
     whose pattern is found in the metric name and whose condition (a severity, or
     None) holds applies.  Within its time after the last kept alert of the same
-    system and metric further ones are hidden.
+    system and metric further ones are hidden.  All rules are handled at once: the rule
+    is part of the key, and brings its time.
     """
     which = None
     for i, (pattern, _, condition) in enumerate(rules):
@@ -292,9 +297,10 @@ def alert_suppress(
         if condition is not None:
             hit = hit & (F.col("severity") == condition)
         which = F.when(hit, i) if which is None else which.when(hit, i)
+    if which is None:
+        return alerts.withColumn("kept", F.lit(True))
     tagged = alerts.withColumn("__rule", which)
-    out = tagged.where(F.col("__rule").isNull()).drop("__rule").withColumn("kept", F.lit(True))
-    for i, (_, seconds, _) in enumerate(rules):
-        part = tagged.where(F.col("__rule") == i).drop("__rule")
-        out = out.unionByName(keep_spaced(part, ["system_id", "metric_name"], ts, "id", seconds))
-    return out
+    free = tagged.where(F.col("__rule").isNull()).withColumn("kept", F.lit(True))
+    hold = F.element_at(F.array(*[F.lit(int(seconds)).cast("long") for _, seconds, _ in rules]), F.col("__rule") + 1)
+    ruled = tagged.where(F.col("__rule").isNotNull())
+    return free.unionByName(keep_spaced(ruled, ["system_id", "metric_name", "__rule"], ts, "id", hold)).drop("__rule")
