@@ -79,10 +79,79 @@ def test_wide_integers_survive(spark):
     assert {(r["id"], r["n"]) for r in got} == {(big, 1), (big + 2, None)}
 
 
-def test_segments_split_the_hot_client(frame):
-    cut = sequential.segments(frame, ["client"], "ts", "request_id", 60)
-    hot = cut.where("client = 'hot'").groupBy(sequential.SEGMENT).agg(F.count("*").alias("n")).collect()
-    assert len(hot) > 20
+def replay_sliding(rows, seconds):
+    """Plain replay of (id, client, path, ts, limit)."""
+    accepted, want = {}, {}
+    for i, client, path, ts, limit in sorted(rows, key=lambda r: (r[3], r[0])):
+        recent = [t for t in accepted.get((client, path), []) if t > ts - dt.timedelta(seconds=seconds)]
+        want[i] = limit is None or len(recent) < limit
+        accepted[(client, path)] = recent + ([ts] if want[i] else [])
+    return want
+
+
+REQUESTS = "request_id long, client string, path string, ts timestamp_ntz, rate_limit int"
+
+
+def steady(n, mean, seed, limit, bursts=0):
+    """A client that never pauses for long, with ``bursts`` stretches of overload."""
+    rng = random.Random(seed)
+    rows, now = [], 0.0
+    hot = [rng.randrange(n) for _ in range(bursts)]
+    for i in range(n):
+        fast = any(0 <= i - h < 40 for h in hot)
+        now += round(rng.uniform(0, 2 * mean) * (0.1 if fast else 1), 3)
+        rows.append((i, "hot", "/x", START + dt.timedelta(seconds=now), limit))
+    return rows
+
+
+@pytest.mark.parametrize("mean,limit,seconds,windows,bursts", [
+    (1.0, 20, 10, 2, 6), (0.5, 20, 10, 2, 0), (0.6, 20, 10, 4, 3), (1.0, 15, 10, 3, 10),
+])
+def test_sliding_log_of_a_key_without_pauses(spark, mean, limit, seconds, windows, bursts):
+    rows = steady(1200, mean, 3, limit, bursts)
+    rows += [(5000 + i, None, "/x", ts, None if i % 7 == 0 else limit) for i, _, _, ts, _ in rows[:200]]
+    df = spark.createDataFrame(rows, REQUESTS).repartition(5)
+    got = sequential.rate_limit_sliding(df, window_seconds=seconds, windows=windows)
+    assert got.columns == [*df.columns, "accepted"]
+    found = [(r["request_id"], r["accepted"]) for r in got.collect()]
+    assert len(found) == len(rows) and dict(found) == replay_sliding(rows, seconds)
+
+
+def test_calm_keys_are_split(spark):
+    """A client that never pauses, with a third of the limit: no piece is longer than two cuts apart."""
+    rows = steady(3000, 1.0, 4, 30)
+    df = spark.createDataFrame(rows, REQUESTS)
+    cut = sequential.calm_segments(df, ["client", "path"], "ts", "rate_limit", 10, windows=4)
+    sizes = [r["n"] for r in cut.groupBy(sequential.SEGMENT).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 50 and max(sizes) < 120
+    assert cut.where(~F.col(sequential.WARM)).count() == 3000
+
+
+@pytest.mark.parametrize("mean,burst,bursts", [(2.0, 5, 0), (1.2, 5, 8), (0.9, 3, 0), (1.0, 1, 2)])
+@pytest.mark.parametrize("rows_per_chunk", [None, 50])
+def test_token_bucket_of_a_key_without_pauses(spark, mean, burst, bursts, rows_per_chunk):
+    rows = steady(1000, mean, 6, 0, bursts)
+    state, want = None, {}
+    for i, _, _, ts, _ in rows:
+        tokens, before = state or (Fraction(burst), ts)
+        tokens = min(Fraction(burst), tokens + Fraction((ts - before) // dt.timedelta(microseconds=1), 1_000_000))
+        want[i] = tokens >= 1
+        state = (tokens - want[i], ts)
+    df = spark.createDataFrame(rows, REQUESTS).repartition(5)
+    got = sequential.rate_limit_bucket(df, 60, burst, rows_per_chunk)
+    assert {r["request_id"]: r["accepted"] for r in got.collect()} == want
+    if mean == 2.0:
+        cut = sequential.full_segments(df, ["client"], "ts", "request_id", 60, rows_per_chunk)
+        sizes = [r["count"] for r in cut.groupBy(sequential.SEGMENT).count().collect()]
+        assert len(sizes) > 200 and max(sizes) < 60
+
+
+def test_rate_limits_of_rows_without_time_and_empty_tables(spark):
+    rows = [(1, "a", "/x", None, 5), (2, "a", "/x", START, 5), (3, None, None, START, 0)]
+    df = spark.createDataFrame(rows, REQUESTS)
+    assert {r["request_id"]: r["accepted"] for r in sequential.rate_limit_sliding(df).collect()} == {1: False, 2: True, 3: False}
+    assert {r["request_id"]: r["accepted"] for r in sequential.rate_limit_bucket(df, 60, 2).collect()} == {1: False, 2: True, 3: True}
+    assert sequential.rate_limit_sliding(df.limit(0)).count() == sequential.rate_limit_bucket(df.limit(0), 60, 2).count() == 0
 
 
 def test_suppression_rules_share_one_pass(spark):

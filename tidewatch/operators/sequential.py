@@ -7,14 +7,16 @@ knowing it, so chunks run in parallel and only the small tables are read in orde
 A rate limit remembers as many times as it allows requests, which cannot be
 tabulated.  Two things keep it from becoming one task per key:
 
-* A key is cut wherever nothing happened for long enough that no earlier
-  decision matters any more (``segments``).  The pieces are independent and are
-  spread over the cluster.
+* A key is cut wherever the state can be proven without knowing the decisions
+  before: where all requests of the last window were surely accepted
+  (``calm_segments``), or where the bucket is full even if every request
+  before had paid (``full_segments``).  The pieces are independent and are spread
+  over the cluster.  A key need not pause for that, it must only not be overloaded all the time.
 * Inside a piece the rows are streamed from a sorted partition in Arrow batches.
   The state is the few accepted times that still count, never the rows.
 
-What remains serial is a rate limit on a single key that never pauses; it is read
-at streaming speed in constant memory.
+What remains serial is a stretch of one key in which it is overloaded without a
+break; it is read at streaming speed in constant memory.
 """
 
 from __future__ import annotations
@@ -24,20 +26,84 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from tidewatch.operators import ordered
+from tidewatch.operators.chunks import same
 
-SEGMENT = "__segment"
+SEGMENT, WARM = "__segment", "__warm"
+#: Units of a token.
+TOKEN = 60_000_000
+NEVER = -(2**62)
+
+
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+def calm_segments(
+    df: DataFrame, keys: Sequence[str], ts: str, limit: str, window_seconds: float, parts: int = 8, windows: int = 64
+) -> DataFrame:
+    """Cut each key where the requests of the last window were all accepted, whatever came before.
+
+    Requests are counted in buckets of a ``parts``-th of the window.  Where the bucket of a request and
+    the ``parts`` before it hold no more than the limit, the request is accepted.  After ``parts`` such
+    buckets the accepted times that still count are simply the requests of these buckets.  The first
+    such place in every ``windows`` (2 at least) windows is a cut.  ``SEGMENT`` numbers the pieces; each is preceded
+    by copies (``WARM``) of the rows of the window before it.  All this is found from
+    the counts of (key, bucket), in chunks of ``parts * windows`` of them; only the table of cuts, one row a chunk, is ordered by key.
+    """
+    if windows < 2:
+        raise ValueError("cuts must be two windows apart at least")
+    keys = list(keys)
+    step = -(-int(window_seconds * 1_000_000) // parts)
+    size, b = parts * windows, F.col("__bucket")
+    at = df.withColumn("__bucket", F.floor(_micros(ts) / F.lit(step))).withColumn("__chunk", F.floor(b / F.lit(size)))
+    counts = at.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("n"), F.min(limit).alias("least"))
+    # the last buckets of a chunk also lead the next one, so that windows need not leave a chunk
+    copies = F.when(F.pmod(b, F.lit(size)) >= size - 2 * parts, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    led = counts.withColumn("__k", F.explode(copies)).withColumn("__chunk", F.floor(b / F.lit(size)) + F.col("__k"))
+    near = Window.partitionBy(*keys, "__chunk").orderBy("__bucket")
+    held = led.withColumn("held", F.sum("n").over(near.rangeBetween(-parts, 0)))
+    busy = F.coalesce(F.col("held") > F.col("least"), F.lit(False))
+    spoilt = F.coalesce(F.max(busy).over(near.rangeBetween(-parts, -1)), F.lit(False))
+    cuts = held.withColumn("spoilt", spoilt).where("__k = 0").groupBy(*keys, "__chunk").agg(F.min(F.when(~F.col("spoilt"), b)).alias("__cut"))
+    order = Window.partitionBy(*keys).orderBy("__chunk")
+    cuts = cuts.withColumns({
+        "__before": F.last("__cut", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)),
+        "__after": F.lead("__cut").over(order),
+    })
+    by = [*keys, "__chunk"]
+    table = cuts.select(*[F.col(c).alias(f"__d_{c}") for c in by], "__cut", "__before", "__after")
+    own = F.coalesce(F.when(b >= F.col("__cut"), F.col("__cut")), F.col("__before"), F.lit(NEVER))
+
+    def ahead(cut: Column) -> Column:
+        return F.when((b < cut) & (b >= cut - parts), cut)
+
+    places = F.array(
+        F.struct(own.alias("s"), F.lit(False).alias("w")),
+        *[F.struct(ahead(F.col(c)).alias("s"), F.lit(True).alias("w")) for c in ("__cut", "__after")],
+    )
+    placed = at.join(table, same(by, "__d_"), "left").withColumn("__place", F.explode(F.filter(places, lambda p: p["s"].isNotNull())))
+    return placed.select(*df.columns, F.col("__place.s").alias(SEGMENT), F.col("__place.w").alias(WARM))
 
 
-def segments(df: DataFrame, keys: Sequence[str], ts: str, tie: str, quiet_seconds: float) -> DataFrame:
-    """Number the stretches of each key that are ``quiet_seconds`` or more apart."""
-    quiet = F.timestamp_diff("MICROSECOND", F.col("__before"), F.col(ts)) >= F.lit(int(quiet_seconds * 1_000_000))
-    return ordered.islands(
-        df, keys, [ts, tie], ordered.time_chunk(ts), {"__before": F.col(ts)},
-        F.col("__before").isNull() | quiet, SEGMENT,
-    ).drop("__before")
+def full_segments(
+    df: DataFrame, keys: Sequence[str], ts: str, tie: str, per_minute: int, rows: int | None = None
+) -> DataFrame:
+    """Cut each key where its bucket is full even if every request before had paid.
+
+    Were all ``i - 1`` requests before paid, the debt before request ``i`` is zero exactly where
+    ``per_minute * time - (i - 1) * token`` is at least as large as at every request before.  So the
+    running maximum of that is constant between two such places and names the pieces.
+    """
+    numbered = ordered.running(df, keys, [ts, tie], ordered.row_chunks(ts, rows), __no=ordered.row_number())
+    wide = "decimal(20,0)"
+    surplus = _micros(ts).cast(wide) * F.lit(per_minute) - (F.col("__no") - 1).cast(wide) * F.lit(TOKEN)
+    out = ordered.running(numbered, keys, [ts, tie], ordered.row_chunks(ts, rows), **{SEGMENT: ordered.running_max(surplus)})
+    return out.drop("__no").withColumn(WARM, F.lit(False))
 
 
 def _with_marks(batch: pa.RecordBatch, columns: Sequence[str], name: str, marks: list[bool]) -> pa.RecordBatch:
@@ -55,45 +121,41 @@ def _schema_with(df: DataFrame, name: str) -> str:
 
 
 def decide_in_order(
-    df: DataFrame, keys: Sequence[str], ts: str, tie: str, quiet_seconds: float,
-    make_decider: Callable[..., Callable[[int], bool]], name: str = "accepted",
-    parameter: str | None = None,
+    cut: DataFrame, columns: Sequence[str], keys: Sequence[str], ts: str, tie: str,
+    make_decider: Callable[[], Callable[[int, object], bool]], name: str = "accepted", parameter: str | None = None,
 ) -> DataFrame:
-    """Add a boolean decided row by row, in time order, within each key.
+    """The ``columns`` and a boolean decided row by row, in time order, within each segment of a key.
 
-    ``make_decider(parameter value)`` returns a function from microseconds to the
-    decision; it is made anew for each segment.
+    ``make_decider()`` returns a function from microseconds and the row's ``parameter`` to the decision; it is
+    made anew for each segment.  ``WARM`` rows are decided but not returned.  Rows without a time are refused.
     """
-    keys = list(keys)
-    cut = segments(df, keys, ts, tie, quiet_seconds).withColumn(
-        "__us", F.unix_micros(F.col(ts).cast("timestamp"))
-    )
-    cut = cut.withColumn("__key", F.to_json(F.struct(*keys, SEGMENT)))
-    laid = cut.repartition("__key").sortWithinPartitions("__key", ts, tie)
-    out_columns = df.columns
+    columns = list(columns)
+    keyed = cut.withColumn("__us", _micros(ts)).withColumn("__key", F.to_json(F.struct(*keys, SEGMENT)))
+    laid = keyed.repartition("__key").sortWithinPartitions("__key", ts, tie)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, decider = None, None
         for batch in batches:
             marks = []
-            limits = batch.column(parameter).to_pylist() if parameter else [None] * len(batch)
-            for key, us, limit in zip(batch.column("__key").to_pylist(), batch.column("__us").to_pylist(), limits):
+            given = batch.column(parameter).to_pylist() if parameter else [None] * len(batch)
+            for key, us, value in zip(batch.column("__key").to_pylist(), batch.column("__us").to_pylist(), given):
                 if key != current:
-                    current, decider = key, make_decider(limit)
-                marks.append(decider(us))
-            yield _with_marks(batch, out_columns, name, marks)
+                    current, decider = key, make_decider()
+                marks.append(us is not None and decider(us, value))
+            marked = _with_marks(batch, columns, name, marks)
+            yield marked.filter(pc.invert(batch.column(WARM)))
 
-    return laid.mapInArrow(decide, _schema_with(df, name))
+    return laid.mapInArrow(decide, _schema_with(cut.select(*columns), name))
 
 
-def sliding_log(limit, window_us: int) -> Callable[[int], bool]:
-    """Accept while fewer than ``limit`` accepted times lie in the window before."""
+def sliding_log(window_us: int) -> Callable[[int, int | None], bool]:
+    """Accept while fewer than the row's limit of accepted times lie in the window before; no limit accepts."""
     accepted: deque[int] = deque()
 
-    def decider(us: int) -> bool:
+    def decider(us: int, limit: int | None) -> bool:
         while accepted and accepted[0] <= us - window_us:
             accepted.popleft()
-        if len(accepted) >= limit:
+        if limit is not None and len(accepted) >= limit:
             return False
         accepted.append(us)
         return True
@@ -101,48 +163,41 @@ def sliding_log(limit, window_us: int) -> Callable[[int], bool]:
     return decider
 
 
-def token_bucket(per_minute: int, burst: int) -> Callable[[int], bool]:
+def token_bucket(per_minute: int, burst: int) -> Callable[[int, object], bool]:
     """A bucket that starts full, refills steadily and pays one token per request.
 
     Counted in units of which a token has sixty million, so that a microsecond
     adds ``per_minute`` units and nothing is rounded.
     """
-    token = 60_000_000
-    state = [burst * token, None]
+    state = [burst * TOKEN, None]
 
-    def decider(us: int) -> bool:
+    def decider(us: int, _: object = None) -> bool:
         level, before = state
         if before is not None:
-            level = min(burst * token, level + (us - before) * per_minute)
-        taken = level >= token
-        state[0], state[1] = (level - token if taken else level), us
+            level = min(burst * TOKEN, level + (us - before) * per_minute)
+        taken = level >= TOKEN
+        state[0], state[1] = (level - TOKEN if taken else level), us
         return taken
 
     return decider
 
 
 def rate_limit_sliding(
-    requests: DataFrame, limit_column: str = "rate_limit", window_seconds: int = 60
+    requests: DataFrame, limit_column: str = "rate_limit", window_seconds: int = 60, windows: int = 64
 ) -> DataFrame:
-    """Replay a request log through a sliding-log limit per client and endpoint."""
-    width = window_seconds * 1_000_000
-    return decide_in_order(
-        requests, ["client", "path"], "ts", "request_id", window_seconds,
-        lambda limit: sliding_log(limit, width), parameter=limit_column,
-    )
-
+    """Replay a request log through a sliding-log limit per client and endpoint.
 
-def rate_limit_bucket(requests: DataFrame, per_minute: int, burst: int) -> DataFrame:
-    """Replay a request log through a token bucket per client."""
-    # after this long without requests the bucket is full again
-    refill_seconds = burst * 60.0 / per_minute
-    return decide_in_order(
-        requests, ["client"], "ts", "request_id", refill_seconds,
-        lambda _: token_bucket(per_minute, burst),
-    )
+    Each request is held against its own limit.  ``windows`` is the spacing of cuts in windows.
+    """
+    keys, width = ["client", "path"], window_seconds * 1_000_000
+    cut = calm_segments(requests, keys, "ts", limit_column, window_seconds, windows=windows)
+    return decide_in_order(cut, requests.columns, keys, "ts", "request_id", lambda: sliding_log(width), parameter=limit_column)
 
 
-NEVER = -(2**62)
+def rate_limit_bucket(requests: DataFrame, per_minute: int, burst: int, rows: int | None = None) -> DataFrame:
+    """Replay a request log through a token bucket per client; ``rows`` bounds the chunks in which cuts are sought."""
+    cut = full_segments(requests, ["client"], "ts", "request_id", per_minute, rows)
+    return decide_in_order(cut, requests.columns, ["client"], "ts", "request_id", lambda: token_bucket(per_minute, burst))
 
 
 def _chunk_exits():
