@@ -1,6 +1,7 @@
 """Streaming jobs over several files, against the batch form."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,11 @@ from tidewatch.streaming import jobs
 START = dt.datetime(2024, 1, 1)
 
 
+
+def micros(ts):
+    return (ts - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
+
+
 @pytest.fixture
 def folder(spark, tmp_path):
     """Three files of metric rows, one minute apart, in time order."""
@@ -171,3 +177,41 @@ def test_dedup_within_watermark(spark, tmp_path):
     df = jobs.dedup_stream(stream(spark, str(tmp_path / "in")), ["k"], "1 hour")
     jobs.run_to_files(df, str(tmp_path / "out"), str(tmp_path / "cp"))
     assert sorted(r["k"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+@pytest.mark.parametrize("per_trigger", [1, 5])
+def test_expiring_counts_go_by_event_time(spark, tmp_path, per_trigger):
+    """Files in and out of order, without keys and times, in several batches or one, against plain Python."""
+    rng = random.Random(21)
+    rows, path = [], str(tmp_path / "in")
+    for part in range(5):
+        some = [
+            (rng.choice(["hot", "hot", "hot", "b", None]),
+             None if rng.random() < 0.05 else START + dt.timedelta(minutes=part * 200 + rng.randint(-20, 200), microseconds=rng.randint(0, 9)))
+            for _ in range(60)
+        ]
+        rows += some
+        spark.createDataFrame(some, "user string, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(path)
+    table = jobs.BatchLog(spark, str(tmp_path / "log"))
+    counts = jobs.expiring_counts(stream(spark, path, per_trigger), "user", ttl_seconds=900, delay="60 minutes")
+    jobs.run_stateful(counts, table.write, str(tmp_path / "cp"))
+    got = sorted((str(r["key"]), r["first_us"], r["last_us"], r["n"]) for r in table.read().collect())
+    newest = max(ts for _, ts in rows if ts)
+    want = []
+    for key in {k for k, _ in rows}:
+        pieces = []
+        for ts in sorted(ts for k, ts in rows if k == key and ts):
+            if pieces and ts - pieces[-1][-1] < dt.timedelta(seconds=900):
+                pieces[-1].append(ts)
+            else:
+                pieces.append([ts])
+        want += [(str(key), micros(p[0]), micros(p[-1]), len(p)) for p in pieces if p[-1] + dt.timedelta(minutes=76) <= newest]
+    sure = [w for w in want if w[2] + 76 * 60_000_000 <= micros(newest)]
+    assert [g for g in got if g in sure] == sorted(sure) and len(sure) > 20
+    assert all(g[2] + 74 * 60_000_000 <= micros(newest) for g in got)
+
+
+def test_stretches_join():
+    assert jobs.merged_stretches([(10, 12, 2), (0, 1, 1), (3, 8, 4)], 3) == [(0, 12, 7)]
+    assert jobs.merged_stretches([(10, 12, 2), (0, 1, 1), (4, 7, 4)], 3) == [(0, 1, 1), (4, 7, 4), (10, 12, 2)]
+    assert jobs.merged_stretches([], 3) == []

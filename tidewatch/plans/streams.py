@@ -165,14 +165,20 @@ def throughput_stream(t):
     return rounded(_wall_clock(got, "window_start"), "per_second")
 
 
-@query("state_ttl", "SELECT user_id::VARCHAR AS key, count(*) AS n FROM events GROUP BY 1")
+@query("state_ttl", """
+WITH l AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
+s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 6 HOUR THEN 1 ELSE 0 END)
+  OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS stretch FROM l)
+SELECT user_id::VARCHAR AS key, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS n FROM s GROUP BY user_id, stretch
+HAVING epoch_ms(max(ts)) + CASE WHEN epoch_us(max(ts)) % 1000 > 0 THEN 1 ELSE 0 END + 21600000 <= (SELECT epoch_ms(max(ts)) FROM events) - 1800000""")
 def state_ttl(t):
-    """Events per user, counted in expiring state."""
+    """Events per user in state that expires after six hours of event time without a row; what the watermark has closed."""
     stream = StreamTables(t.spark, t.sf_dir)
     out = shared_folder(t.spark, "state-ttl")
     table = jobs.BatchLog(t.spark, f"{out}/data")
-    jobs.run_expiring(jobs.recent_counts(stream.events, "user_id"), table.write, f"{out}/checkpoint")
-    return table.read().groupBy("key").agg(F.max("n").alias("n"))
+    counts = jobs.expiring_counts(stream.events, "user_id", ttl_seconds=6 * 3600, delay="30 minutes")
+    jobs.run_stateful(counts, table.write, f"{out}/checkpoint")
+    return table.read().select("key", "first_us", "last_us", "n")
 
 
 @query("collect_stream", """

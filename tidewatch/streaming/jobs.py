@@ -47,20 +47,16 @@ def run_batches(df: DataFrame, step: Callable[[DataFrame, int], None], checkpoin
     query.awaitTermination()
 
 
-def run_expiring(df: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """Run a query whose state expires by the clock over what is there.
-
-    Such a query always has a next batch, for expiry, so ``availableNow`` would
-    not come to an end; a single batch does.  State with a TTL needs RocksDB.
-    """
+def run_stateful(df: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """``run_batches`` for queries with state of their own, which need RocksDB and may only append."""
     spark = df.sparkSession
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting, None)
     spark.conf.set(setting, ROCKSDB)
     try:
         query = (
-            df.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint)
-            .trigger(once=True).start()
+            df.writeStream.outputMode("append").foreachBatch(step).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start()
         )
         query.awaitTermination()
     finally:
@@ -231,38 +227,96 @@ def standing_alerts(changes: BatchLog) -> DataFrame:
 # --- state with a time to live ----------------------------------------------
 
 
-class RecentCount(StatefulProcessor):
-    """Running count of the rows of a key; the state expires after the TTL."""
+def merged_stretches(pieces: list[tuple[int, int, int]], ttl: int) -> list[tuple[int, int, int]]:
+    """``(first, last, n)`` in order of time, where pieces less than ``ttl`` apart have become one."""
+    out: list[tuple[int, int, int]] = []
+    for first, last, n in sorted(pieces):
+        if out and first - out[-1][1] < ttl:
+            begun, end, held = out.pop()
+            first, last, n = begun, max(end, last), held + n
+        out.append((first, last, n))
+    return out
+
+
+class ExpiringCount(StatefulProcessor):
+    """Counts of a key that expire when event time has gone on by the TTL since their last row.
+
+    The state is the stretches of time that may still grow; late rows can join two of them.  They do not
+    overlap, so the first ends first: one timer a key, for that one, and what the watermark has passed is put out.
+    """
 
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
+    def __init__(self, ttl_us: int):
+        self.ttl = ttl_us
 
     def init(self, handle) -> None:
-        self._count = handle.getValueState("count", "n long", ttlDurationMs=self.ttl_ms)
+        self._handle = handle
+        self._open = handle.getListState("open", "first long, last long, n long")
+
+    def _due(self, last: int) -> int:
+        return -(-(last + self.ttl) // 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n = self._count.get()[0] if self._count.exists() else 0
-        n += sum(int(part["n"].sum()) for part in rows)
-        self._count.update((n,))
-        yield pd.DataFrame({"key": [str(key[0])], "n": [n]})
+        before = [tuple(map(int, piece)) for piece in self._open.get()] if self._open.exists() else []
+        pieces = list(before)
+        for part in rows:
+            pieces += zip(part["first"].tolist(), part["last_us"].tolist(), part["n"].tolist())
+        now = merged_stretches(pieces, self.ttl)
+        self._open.put(now)
+        due, set_before = self._due(now[0][1]), self._due(before[0][1]) if before else None
+        if due != set_before:
+            if set_before is not None:
+                self._handle.deleteTimer(set_before)
+            self._handle.registerTimer(due)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        held = [tuple(map(int, piece)) for piece in self._open.get()] if self._open.exists() else []
+        over = [piece for piece in held if self._due(piece[1]) <= at]
+        left = [piece for piece in held if self._due(piece[1]) > at]
+        if left:
+            self._open.put(left)
+            self._handle.registerTimer(self._due(left[0][1]))
+        else:
+            self._open.clear()
+        if over:
+            yield pd.DataFrame({
+                "key": [None if key[0] is None else str(key[0])] * len(over), "first_us": [p[0] for p in over],
+                "last_us": [p[1] for p in over], "n": [p[2] for p in over],
+            })
 
     def close(self) -> None:
         pass
 
 
-def recent_counts(df: DataFrame, key: str, ttl_seconds: int = 3600) -> DataFrame:
-    """Counts per key kept in the state store with a TTL.
+def expiring_counts(df: DataFrame, key: str, ts: str = "ts", ttl_seconds: int = 3600, delay: str = "10 minutes") -> DataFrame:
+    """``key, first_us, last_us, n``: counts per key that start anew after ``ttl_seconds`` without a row.
 
-    Rows are counted inside each Arrow batch first, so a busy key sends a row per
-    ten thousand to its state rather than all of them.
+    Time is that of the rows, so a backlog gives the same counts in one batch or many, and state goes as
+    the watermark passes, not by the clock.  Rows are joined to stretches inside each Arrow batch first: a busy
+    key sends a few rows per ten thousand to its state rather than all of them.  Rows without a time are left out;
+    rows without a key are one key.
     """
+    ttl = ttl_seconds * 1_000_000
+    stamp = F.col(ts)
+    if isinstance(df.schema[ts].dataType, TimestampNTZType):
+        stamp = to_instant(stamp)
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.groupby("key", as_index=False).size().rename(columns={"size": "n"})
-
-    counted = df.select(F.col(key).cast("string").alias("key")).mapInPandas(combine, "key string, n long")
-    return counted.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=RecentCount(ttl_seconds * 1000), outputStructType="key string, n long",
-        outputMode="Update", timeMode="ProcessingTime",
+            batch = batch.sort_values(["key", "us"], na_position="first", ignore_index=True)
+            other = (batch["key"] != batch["key"].shift()) & ~(batch["key"].isna() & batch["key"].shift().isna())
+            begins = other | (batch["us"] - batch["us"].shift() >= ttl)
+            if len(begins):
+                begins.iloc[0] = True
+            runs = batch.groupby(begins.cumsum())
+            out = runs.agg(key=("key", lambda k: k.iloc[0]), first=("us", "min"), last_us=("us", "max"), n=("us", "size"))
+            out["last"] = pd.to_datetime(out["last_us"], unit="us", utc=True)
+            yield out[["key", "first", "last_us", "last", "n"]]
+
+    rows = df.select(F.col(key).cast("string").alias("key"), F.unix_micros(stamp).alias("us")).where(F.col("us").isNotNull())
+    runs = rows.mapInPandas(combine, "key string, first long, last_us long, last timestamp, n long")
+    return runs.withWatermark("last", delay).groupBy("key").transformWithStateInPandas(
+        statefulProcessor=ExpiringCount(ttl), outputStructType="key string, first_us long, last_us long, n long",
+        outputMode="Append", timeMode="EventTime",
     )
