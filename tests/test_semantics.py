@@ -2,6 +2,7 @@
 
 import datetime as dt
 import operator as op
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -424,3 +425,56 @@ def test_retry(spark):
     df = spark.createDataFrame([("error", 0), ("error", 3), ("error", 4), ("success", 1)], "status string, attempts int")
     got = [(r["next"], r["delay_s"]) for r in events.retry_dead_letter(df).orderBy("attempts").collect()]
     assert got == [("retry", 1.0), ("retry", 8.0), ("dead-letter", None)]
+
+
+def test_saved_forest_scores_by_sql(spark, tmp_path):
+    """Probabilities recomputed by DuckDB from the written nodes."""
+    import duckdb
+    from pyspark.ml.functions import vector_to_array
+
+    rng = random.Random(2)
+    rows = [(i, *[rng.gauss(0, 1) for _ in learning.FEATURES], i % 3 == 0 and 1 or 0) for i in range(300)]
+    names = ", ".join(f"{c} double" for c in learning.FEATURES)
+    train = spark.createDataFrame(rows, f"row_id long, {names}, label int").repartition(2)
+    model = learning.train_random_forest(train, trees=7, depth=5)
+    model.write().save(str(tmp_path / "model"))
+    learning.forest_nodes(spark, str(tmp_path / "model")).write.parquet(str(tmp_path / "nodes"))
+    train.write.parquet(str(tmp_path / "rows"))
+    got = duckdb.connect().execute(f"""
+        WITH RECURSIVE n AS (SELECT * FROM '{tmp_path}/nodes/*.parquet' WHERE label = 1),
+        x AS (SELECT row_id, [{", ".join(learning.FEATURES)}] AS f FROM '{tmp_path}/rows/*.parquet'),
+        w AS (SELECT x.row_id, x.f, n.* FROM x JOIN n ON n.node = 0
+          UNION ALL SELECT w.row_id, w.f, n.* FROM w JOIN n ON n.tree = w.tree
+            AND n.node = CASE WHEN w.f[w.feature + 1] <= w.cut THEN w.lower ELSE w.upper END WHERE w.feature IS NOT NULL)
+        SELECT row_id, avg(share) FROM w WHERE feature IS NULL GROUP BY 1""").fetchall()
+    want = {
+        r["row_id"]: r["p"] for r in model.transform(learning.assemble(train)).select("row_id", vector_to_array("probability")[1].alias("p")).collect()
+    }
+    assert len(got) == 300 and dict(got) == pytest.approx(want)
+    assert len({round(p, 6) for p in want.values()}) > 20
+
+
+def test_isolation_scores_by_sql(spark, tmp_path):
+    """Scores recomputed by DuckDB from the written trees; every row is scored once."""
+    import duckdb
+
+    rng = random.Random(4)
+    rows = [(i, rng.gauss(0, 1), rng.gauss(0, 2)) for i in range(400)] + [(400, 9.0, -9.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double").repartition(3)
+    learning.grow_forest(df, ["x", "y"], "id", trees=9, subsample=64).write.parquet(str(tmp_path / "forest"))
+    forest = spark.read.parquet(str(tmp_path / "forest"))
+    learning.isolation_nodes(forest).write.parquet(str(tmp_path / "nodes"))
+    df.write.parquet(str(tmp_path / "rows"))
+    got = duckdb.connect().execute(f"""
+        WITH RECURSIVE n AS (SELECT * FROM '{tmp_path}/nodes/*.parquet'),
+        w AS (SELECT id, [x, y] AS f, n.* FROM '{tmp_path}/rows/*.parquet', n WHERE node = 0
+          UNION ALL SELECT w.id, w.f, n.* FROM w JOIN n ON n.tree = w.tree
+            AND n.node = CASE WHEN w.f[w.feature + 1] < w.cut THEN w.lower ELSE w.upper END WHERE w.feature IS NOT NULL),
+        s AS (SELECT id, avg(path) AS path, max(size) AS size FROM w WHERE feature IS NULL GROUP BY 1)
+        SELECT id, -power(2, -path / (2 * (ln(size - 1) + 0.5772156649) - 2 * (size - 1) / size)) FROM s""").fetchall()
+    found = {r["id"]: r["score"] for r in learning.isolation_score(df, ["x", "y"], "id", forest=forest, trees=9, subsample=64).collect()}
+    raw = dict(got)
+    offset = raw[400] - found[400]
+    assert len(found) == 401 and found == pytest.approx({i: v - offset for i, v in raw.items()})
+    assert min(raw, key=raw.get) == 400
+    assert sum(v < 0 for v in found.values()) == pytest.approx(40, abs=3)

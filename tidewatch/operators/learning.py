@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.functions.sampling import hash_fraction
@@ -262,6 +262,26 @@ def train_random_forest(train: DataFrame, trees: int = 100, depth: int = 10, see
     return forest.fit(assemble(train))
 
 
+def forest_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """``tree, node, feature, cut, lower, upper, label, share``: a saved forest as a table, a row per node and label.
+
+    A row goes to ``lower`` where its feature is at most ``cut``, else to ``upper``; leaves have no feature.  ``share``
+    is the share of a node's training weight that has the label; the probability of a label is the mean of the
+    shares of the leaves a row reaches.  Node 0 is the root of each tree.  Features must be continuous.
+    """
+    n = F.col("nodeData")
+    inner = n["leftChild"] >= 0
+    nodes = spark.read.parquet(f"{path.rstrip('/')}/data").select(
+        F.col("treeID").alias("tree"), n["id"].alias("node"), F.when(inner, n["split"]["featureIndex"]).alias("feature"),
+        F.when(inner, F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0))).alias("cut"),
+        F.when(inner, n["leftChild"]).alias("lower"), F.when(inner, n["rightChild"]).alias("upper"), n["impurityStats"].alias("stats"),
+    )
+    total = F.aggregate("stats", F.lit(0.0), lambda x, y: x + y)
+    return nodes.select(
+        "tree", "node", "feature", "cut", "lower", "upper", total.alias("total"), F.posexplode("stats").alias("label", "held")
+    ).withColumn("share", F.col("held") / F.col("total")).drop("held", "total")
+
+
 def forest_importance(model, train: DataFrame, columns: Sequence[str] = FEATURES) -> DataFrame:
     """Importances of a fitted forest, one row per feature."""
     weights = [float(w) for w in model.featureImportances.toArray()]
@@ -359,6 +379,19 @@ def _path_lengths(x: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         at[rows] = np.where(goes_left, node[:, 2], node[:, 3]).astype(int)
 
 
+def _uniform(ids: Column, seed: int, *salt: Column) -> Column:
+    return F.xxhash64(ids, *salt, F.lit(seed)).bitwiseAND(F.lit(2**52 - 1)) / F.lit(float(2**52))
+
+
+def _pool(
+    df: DataFrame, columns: Sequence[str], id_column: str, trees: int, seed: int, subsample: int
+) -> tuple[DataFrame, int]:
+    """About ``4 * subsample * trees`` rows drawn by a hash of the id, or all, and the number of rows."""
+    total = df.select(F.count(F.lit(1))).scalar()
+    share = F.lit(float(4 * subsample * trees)) / F.greatest(total, F.lit(1))
+    return df.select(id_column, *columns).where(_uniform(F.col(id_column).cast("string"), seed, F.lit("pool")) < share), total
+
+
 def grow_forest(
     df: DataFrame, columns: Sequence[str], id_column: str, trees: int = 100, seed: int = 42, subsample: int = 256
 ) -> DataFrame:
@@ -370,20 +403,11 @@ def grow_forest(
     limit per tree is applied before the rows are grouped.
     """
     columns = list(columns)
-    total = df.select(F.count(F.lit(1))).scalar()
-    wanted = float(4 * subsample * trees)
-    ids = F.col(id_column).cast("string")
-
-    def uniform(*salt: Column) -> Column:
-        return F.xxhash64(ids, *salt, F.lit(seed)).bitwiseAND(F.lit(2**52 - 1)) / F.lit(float(2**52))
-
-    pool = df.select(id_column, *columns).where(
-        uniform(F.lit("pool")) < F.lit(wanted) / F.greatest(total, F.lit(1))
-    )
-    share = F.lit(4.0 * subsample) / F.least(F.greatest(total, F.lit(1)), F.lit(wanted))
+    pool, total = _pool(df, columns, id_column, trees, seed, subsample)
+    share = F.lit(4.0 * subsample) / F.least(F.greatest(total, F.lit(1)), F.lit(float(4 * subsample * trees)))
     drawn = (
         pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("__u", uniform(F.col("tree"))).where(F.col("__u") < share)
+        .withColumn("__u", _uniform(F.col(id_column).cast("string"), seed, F.col("tree"))).where(F.col("__u") < share)
     )
     smallest = Window.partitionBy("tree").orderBy("__u", id_column)
     sample = drawn.withColumn("__r", F.row_number().over(smallest)).where(F.col("__r") <= subsample)
@@ -399,35 +423,51 @@ def grow_forest(
     return sample.groupBy("tree").applyInPandas(grow, "tree int, size int, nodes string")
 
 
+def isolation_nodes(forest: DataFrame) -> DataFrame:
+    """``tree, size, node, feature, cut, lower, upper, path``: grown trees as a table, a row per node.
+
+    A row goes to ``lower`` where its feature is below ``cut``, else to ``upper``; a leaf has no feature and gives the
+    ``path`` length.  Node 0 is the root.
+    """
+    rows = forest.select("tree", "size", F.posexplode(F.from_json("nodes", "array<array<double>>")).alias("node", "at"))
+    inner, at = F.col("at")[0] >= 0, F.col("at")
+    return rows.select(
+        "tree", "size", "node", F.when(inner, at[0].cast("int")).alias("feature"), F.when(inner, at[1]).alias("cut"),
+        F.when(inner, at[2].cast("int")).alias("lower"), F.when(inner, at[3].cast("int")).alias("upper"), F.when(~inner, at[1]).alias("path"),
+    )
+
+
 def isolation_score(
     df: DataFrame, columns: Sequence[str], id_column: str, contamination: float = 0.1,
-    trees: int = 100, seed: int = 42, error: float = 0.001, subsample: int = 256,
+    trees: int = 100, seed: int = 42, error: float = 0.001, subsample: int = 256, forest: DataFrame | None = None,
 ) -> DataFrame:
     """Anomaly score and flag of each row.
 
     ``score`` is offset so that about ``contamination`` of the rows lie below 0.
-    Trees are grown on ``subsample`` rows each, the size the method is defined by; every row is scored.
+    Trees are grown on ``subsample`` rows each, the size the method is defined by, or given as ``forest``; every row is
+    scored, once.  The offset comes from the pool of rows trees are drawn from, which is all rows of a small table.
     The forest is at most ``trees`` x (2 x ``subsample`` - 1) nodes whatever the size of the data, so
     it is sent to the tasks with the scoring function.
     """
     columns = list(columns)
-    forest = [
-        (r["size"], np.array(json.loads(r["nodes"]), dtype=float))
-        for r in grow_forest(df, columns, id_column, trees, seed, subsample).toLocalIterator()
-    ]
-    scale = _average_path(max(size for size, _ in forest)) or 1.0
+    given = grow_forest(df, columns, id_column, trees, seed, subsample) if forest is None else forest
+    grown = [(r["size"], np.array(json.loads(r["nodes"]), dtype=float)) for r in given.toLocalIterator()]
+    scale = _average_path(max((size for size, _ in grown), default=1)) or 1.0
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns])
-            mean = np.mean([_path_lengths(x, nodes) for _, nodes in forest], axis=0)
+            mean = np.mean([_path_lengths(x, nodes) for _, nodes in grown], axis=0)
             arrays = [*batch.columns, pa.array(-np.power(2.0, -mean / scale))]
             yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "raw"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    raw = df.mapInArrow(score, f"{fields}, raw double")
-    offset = raw.select(F.approx_percentile("raw", contamination, int(1 / error))).scalar()
-    return raw.withColumn("score", F.col("raw") - offset).withColumn("is_anomaly", F.col("score") < 0).drop("raw")
+    def scored(rows: DataFrame) -> DataFrame:
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+        return rows.mapInArrow(score, f"{fields}, raw double")
+
+    pool, _ = _pool(df, columns, id_column, trees, seed, subsample)
+    offset = scored(pool).select(F.approx_percentile("raw", contamination, int(1 / error))).scalar()
+    return scored(df).withColumn("score", F.col("raw") - offset).withColumn("is_anomaly", F.col("score") < 0).drop("raw")
 
 
 def score_batch(outputs: DataFrame, features: DataFrame, as_of: Column) -> DataFrame:
