@@ -137,15 +137,15 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     return statistics(docs.select("doc_id", "text")).select("doc_id", "stats")
 
 
-def scored(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """``docs`` with ``score``; null and empty texts are scored by their (zero) statistics.
+def scored(docs: DataFrame, model: RuleModel, into: str = "score") -> DataFrame:
+    """``docs`` with the score in ``into``; null and empty texts are scored by their (zero) statistics.
 
     A column of that name in ``docs`` is replaced, other columns stay.
     """
     row = docs.select(F.struct("*").alias("row"), "text")
     found = statistics(row).select("row", model.score().alias("_score"))
     return found.select(
-        *[F.col("row")[c].alias(c) for c in docs.columns if c != "score"], F.col("_score").alias("score")
+        *[F.col("row")[c].alias(c) for c in docs.columns if c != into], F.col("_score").alias(into)
     )
 
 

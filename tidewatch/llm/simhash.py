@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewatch.llm.components import components
 from tidewatch.llm.decontaminate import _bounded
 from tidewatch.llm.overlap import class_of, similar_links
-from tidewatch.llm.storage import staged
+from tidewatch.llm.storage import free_name, staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WHITE = r"[\x20\x09-\x0D]+"
@@ -208,6 +208,7 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> Data
     Texts whose sets of ``size``-word shingles have a Jaccard similarity of ``similarity`` or more are
     linked.  Rows are told apart by doc_id and text: of different texts under one doc_id each has its
     own group.  Rows without doc_id come after all others, so one stays only where its group has no other.
+    Other columns stay as they are, whatever their names.
     """
     row, text_class = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), class_of(F.col("text"))
     rows = staged(docs.select("doc_id", row.alias("r"), text_class.alias("c")), "rows")
@@ -217,7 +218,8 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> Data
     )
     best = grouped.groupBy("root").agg(F.min("order").alias("best"))
     copies = staged(grouped.join(best, "root").filter(F.col("r") != F.col("best.r")).select("r").distinct(), "copies")
-    kept = docs.withColumn("r", row).join(_bounded(copies), "r", "left_anti")
+    mark = free_name(docs, "r")
+    kept = docs.withColumn(mark, row).join(_bounded(copies.withColumnRenamed("r", mark)), mark, "left_anti")
     if not rows.groupBy("r").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["r"])
+        kept = kept.dropDuplicates([mark])
     return kept.select(docs.columns)

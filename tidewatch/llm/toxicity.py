@@ -71,13 +71,13 @@ class Model:
 
 def train(
     texts: list[str], labels: list[int], dim: int = 2, rounds: int = 60, rate: float = 0.05, scale: float = 300.0,
-    min_texts: int = 20, positive: float = 0.2, decay: float = 4e-4, seed: int = 5,
+    min_share: float = 0.01, positive: float = 0.2, decay: float = 4e-4, seed: int = 5,
 ) -> Model:
     """Embeddings and softmax together, by Adam over all ``texts`` at once.
 
     ``scale`` multiplies the mean before the softmax, since a few words of a text decide.
-    ``positive`` is the weight of all texts of label 1 together; ``min_texts`` is how many texts
-    must have a bucket for it to get a vector.
+    ``positive`` is the weight of all texts of label 1 together.  A bucket gets a vector if at least two texts and
+    ``min_share`` times as many as the rarer label has are found with it.
     """
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
@@ -108,7 +108,7 @@ def train(
         sizes[at:at + len(size)] = size
         in_texts += np.bincount(some, np.repeat(texts_with[at:at + len(size)], size), BUCKETS)
     # the n-grams are made again, so that only those of common buckets are held
-    common = in_texts >= min_texts
+    common = in_texts >= max(2.0, min_share * np.bincount(y).min())
     used = np.flatnonzero(common)
     place = np.cumsum(common, dtype=np.int32) - 1
     local, owner = [], []
@@ -174,8 +174,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = 2000
     return train([r["text"] for r in rows], [r["label"] for r in rows], **options)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score``, the probability of label 1; a text without words gets the share in training."""
+def scored(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
+    """``docs`` with ``into``, the probability of label 1; a text without words gets the share in training.
+
+    A column of that name in ``docs`` is replaced, other columns stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.bucket, model.bias, model.empty))
 
     @F.pandas_udf("double")
@@ -197,4 +200,4 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                     out[at + k] = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
             yield pd.Series(out)
 
-    return docs.withColumn("score", score(F.col("text").cast("string")))
+    return docs.withColumn(into, score(F.col("text").cast("string")))
