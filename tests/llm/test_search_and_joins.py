@@ -102,6 +102,22 @@ def test_variants_edges(spark):
     assert spelling.variants(df.limit(0)).count() == 0
 
 
+def test_a_thinned_run_is_not_thinned_again(spark):
+    """A run that becomes another thinned run of its document loses one letter, whichever of them comes first."""
+    rng = random.Random(5)
+    rows = []
+    while len(rows) < 6:
+        doc_id, run = len(rows), "".join(rng.choice("abcdefghij") for _ in range(9))
+        h = zlib.crc32(f"{doc_id}:{run}".encode())
+        shorter = run[:h % 9] + run[h % 9 + 1:]
+        if h % 7 == 0 and zlib.crc32(f"{doc_id}:{shorter}".encode()) % 7 == 0:
+            pair = [run, shorter] if doc_id % 2 else [shorter, run]
+            rows.append((doc_id, " ".join(pair * 5)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["word"]: r["n"] for r in spelling.word_counts(docs, thinned=7).collect()}
+    assert got == brute_words(rows, 6, 5, 7)
+
+
 def test_spelling_query(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
     df = QUERIES["op11_spelling"](spark, SF_DIR)

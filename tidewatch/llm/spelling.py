@@ -53,10 +53,11 @@ def word_counts(docs: DataFrame, least_chars: int = 6, least_n: int = 5, thinned
                 runs = Counter(RUNS.findall(text.as_py().encode().lower()))
                 if thinned and doc_id.is_valid:
                     start = zlib.crc32(b"%d:" % doc_id.as_py())
-                    for run in [r for r in runs if zlib.crc32(r, start) % thinned == 0]:
+                    # all are taken out first: what a run becomes may be another thinned run, and is not thinned again
+                    for run, n in [(r, runs.pop(r)) for r in list(runs) if zlib.crc32(r, start) % thinned == 0]:
                         word = run.decode()
                         at = zlib.crc32(run, start) % len(word)
-                        runs[(word[:at] + word[at + 1:]).encode()] += runs.pop(run)
+                        runs[(word[:at] + word[at + 1:]).encode()] += n
                 total.update(runs)
                 if len(total) > HELD_WORDS:
                     yield flush()
