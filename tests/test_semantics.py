@@ -478,3 +478,18 @@ def test_isolation_scores_by_sql(spark, tmp_path):
     assert len(found) == 401 and found == pytest.approx({i: v - offset for i, v in raw.items()})
     assert min(raw, key=raw.get) == 400
     assert sum(v < 0 for v in found.values()) == pytest.approx(40, abs=3)
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_missing_points_expand_the_grid_behind_the_join(spark):
+    """The grid is no side of a join; null, repeated and unknown systems keep their hours."""
+    df = metrics(spark, ("s", "cpu_usage", 30, 1), ("s", "cpu_usage", 31, 2), ("t", "cpu_usage", 0, 1), (None, "cpu_usage", 61, 1))
+    got = counters.missing_points(df, systems(spark, "s", "s", "t", None), as_of(), 3)
+    hours = [AT - dt.timedelta(hours=h) for h in (3, 2, 1)]
+    want = [("s", h) for h in hours[:2]] * 2 + [("t", h) for h in hours] + [(None, h) for h in hours]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    plan = optimized(got)
+    assert plan.index("Generate") < plan.index("Join")

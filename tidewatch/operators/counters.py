@@ -155,17 +155,20 @@ def data_quality(metrics: DataFrame, systems: DataFrame, as_of: Column, hours: i
 def missing_points(metrics: DataFrame, systems: DataFrame, as_of: Column, hours: int = 168) -> DataFrame:
     """Hours of the window in which a system sent nothing.
 
-    The expected grid is made per system by a sequence; the samples are reduced
-    to one row per system and hour before they are compared with it.
+    The samples are reduced to the hours of each system, at most ``hours`` of them, which meet the
+    system in one row.  The expected grid is made by a sequence behind the join, so it is never
+    shuffled, sorted or held.
     """
     start = as_of - F.expr(f"INTERVAL {hours} HOURS")
     present = (
         metrics.where((F.col("ts") >= start) & (F.col("ts") < as_of))
         .select("system_id", F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("hour")).distinct()
+        .groupBy("system_id").agg(F.collect_list("hour").alias("__present"))
     )
     grid = F.sequence(start, as_of - F.expr("INTERVAL 1 HOUR"), F.expr("INTERVAL 1 HOUR"))
-    expected = systems.select(F.col("id").alias("system_id"), F.explode(grid).alias("hour"))
-    return expected.join(present, ["system_id", "hour"], "left_anti")
+    missing = F.array_except(grid, F.coalesce("__present", F.array().cast("array<timestamp_ntz>")))
+    joined = systems.select(F.col("id").alias("system_id")).join(present, "system_id", "left")
+    return joined.select("system_id", F.explode(missing).alias("hour"))
 
 
 def data_quality_report(metrics: DataFrame, as_of: Column) -> DataFrame:
