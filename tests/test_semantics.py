@@ -493,3 +493,16 @@ def test_missing_points_expand_the_grid_behind_the_join(spark):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
     plan = optimized(got)
     assert plan.index("Generate") < plan.index("Join")
+
+
+def test_instant_grid_points_meet_in_no_aggregation(spark):
+    """Of samples of a step the newest answers, until the next answers or its lookback ends."""
+    df = metrics(spark, ("s", "a", 21, 1), ("s", "a", 20, 2), ("s", "a", 12, 3), ("s", "a", 0, None), (None, "a", 12, 5))
+    got = latest.instant_grid(df, 300, 900)
+    at = {m: AT - dt.timedelta(minutes=m) for m in (20, 15, 10, 5, 0, -5, -10)}
+    want = {("s", at[20], 2.0), ("s", at[15], 2.0), ("s", at[10], 3.0), ("s", at[5], 3.0)}
+    want |= {("s", at[0], None), ("s", at[-5], None), ("s", at[-10], None), (None, at[10], 5.0), (None, at[5], 5.0), (None, at[0], 5.0)}
+    assert {(r["system_id"], r["eval_time"], r["value"]) for r in got.collect()} == want
+    assert got.count() == len(want)
+    plan = optimized(got)
+    assert "Aggregate" not in plan[:plan.index("Generate")]

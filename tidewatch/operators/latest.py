@@ -39,22 +39,22 @@ def instant_grid(
     """The instant vector at every multiple of ``step_seconds`` since the epoch.
 
     Between two grid points only the newest sample of a series can answer, so the
-    samples are reduced to that first.  What is left is sent to the few points it
-    can answer and the newest wins, by aggregation: no range join is needed.
+    samples are reduced to that first, which leaves a series at most one row a step.  A row
+    answers from its own point until its lookback ends or the next row's point comes, so
+    the points are counted out of each row and meet in no join or aggregation.
     """
     step, look = step_seconds * 1_000_000, lookback_seconds * 1_000_000
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     first = F.ceil(micros / F.lit(step)).cast("long")
     newest = (
-        metrics.groupBy("system_id", "name", first.alias("first"))
+        metrics.where(F.col("ts").isNotNull()).groupBy("system_id", "name", first.alias("first"))
         .agg(F.max_by(F.struct("value", "ts"), F.struct("ts", "id")).alias("m"))
         .select("system_id", "name", "first", "m.value", F.unix_micros(F.col("m.ts").cast("timestamp")).alias("us"))
     )
+    following = F.lead("first").over(Window.partitionBy("system_id", "name").orderBy("first"))
     last = F.ceil((F.col("us") + F.lit(look)) / F.lit(step)).cast("long") - 1
-    points = F.when(last >= F.col("first"), F.sequence(F.col("first"), last))
-    spread = newest.select("system_id", "name", "value", "us", F.explode(points).alias("g"))
+    reach = newest.withColumn("last", F.least(last, following - 1))
+    points = F.when(F.col("last") >= F.col("first"), F.sequence("first", "last"))
+    spread = reach.select("system_id", "name", "value", F.explode(points).alias("g"))
     eval_time = F.timestamp_micros(F.col("g") * F.lit(step)).cast("timestamp_ntz")
-    return (
-        spread.groupBy("system_id", "name", "g").agg(F.max_by("value", "us").alias("value"))
-        .select("system_id", "name", eval_time.alias("eval_time"), "value")
-    )
+    return spread.select("system_id", "name", eval_time.alias("eval_time"), "value")
