@@ -506,3 +506,18 @@ def test_instant_grid_points_meet_in_no_aggregation(spark):
     assert got.count() == len(want)
     plan = optimized(got)
     assert "Aggregate" not in plan[:plan.index("Generate")]
+
+
+def test_anomaly_statistics_do_not_deal_the_samples_by_series(spark):
+    """A few series would be a few tasks; samples meet the statistics where they lie."""
+    df = metrics(spark, ("s", "a", 30, 1), ("s", "a", 20, 3), ("s", "a", 10, 5), ("t", "a", 10, 5))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a table of unknown, large size
+    try:
+        got = learning.anomaly_stat(df)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        counts = {r["id"]: r["n_before"] for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan
+    assert counts == {0: 0, 1: 1, 2: 2, 3: 0}

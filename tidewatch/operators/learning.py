@@ -17,10 +17,14 @@ from tidewatch.functions.scoring import (
 )
 from tidewatch.operators import ordered, quantiles
 from tidewatch.operators.aggregate import ensemble_probability
+from tidewatch.operators.chunks import measured
 
 # Stored percentages become the fractions the model uses.
 FRACTIONS = {"cpu_usage": 100.0, "memory_usage": 100.0, "disk_usage": 100.0, "error_rate": 100.0}
 
+#: Series up to which their statistics are broadcast to the samples.
+BROADCAST_SERIES = 1_000
+
 
 def features_wide(metrics: DataFrame, by: Sequence[str] = ("system_id",)) -> DataFrame:
     """Latest value of each feature per system as a column; 0 where missing.
@@ -145,6 +149,8 @@ def anomaly_stat(
         F.coalesce(F.avg(known), F.lit(0.0)).alias("__mean"), F.coalesce(F.var_pop(known), F.lit(0.0)).alias("__var")
     )
     x = known - F.col("__mean")
+    # the samples of a few series are not dealt by series, which would be a task each
+    _, stats = measured(stats, BROADCAST_SERIES)
     sums = ordered.trailing_sums(
         metrics.join(stats, keys), keys, "ts", window_hours * 3600, False,
         n_before=F.when(known.isNotNull(), 1).otherwise(0).cast("long"),

@@ -316,7 +316,9 @@ def trailing_sums(
     upto = Window.partitionBy(*keys, "__slice", _CHUNK).orderBy("__at").rangeBetween(
         Window.unboundedPreceding, 0 if include_now else -1
     )
-    out = cut.unionByName(carries, allowMissingColumns=True).select(
+    # dealt by chunk even where the rows come dealt by key, as from a join, which would do for the window
+    dealt = cut.unionByName(carries, allowMissingColumns=True).repartition(*keys, "__slice", _CHUNK)
+    out = dealt.select(
         *df.columns, "__own", *[F.sum(f"__v_{n}").over(upto).alias(n) for n in names]
     )
     return out.where("__own").drop("__own")
