@@ -521,3 +521,17 @@ def test_anomaly_statistics_do_not_deal_the_samples_by_series(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "SortMergeJoin" not in plan
     assert counts == {0: 0, 1: 1, 2: 2, 3: 0}
+
+
+def test_retraining_fits_the_scaler_once(spark, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler
+
+    fits, fit = [], StandardScaler._fit
+    monkeypatch.setattr(StandardScaler, "_fit", lambda self, df: fits.append(1) or fit(self, df))
+    fields = ", ".join(f"{c} double" for c in learning.FEATURES)
+    rows = [(f"r{i}", i % 2, *[float((i * 7 + k) % 5 + i % 2) for k in range(len(learning.FEATURES))]) for i in range(40)]
+    data = spark.createDataFrame(rows, f"row_id string, label int, {fields}")
+    got = learning.retrain_all(data, {"a": LogisticRegression(maxIter=2), "b": LogisticRegression(labelCol="none")}, "row_id").collect()
+    assert [(r["model_name"], r["status"]) for r in got] == [("a", "success"), ("b", "failed")]
+    assert len(fits) == 1
