@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidewatch.llm import (
-    bpe, components, decontaminate, pq, preference, repair, rollups, rules, simhash, toxicity, warc,
+    bpe, components, decontaminate, overlap, pq, preference, repair, rollups, rules, simhash, toxicity, tries, warc,
 )
 from tidewatch.llm.queries import QUERIES
 from tidewatch.llm.storage import shared_folder
@@ -472,6 +472,44 @@ def test_near_copies_against_brute_force(spark):
     assert len(got) == len(groups)
 
 
+def test_simhash_pieces_meet():
+    """Near copies are found by pieces of a long SimHash, in dense groups too, and nothing else is."""
+    rng = np.random.default_rng(3)
+    sets = []
+    for size in (1, 9, 40, 300):
+        for copies in (1, 6, 90):
+            base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+            for _ in range(copies):
+                base = base.copy()
+                if copies > 1 and size > 1:  # a chain: one text differs little from the one before
+                    base[rng.integers(0, size, max(1, size // 11))] = rng.integers(0, 1 << 63, dtype=np.uint64)
+                sets.append(np.unique(base))
+    prefix, pieces, limit = overlap.layout(len(sets), 0.8)
+    width = prefix + overlap.TRIE_BITS
+    bits = np.stack([overlap.long_simhash(s, -(-(overlap.CHECK_BITS + pieces * width) // 64)) for s in sets])
+    assert abs(bits[[len(s) > 1 for s in sets]].mean() - 0.5) < 0.02
+    signs = np.packbits(bits[:, :overlap.CHECK_BITS], axis=1, bitorder="little").view(np.uint64)
+    cut = bits[:, overlap.CHECK_BITS:overlap.CHECK_BITS + pieces * width].reshape(len(sets), pieces, width)
+    k = ((cut @ (1 << np.arange(width))) + (np.arange(pieces) << width)).ravel()
+    order = np.argsort(k, kind="stable")
+    row = order // pieces
+    a, b = overlap.piece_links(k[order], signs[row], limit)
+    far = np.bitwise_count(signs[row[a]] ^ signs[row[b]]).sum(1)
+    assert far.max() <= limit and len(a) < 4 * len(k)
+    # the links connect exactly what brute force over pieces and further bits connects
+    same = np.zeros((len(sets), len(sets)), bool)
+    for p in range(pieces):
+        top = (cut[:, None, p, overlap.TRIE_BITS:] == cut[None, :, p, overlap.TRIE_BITS:]).all(2)
+        same |= top & ((cut[:, None, p, :overlap.TRIE_BITS] != cut[None, :, p, :overlap.TRIE_BITS]).sum(2) <= overlap.BUDGET)
+    same &= np.bitwise_count(signs[:, None] ^ signs[None]).sum(2) <= limit
+    want = tries.roots(len(sets), *np.nonzero(same))
+    assert (tries.roots(len(sets), row[a], row[b]) == want).all()
+    for i, s in enumerate(sets):
+        for j in range(i):
+            shared = len(np.intersect1d(s, sets[j]))
+            assert shared < 0.8 * (len(s) + len(sets[j]) - shared) or want[i] == want[j]
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(40)] + [(100, 100), (7, 5)] + [(200 + rng.randrange(30), 200 + rng.randrange(30)) for _ in range(60)]

@@ -1,16 +1,17 @@
-"""Near copies by the Jaccard similarity of shingle sets: partial fingerprints, then exact confirmation.
-
-A SimHash says little at a similarity of 0.8: two such texts differ in 9.7 of 64 bits on average, and
-within that many bits a trie has nearly every pair of nodes.  Candidates therefore come from partial
-fingerprints: ``BANDS`` bands of ``ROWS`` MinHashes each.  A pair at the threshold shares no band with
-probability ``(1 - 0.8^5)^40 = 1.2e-7``.  Members of a band are joined where a byte of each MinHash
-agrees often enough (the margin is over five deviations), and every group found so is decided by its shingle
-sets.  Nothing lists all pairs of a group: a walk joins what is alike and never meets it again.
+"""Near copies by the Jaccard similarity of shingle sets: pieces of a long SimHash, then exact confirmation.
+
+Two texts of similarity 0.8 differ in 15 % of the bits of a SimHash, in 9.7 of 64 on average; within that many
+bits a trie has nearly every pair of nodes.  So the SimHash is made longer and cut into pieces: each piece is
+a trie of its own, of which only subtrees under one prefix are walked, within ``BUDGET`` bits.  There are as many
+pieces as leave a pair at the threshold in none with probability ``MISS``.  Pairs of rows so found are held
+against each other by ``CHECK_BITS`` further bits, and every group that results is decided by its shingle sets.
+Nothing lists all pairs of a group: rows that are joined are not compared again.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,14 +22,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewatch.llm.components import components
 from tidewatch.llm.decontaminate import _bounded
 from tidewatch.llm.storage import staged
+from tidewatch.llm.tries import descend, roots, spanning
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WHITE = r"[\x20\x09-\x0D]+"
-BANDS, ROWS = 40, 5
-#: Deviations by which the share of equal MinHashes may lie under the threshold.
-MARGIN = 5.3
+#: Bits of a piece under its prefix, and how many of them may differ.
+TRIE_BITS, BUDGET = 16, 2
+#: Texts under one prefix on average; a prefix has ``LEAST_PREFIX`` bits or more.
+PER_SUBTREE, LEAST_PREFIX = 4096, 6
+CHECK_BITS = 128
+#: Probability that a pair at the threshold meets in no piece; also that its further bits differ too often.
+MISS = 1e-7
 #: Shingles of a block of a group; two blocks meet in a task.
 BLOCK = 4_000_000
+#: Rows of pieces that are walked at once, and pairs that are compared at once.
+ROWS, PAIRS = 20_000, 1 << 18
 MIX = 0x9E3779B97F4A7C15
 
 
@@ -59,13 +67,36 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
     return (shingle_set(values[a:b], size) for a, b in zip(ends[:-1], ends[1:]))
 
 
-def min_hashes(sets: list[np.ndarray]) -> np.ndarray:
-    """[sets, BANDS * ROWS] smallest values of as many hash functions."""
-    rng = np.random.default_rng(11)
-    seeds = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-    flat = np.concatenate(sets)
-    starts = np.r_[0, np.cumsum([len(s) for s in sets])[:-1]]
-    return np.stack([np.minimum.reduceat((flat ^ s) * (s | np.uint64(1)), starts) for s in seeds], 1)
+def _at_most(most: int, bits: int, differing: float) -> float:
+    return sum(math.comb(bits, k) * differing ** k * (1 - differing) ** (bits - k) for k in range(most + 1))
+
+
+def layout(texts: int, similarity: float) -> tuple[int, int, int]:
+    """Bits of the prefixes, number of pieces, and how many of the further bits may differ.
+
+    Sets of the similarity differ in a bit most often where they are of one size.
+    """
+    differing = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    prefix = max(LEAST_PREFIX, math.ceil(math.log2(max(1, texts) / PER_SUBTREE)))
+    caught = (1 - differing) ** prefix * _at_most(BUDGET, TRIE_BITS, differing)
+    pieces = math.ceil(math.log(MISS) / math.log1p(-min(caught, 0.9)))
+    limit = next(most for most in range(CHECK_BITS + 1) if 1 - _at_most(most, CHECK_BITS, differing) <= MISS)
+    return prefix, pieces, limit
+
+
+def long_simhash(shingles: np.ndarray, words: int) -> np.ndarray:
+    """``64 * words`` bits (as 0 and 1): what most of the sorted shingles have, at ties what the first one has."""
+    seeds = np.random.default_rng(11).integers(0, 1 << 63, words, dtype=np.uint64)
+    counts, first = np.zeros(64 * words, np.int64), None
+    for at in range(0, len(shingles), 255):
+        mixed = (shingles[at:at + 255, None] ^ seeds) * np.uint64(MIX)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(29)
+        bits = np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.uint8)  # 255 rows at most
+        first = bits[0] if first is None else first
+    return (2 * counts + first > len(shingles)).astype(np.uint8)
 
 
 def joined(n: int, alike: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list[int], list[int]]:
@@ -85,63 +116,126 @@ def joined(n: int, alike: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list
     return a, b
 
 
-def similar_links(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
-    """``a, b``: links that connect all texts (``class_of``) whose shingle sets have the Jaccard similarity or more."""
+def _products(al: np.ndarray, ah: np.ndarray, bl: np.ndarray, bh: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of the ranges ``al:ah`` and ``bl:bh``, a bounded number at a time."""
+    step = np.maximum(1, PAIRS // np.maximum(1, bh - bl))
+    slices = -(-(ah - al) // step)
+    which = np.repeat(np.arange(len(al)), slices)
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(slices) - slices, slices)
+    low = al[which] + nth * step[which]
+    height, bl, width = np.minimum(step[which], ah[which] - low), bl[which], (bh - bl)[which]
+    ends = np.cumsum(height * width)
+    for at in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+        some = slice(*np.searchsorted(ends - height * width, [at, at + PAIRS]))
+        size = (height * width)[some]
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        wide = np.repeat(width[some], size)
+        yield np.repeat(low[some], size) + place // wide, np.repeat(bl[some], size) + place % wide
+
+
+def piece_links(k: np.ndarray, signs: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of rows that connect all rows whose pieces are near and whose ``signs`` differ in ``limit`` bits at most.
+
+    ``k`` is sorted: the number of the piece, its prefix, and its bits under the prefix.  Rows of one ``k`` make a leaf.
+    """
+    def near(i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(signs[i] ^ signs[j]).sum(1) <= limit
+
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    last = np.r_[first[1:], len(k)]
+    leaves, size = k[first], last - first
+    tree = leaves >> TRIE_BITS
+    low = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]])
+    high = np.r_[low[1:], len(leaves)]
+    x, y = descend(leaves.view(np.uint64), low, high, low, high, np.zeros(len(low), np.int64), range(TRIE_BITS - 1, -1, -1), BUDGET)
+    a, b = [], []
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        hit = near(i, j)
+        a.append(i[hit])
+        b.append(j[hit])
+
+    # rows of one leaf, then the first rows of two
+    few = (size > 1) & (size <= 64)
+    for i, j in _products(first[few], last[few], first[few], last[few]):
+        add(i[i < j], j[i < j])
+    for lo, hi in zip(first[size > 64], last[size > 64]):
+        i, j = joined(hi - lo, lambda i, others: near(lo + i, lo + others))
+        a.append(lo + np.array(i, np.int64))
+        b.append(lo + np.array(j, np.int64))
+    add(first[x], first[y])
+    # rows of a leaf that are joined by now go as one: against such rows of the other leaf that are not of the same
+    label = roots(len(k), np.concatenate(a), np.concatenate(b))
+    leaf = np.repeat(np.arange(len(first)), size)
+    order = np.lexsort((label, leaf))
+    begin = np.flatnonzero(np.r_[True, (leaf[order][1:] != leaf[order][:-1]) | (label[order][1:] != label[order][:-1])])
+    end = np.r_[begin[1:], len(k)]
+    unit_low, unit_high = np.searchsorted(begin, first), np.searchsorted(begin, last)
+    for i, j in _products(unit_low[x], unit_high[x], unit_low[y], unit_high[y]):
+        apart = label[order[begin[i]]] != label[order[begin[j]]]
+        i, j = i[apart], j[apart]
+        for p, q in _products(begin[i], end[i], begin[j], end[j]):
+            add(order[p], order[q])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def candidate_links(docs: DataFrame, similarity: float, size: int) -> DataFrame:
+    """``a, b``: links that connect all texts (``class_of``) whose SimHashes are near in a piece and in the further bits."""
+    prefix, pieces, limit = layout(docs.count(), similarity)
+    width = prefix + TRIE_BITS
+    words = -(-(CHECK_BITS + pieces * width) // 64)
+
     def sketch(batches):
         for batch in batches:
             classes, sets = batch.column("c").to_numpy(), _sets(batch, size)
             at = 0
             while some := list(itertools.islice(sets, 64)):
-                low = min_hashes(some)
-                keys = np.zeros((len(some), BANDS), np.uint64)
-                for row in range(ROWS):
-                    keys = (keys ^ low[:, row::ROWS]) * np.uint64(MIX)
-                    keys ^= keys >> np.uint64(29)
-                keys += np.arange(BANDS, dtype=np.uint64) * np.uint64(MIX)
-                signs = (low * np.uint64(MIX) >> np.uint64(56)).astype(np.uint8)
+                bits = np.stack([long_simhash(s, words) for s in some])
+                signs = np.packbits(bits[:, :CHECK_BITS], axis=1, bitorder="little").view(np.int64)
+                cut = bits[:, CHECK_BITS:CHECK_BITS + pieces * width].reshape(len(some), pieces, width)
+                k = (cut @ (1 << np.arange(width))) + (np.arange(pieces) << width)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(classes[at:at + len(some)]), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
-                    pa.array([s.tobytes() for s in signs], pa.binary()),
-                ], ["c", "keys", "sign"])
+                    pa.array(classes[at:at + len(some)]), pa.array(signs[:, 0]), pa.array(signs[:, 1]),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * pieces), pa.array(k.ravel())),
+                ], ["c", "lo", "hi", "pieces"])
                 at += len(some)
 
     worded = docs.select(class_of(F.col("text")).alias("c"), _word_hashes(F.col("text")).alias("words"))
-    sketches = worded.mapInArrow(sketch, "c long, keys array<long>, sign binary")
-    sketches = staged(sketches.groupBy("c").agg(F.any_value("keys").alias("keys"), F.any_value("sign").alias("sign")), "sketches")
-    banded = sketches.select("c", F.explode("keys").alias("key"))
-    met = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    members = banded.join(met, "key").join(sketches.select("c", "sign"), "c")
-    n = BANDS * ROWS
-    least = similarity - MARGIN * np.sqrt(similarity * (1 - similarity) / n)
-
-    def meet(frames):
+    sketches = worded.mapInArrow(sketch, "c long, lo long, hi long, pieces array<long>")
+    sketches = staged(sketches.groupBy("c").agg(*[F.any_value(x).alias(x) for x in ("lo", "hi", "pieces")]), "sketches")
+    dealt = sketches.select("c", "lo", "hi", F.explode("pieces").alias("k"))
+    dealt = dealt.repartition(F.shiftright("k", TRIE_BITS)).sortWithinPartitions("k")
+
+    def walk(frames):
         def links(frame):
-            keys, c = frame["key"].to_numpy(), frame["c"].to_numpy()
-            signs = np.frombuffer(b"".join(frame["sign"]), np.uint8).reshape(-1, n)
-            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            found = set()
-            for lo, hi in zip(first, np.r_[first[1:], len(keys)]):
-                s, own = signs[lo:hi], c[lo:hi]
-                a, b = joined(hi - lo, lambda i, others: (s[others] == s[i]).mean(1) >= least)
-                found.update(zip(own[a].tolist(), own[b].tolist()))
-            return pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
-
-        parts, rows = [], 0
-        for frame in frames:  # sorted by key: a batch is walked once its last key is complete
+            signs = frame[["lo", "hi"]].to_numpy().view(np.uint64)
+            a, b = piece_links(frame["k"].to_numpy(), signs, limit)
+            c = frame["c"].to_numpy()
+            a, b = spanning(c[a], c[b])
+            return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+
+        parts, rows, goal = [], 0, ROWS
+        for frame in frames:  # sorted: subtrees are walked once the last of them is complete
             parts.append(frame)
             rows += len(frame)
-            if rows >= 50_000:
+            if rows >= goal:
                 whole = pd.concat(parts)
-                done = (whole["key"] != whole["key"].iloc[-1]).to_numpy()
-                if done.any():
-                    yield links(whole[done])
-                parts = [whole[~done]]
+                tree = whole["k"].to_numpy() >> TRIE_BITS
+                done = int(np.searchsorted(tree, tree[-1]))
+                if done:
+                    yield links(whole[:done])
+                parts = [whole[done:]]
                 rows = len(parts[0])
+                goal = max(ROWS, 2 * rows)
         if rows:
             yield links(pd.concat(parts))
 
-    near = members.repartition("key").sortWithinPartitions("key").mapInPandas(meet, "a long, b long")
-    groups = staged(components(near), "groups")
+    return dealt.mapInPandas(walk, "a long, b long")
+
+
+def similar_links(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
+    """``a, b``: links that connect all texts (``class_of``) whose shingle sets have the Jaccard similarity or more."""
+    groups = staged(components(candidate_links(docs, similarity, size)), "groups")
 
     def to_sets(batches):
         for batch in batches:

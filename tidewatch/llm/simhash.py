@@ -21,6 +21,7 @@ from tidewatch.llm.components import components
 from tidewatch.llm.decontaminate import _bounded
 from tidewatch.llm.overlap import class_of, similar_links
 from tidewatch.llm.storage import free_name, staged
+from tidewatch.llm.tries import spanning, trie_links
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WHITE = r"[\x20\x09-\x0D]+"
@@ -72,75 +73,6 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return hashed.mapInArrow(majority, f"doc_id {kind}, fp long")
 
 
-def trie_links(keys: np.ndarray, side: np.ndarray, fps: np.ndarray, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of the pairs of fingerprints within ``budget`` bits, over many trie pairs at once.
-
-    ``keys`` names the trie pair of each fingerprint and ``side`` its trie (0 or 1; where a trie
-    is paired with itself all are on side 0).  A node is a range of the sorted fingerprints.  Node
-    pairs go down one bit at a time: equal bits keep the error count, different bits add one, and
-    pairs over the budget or with an empty node are dropped.
-    """
-    order = np.lexsort((fps, side, keys))
-    keys, side, fps = keys[order], side[order], fps[order]
-    n = len(fps)
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    last = np.r_[first[1:], n]
-    ones = np.r_[0, np.cumsum(side)]
-    middle = last - (ones[last] - ones[first])
-    paired = (keys[first] >> depth) != (keys[first] & ((1 << depth) - 1))
-    # both sides of a pair of tries, or one trie with itself
-    al, ah = first, middle
-    bl, bh = np.where(paired, middle, first), last
-    top = fps[np.minimum(al, n - 1)] ^ fps[np.minimum(bl, n - 1)]
-    errors = np.bitwise_count((top >> np.uint64(64 - depth)) if depth else np.zeros(len(top), np.uint64)).astype(np.int64)
-    live = (ah > al) & (bh > bl) & (errors <= budget)
-    al, ah, bl, bh, errors = (x[live] for x in (al, ah, bl, bh, errors))
-    for bit in range(63 - depth, -1, -1):
-        set_before = np.r_[0, np.cumsum((fps >> np.uint64(bit)) & np.uint64(1)).astype(np.int64)]
-        am = ah - (set_before[ah] - set_before[al])
-        bm = bh - (set_before[bh] - set_before[bl])
-        own = (al == bl) & (ah == bh)
-        spent = errors + 1
-        parts = [
-            (al, am, bl, bm, errors, None), (am, ah, bm, bh, errors, None),
-            (al, am, bm, bh, spent, None), (am, ah, bl, bm, spent, ~own),  # a node with itself crosses once
-        ]
-        grown = []
-        for pl, ph, ql, qh, err, also in parts:
-            keep = (ph > pl) & (qh > ql) & (err <= budget)
-            # a single fingerprint is not paired with itself
-            keep &= ~((pl == ql) & (ph - pl == 1) & (qh - ql == 1))
-            if also is not None:
-                keep &= also
-            grown.append([x[keep] for x in (pl, ph, ql, qh, err)])
-        al, ah, bl, bh, errors = (np.concatenate(x) for x in zip(*grown))
-        if not len(al):
-            break
-    return order[al], order[bl]
-
-
-def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star for every component of the links, so that a dense group leaves few rows."""
-    nodes, flat = np.unique(np.r_[a, b], return_inverse=True)
-    u, v = flat[:len(a)], flat[len(a):]
-    root = np.arange(len(nodes))
-    while True:
-        low = root.copy()
-        np.minimum.at(low, root[u], root[v])
-        np.minimum.at(low, root[v], root[u])
-        low = low[root]
-        while True:
-            jumped = low[low]
-            if (jumped == low).all():
-                break
-            low = jumped
-        if (low == root).all():
-            break
-        root = low
-    leaf = root != np.arange(len(nodes))
-    return nodes[root[leaf]], nodes[leaf]
-
-
 def fingerprint_links(distinct: DataFrame, budget: int = 2) -> DataFrame:
     """``a, b``: links (longs) that connect all fingerprints ``fp`` within ``budget`` bits of each other."""
     n = distinct.count()
@@ -206,7 +138,7 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> Data
     """One document of each group of near copies, that of the smallest doc_id; repeated rows stay once.
 
     Texts whose sets of ``size``-word shingles have a Jaccard similarity of ``similarity`` or more are
-    linked.  Rows are told apart by doc_id and text: of different texts under one doc_id each has its
+    linked; SimHash pieces and the trie join find them (``overlap``).  Rows are told apart by doc_id and text: of different texts under one doc_id each has its
     own group.  Rows without doc_id come after all others, so one stays only where its group has no other.
     Other columns stay as they are, whatever their names.
     """
