@@ -98,7 +98,9 @@ def compress(ids: np.ndarray, vocabulary: int, least: int = 8) -> tuple[np.ndarr
         # a cheap count by hash first: few pairs are frequent enough to be sorted
         bucket = ((pairs * 0x9E3779B1) >> 12) & 0xFFFFF
         rough = np.bincount(bucket, minlength=1 << 20)[bucket]
-        often = pairs[rough >= least]
+        # and of these only those that may reach the floor, as the most frequent of the fullest bucket shows it
+        fullest = pairs[bucket == bucket[np.argmax(rough)]]
+        often = pairs[rough >= max(least, int(np.unique(fullest, return_counts=True)[1].max()) >> 2)]
         kinds, counts = np.unique(often, return_counts=True)
         if not len(counts) or counts.max() < least:
             break
