@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -175,6 +176,29 @@ def test_grammar_round_trip(seed):
         assert (shard.ids(a, b) == ids[a:b]).all()
 
 
+def test_words_are_put_together_from_pieces():
+    """Only words not met before are split, only pieces not met before are encoded; the ids are the library's."""
+    parts = ["a", " word", "word", "  ", " ", "\n", "\t", "'s", "'S", "'", "don't", " it's,", "12", " 3x", "é", " Œuvre", "…", "!?", " —", "<|endoftext|>", "漢"]
+    rng = np.random.default_rng(3)
+    texts = ["", " ", *parts, *("".join(parts[i] for i in rng.integers(0, len(parts), n)) for n in rng.integers(1, 40, 300))]
+    tokenizer, encoder, encoded = Tokenizer.from_file(BYTE), repair.Encoder(BYTE), []
+    whole = encoder.model
+
+    class Counted:
+        def tokenize(self, piece):
+            encoded.append(piece)
+            return whole.tokenize(piece)
+
+    encoder.model = Counted()
+    for _ in range(2):
+        for at in range(0, len(texts), 50):
+            ids, sizes = encoder.encode(pa.array(texts[at:at + 50]))
+            want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts[at:at + 50]]
+            assert sizes.tolist() == list(map(len, want))
+            assert ids.tolist() == [i for w in want for i in w]
+    assert len(encoded) == len(set(encoded)) < 200
+
+
 @pytest.mark.parametrize("least", [2, 3, 8])
 def test_no_frequent_pair_is_left(least):
     """Rounds go on until no pair occurs ``least`` times side by side; colliding hashes count as well."""

@@ -8,6 +8,7 @@ A shard is one row of a Parquet table, so a shard file is complete or absent.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -18,67 +19,129 @@ from itertools import chain, count, islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-#: Texts without these characters are split here and their pieces remembered; the library takes others whole.
+from tidewatch.llm.bpe import byte_alphabet
+
+#: Texts without these characters are split here and their words remembered; the library takes others whole.
 UNUSUAL = re.compile(r"[^\t\n\r !-~¡-ſ–—‘-„…€]")
 #: The letters and numbers among the usual characters.
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
 #: Fixed value: how the vocabulary file's pre-tokenizer splits a text, for usual characters.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
+#: Words that are one piece.
+PLAIN = rf"^ ?[{LETTERS}]+$"
+#: A piece has a blank inside or at its end only where white space precedes or follows it.
+SPACED = re.compile(r"[\t\n\r ] ")
 REMEMBERED = 400_000
+#: Bytes of texts that are encoded at once, unless one text has more.
+AT_ONCE = 4_000_000
 #: Ids after which a task begins a new shard.
 SHARD_IDS = 1 << 20
+#: Ids that a rule may stand for to be expanded once and for all when a shard is read.
+FEW = 64
+
+
+class Known:
+    """Strings numbered as they are first met, and the ids of each."""
+
+    def __init__(self):
+        self.number: dict[str, int] = defaultdict(count().__next__)
+        self.ids, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.begin = self.lengths
+
+    def new(self) -> list[str]:
+        """Those without ids, in order."""
+        return list(islice(reversed(self.number), len(self.number) - len(self.lengths)))[::-1]
+
+    def learn(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.ids, self.lengths = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, lengths])
+        self.begin = np.cumsum(self.lengths) - self.lengths
+
+    def numbers(self, strings: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, strings), np.int64, len(strings))
+
+    def ids_of(self, numbers: np.ndarray) -> np.ndarray:
+        size = self.lengths[numbers]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.begin[numbers] - (ends - size), size) + np.arange(total)]
 
 
 class Encoder:
-    """The library's ids of whole texts; usual texts are put together from remembered pieces."""
+    """The library's ids of whole texts; usual texts are put together from remembered words.
+
+    A text is cut before the blanks, which begin pieces unless white space precedes them.  Only words
+    not met before are split into pieces, and the library's model encodes only pieces not met before.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = re.compile(PIECES)
-        self.usual = '"use_regex":true' in self.tokenizer.to_str() and self.tokenizer.normalizer is None
+        described = json.loads(self.tokenizer.to_str())
+        splits = described.get("pre_tokenizer") or {}
+        self.usual = (
+            splits.get("type") == "ByteLevel" and splits.get("use_regex", True) and not splits.get("add_prefix_space")
+            and described["model"].get("type") == "BPE" and not described["model"].get("dropout") and described.get("normalizer") is None
+        )
+        self.model = self.tokenizer.model
+        #: The model takes bytes as the pre-tokenizer spells them.
+        self.spelling = {b: c for b, c in enumerate(byte_alphabet()) if b}
         self._forget()
 
     def _forget(self) -> None:
-        #: Pieces are numbered as they are first met; ``ids`` holds theirs in that order.
-        self.known: dict[str, int] = defaultdict(count().__next__)
-        self.ids, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        self.begin = self.lengths
-
-    def _learn(self, pieces: list[str]) -> None:
-        ids, lengths = [self.ids], [self.lengths]
-        for at in range(0, len(pieces), 20_000):
-            coded = [c.ids for c in self.tokenizer.encode_batch_fast(pieces[at:at + 20_000], add_special_tokens=False)]
-            lengths.append(np.fromiter(map(len, coded), np.int64, len(coded)))
-            ids.append(np.fromiter(chain.from_iterable(coded), np.int32, int(lengths[-1].sum())))
-        self.ids, self.lengths = np.concatenate(ids), np.concatenate(lengths)
-        self.begin = np.cumsum(self.lengths) - self.lengths
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
+        self.words, self.known = Known(), Known()
+
+    def _learn(self) -> None:
+        new = self.words.new()
+        plain = pc.match_substring_regex(pa.array(new, pa.string()), PLAIN).to_numpy(zero_copy_only=False)
+        split = [self.pieces.findall(new[at]) for at in np.flatnonzero(~plain).tolist()]
+        pieces = np.ones(len(new), np.int64)
+        pieces[~plain] = np.fromiter(map(len, split), np.int64, len(split))
+        numbers = np.empty(pieces.sum(), np.int64)
+        own = np.repeat(plain, pieces)
+        numbers[own] = self.known.numbers([new[at] for at in np.flatnonzero(plain).tolist()])
+        numbers[~own] = self.known.numbers(list(chain.from_iterable(split)))
+        spelled = "\0".join(self.known.new()).encode().decode("latin-1").translate(self.spelling)
+        coded = [[token.id for token in self.model.tokenize(piece)] for piece in spelled.split("\0")] if spelled else []
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        self.known.learn(np.fromiter(chain.from_iterable(coded), np.int32, int(lengths.sum())), lengths)
+        # a word's ids are those of its pieces
+        until = np.r_[0, np.cumsum(self.known.lengths[numbers])]
+        ends = np.cumsum(pieces)
+        self.words.learn(self.known.ids_of(numbers), until[ends] - until[ends - pieces])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, one after another, and how many each has."""
+        if len(self.words.number) > REMEMBERED:
             self._forget()
-        before, codes = len(self.known), []
-        for text in texts:
-            if not self.usual or UNUSUAL.search(text) or any(s in text for s in self.special):
-                codes.append(None)
-                continue
-            pieces = self.pieces.findall(text)
-            codes.append(np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces)))
-        if len(self.known) > before:
-            self._learn(list(islice(reversed(self.known), len(self.known) - before))[::-1])
-        out = []
-        for text, code in zip(texts, codes):
-            if code is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32))
-                continue
-            size = self.lengths[code]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.ids[np.repeat(self.begin[code] - (ends - size), size) + np.arange(total)])
-        return out
+        usual = np.full(len(texts), self.usual)
+        for found in (pc.match_substring_regex(texts, UNUSUAL.pattern), *(pc.match_substring(texts, s) for s in self.special)):
+            usual &= ~found.to_numpy(zero_copy_only=False)
+        spaced = usual & pc.match_substring_regex(texts, SPACED.pattern).to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero(usual & ~spaced)
+        words = pc.split_pattern(pc.replace_substring(texts.take(pa.array(cut)), " ", "\0 "), "\0")
+        distinct = words.flatten().dictionary_encode()
+        numbers = self.words.numbers(distinct.dictionary.to_numpy(zero_copy_only=False).tolist())
+        pieces = {at: self.words.numbers(self.pieces.findall(texts[at].as_py())) for at in np.flatnonzero(spaced).tolist()}
+        if len(self.words.number) > len(self.words.lengths):
+            self._learn()
+        numbers = numbers[distinct.indices.to_numpy()]
+        until = np.r_[0, np.cumsum(self.words.lengths[numbers])]
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[cut] = np.diff(until[words.offsets.to_numpy() - words.offsets[0].as_py()])
+        ids = self.words.ids_of(numbers)
+        if len(cut) == len(texts):
+            return ids, sizes
+        coded = dict(zip(cut.tolist(), np.split(ids, np.cumsum(sizes[cut])[:-1])))
+        coded |= {at: self.words.ids_of(code) for at, code in pieces.items()}
+        for at in np.flatnonzero(~usual).tolist():
+            coded[at] = np.array(self.tokenizer.encode(texts[at].as_py(), add_special_tokens=False).ids, np.int32)
+        coded = [coded[at] for at in range(len(texts))]
+        return np.concatenate(coded), np.fromiter(map(len, coded), np.int64, len(coded))
 
 
 def compress(ids: np.ndarray, vocabulary: int, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,25 +155,38 @@ def compress(ids: np.ndarray, vocabulary: int, least: int = 8) -> tuple[np.ndarr
     rules: list[np.ndarray] = []
     lengths = [np.ones(0, np.int64)]
     made = 0
-    while len(seq) > 1:
+    # where pairs begin that may occur ``least`` times: a pair of earlier symbols never becomes more frequent
+    live = np.arange(len(seq) - 1)
+    while len(live):
         width = vocabulary + made
-        pairs = seq[:-1] * width + seq[1:]
+        pairs = seq.take(live)
+        pairs *= width
+        pairs += seq.take(live + 1)
         # a cheap count by hash first: few pairs are frequent enough to be sorted
-        bucket = ((pairs * 0x9E3779B1) >> 12) & 0xFFFFF
-        rough = np.bincount(bucket, minlength=1 << 20)[bucket]
+        table = 1 << min(20, max(12, len(live).bit_length()))
+        bucket = pairs * 0x9E3779B1
+        bucket >>= 12
+        bucket &= table - 1
+        rough = np.bincount(bucket, minlength=table)
+        fullest = pairs[bucket == rough.argmax()]
+        rough = rough.take(bucket)
+        fits = np.flatnonzero(rough >= least)
+        if not len(fits):
+            break
+        live, pairs, rough = live.take(fits), pairs.take(fits), rough.take(fits)
         # and of these only those that may reach the floor, as the most frequent of the fullest bucket shows it
-        fullest = pairs[bucket == bucket[np.argmax(rough)]]
         often = pairs[rough >= max(least, int(np.unique(fullest, return_counts=True)[1].max()) >> 2)]
         kinds, counts = np.unique(often, return_counts=True)
-        if not len(counts) or counts.max() < least:
+        if counts.max() < least:
             break
         floor = max(least, int(counts.max()) >> 2)
         chosen = kinds[counts >= floor]
         rank = np.argsort(np.argsort(-counts[counts >= floor], kind="stable"), kind="stable")
-        at = np.flatnonzero(rough >= floor)
-        place = np.searchsorted(chosen, pairs[at])
+        fits = np.flatnonzero(rough >= floor)
+        at, pairs = live.take(fits), pairs.take(fits)
+        place = np.searchsorted(chosen, pairs)
         place[place == len(chosen)] = 0
-        fits = chosen[place] == pairs[at]
+        fits = chosen[place] == pairs
         at, place = at[fits], place[fits]
         keep = _apart(at, rank[place])
         at, place = at[keep], place[keep]
@@ -121,9 +197,12 @@ def compress(ids: np.ndarray, vocabulary: int, least: int = 8) -> tuple[np.ndarr
         size = np.where(pair_of < vocabulary, 1, so_far[np.maximum(pair_of - vocabulary, 0)] if len(so_far) else 1).sum(axis=1)
         lengths.append(size)
         seq[at] = vocabulary + made + symbol
-        gone = np.ones(len(seq), bool)
-        gone[at + 1] = False
-        seq = seq[gone]
+        stays, open_ = np.ones(len(seq), bool), np.zeros(len(seq), bool)
+        stays[at + 1] = False
+        open_[live] = True
+        open_[at] = True
+        open_[np.maximum(at - 1, 0)] = True
+        seq, live = seq[stays], np.flatnonzero(open_[stays][:-1])
         made += len(used)
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)), np.concatenate(lengths), seq
 
@@ -135,9 +214,10 @@ def _apart(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
     by place) is taken and its neighbours fall; this repeats until all are decided.
     """
     n = len(at)
-    taken, open_ = np.zeros(n, bool), np.ones(n, bool)
     left = np.r_[False, np.diff(at) == 1] if n else np.zeros(0, bool)
     right = np.r_[left[1:], False] if n else left
+    open_ = left | right
+    taken = ~open_
     for _ in range(64):
         live = np.flatnonzero(open_)
         if not len(live):
@@ -169,16 +249,21 @@ class Shard:
         self.lengths = unpack(lengths)
         self.sequence = unpack(sequence)
         self.ends = np.cumsum(self.sizes(self.sequence))
+        #: The ids of the symbols that stand for few, and where they begin.
+        few = vocabulary + np.flatnonzero(self.lengths <= FEW)
+        self.table = np.r_[np.arange(vocabulary), self._down(few, 1)]
+        self.begin = np.r_[np.arange(vocabulary), np.zeros(len(self.lengths), np.int64)]
+        self.begin[few] = vocabulary + np.cumsum(self.sizes(few)) - self.sizes(few)
 
     def sizes(self, symbols: np.ndarray) -> np.ndarray:
         if not len(self.lengths):
             return np.ones(len(symbols), np.int64)
         return np.where(symbols < self.vocabulary, 1, self.lengths[np.maximum(symbols - self.vocabulary, 0)])
 
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """All ids of the symbols, a level of the grammar at a time."""
+    def _down(self, symbols: np.ndarray, most: int) -> np.ndarray:
+        """The symbols a level of the grammar at a time, until each stands for ``most`` ids or fewer."""
         while True:
-            deep = symbols >= self.vocabulary
+            deep = self.sizes(symbols) > most
             if not deep.any():
                 return symbols
             width = np.where(deep, 2, 1)
@@ -189,6 +274,14 @@ class Shard:
             out[ends[deep] - 2], out[ends[deep] - 1] = pair[:, 0], pair[:, 1]
             symbols = out
 
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """All ids of the symbols."""
+        symbols = self._down(symbols, FEW)
+        size = self.sizes(symbols)
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.table[np.repeat(self.begin[symbols] - (ends - size), size) + np.arange(total)]
+
     def ids(self, start: int, stop: int) -> np.ndarray:
         """The ids from ``start`` to ``stop`` of the shard; only the symbols that cover them are expanded."""
         if stop <= start:
@@ -249,19 +342,23 @@ def write_shards(
             }, fields)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                rows = batch.slice(at, 64)
-                part = rows.column("part")[0].as_py()
-                texts = [t or "" for t in rows.column("text").to_pylist()]
-                for doc_id, found in zip(rows.column("doc_id").to_pylist(), encoder.encode(texts)):
-                    coded = np.r_[found, tail].astype(np.int32)
-                    ids.append(coded)
+            texts = batch.column("text").fill_null("")
+            long = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(long, (long[at - 1] if at else 0) + AT_ONCE, "right")))
+                part = batch.column("part")[at].as_py()
+                found, lengths = encoder.encode(texts.slice(at, stop - at))
+                ends = np.cumsum(lengths)
+                for doc_id, begin, end in zip(batch.column("doc_id").slice(at, stop - at).to_pylist(), ends - lengths, ends):
+                    ids += [found[begin:end], tail]
                     doc_ids.append(doc_id)
-                    sizes.append(len(coded))
-                    held += len(coded)
+                    sizes.append(end - begin + len(tail))
+                    held += sizes[-1]
                     if held >= shard_ids:
                         yield shard()
                         ids, doc_ids, sizes, held, number = [], [], [], 0, number + 1
+                at = stop
         if doc_ids:
             yield shard()
 
@@ -293,9 +390,8 @@ def read_documents(spark, path: str) -> DataFrame:
                 doc_ids = np.frombuffer(zlib.decompress(row.docs), "<i8")
                 sizes = np.frombuffer(zlib.decompress(row.sizes), "<i8")
                 ends = np.cumsum(sizes)
-                crcs = [
-                    zlib.crc32(shard.ids(int(end - size), int(end)).astype("<u4").tobytes()) for end, size in zip(ends, sizes)
-                ]
+                ids = memoryview(shard.ids(0, int(ends[-1])).astype("<u4"))
+                crcs = [zlib.crc32(ids[int(end - size):int(end)]) for end, size in zip(ends, sizes)]
                 yield pd.DataFrame({
                     "part": row.part, "number": row.number, "doc_id": doc_ids, "start": ends - sizes, "n_tokens": sizes,
                     "ids_crc32": np.array(crcs, np.int64),
