@@ -14,7 +14,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count, islice
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import Split
 
 from tidewatch.llm.bpe import byte_alphabet
 
@@ -30,7 +31,9 @@ UNUSUAL = re.compile(r"[^\t\n\r !-~¡-ſ–—‘-„…€]")
 #: The letters and numbers among the usual characters.
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
 #: Fixed value: how the vocabulary file's pre-tokenizer splits a text, for usual characters.
-PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
+PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s\0{LETTERS}{NUMBERS}]+|\s+(?![^\s\0])|\s+|\0"
+#: Between strings that are handled together; no usual text has it.
+BETWEEN = "\0"
 #: Words that are one piece.
 PLAIN = rf"^ ?[{LETTERS}]+$"
 #: A piece has a blank inside or at its end only where white space precedes or follows it.
@@ -87,28 +90,36 @@ class Encoder:
             splits.get("type") == "ByteLevel" and splits.get("use_regex", True) and not splits.get("add_prefix_space")
             and described["model"].get("type") == "BPE" and not described["model"].get("dropout") and described.get("normalizer") is None
         )
-        self.model = self.tokenizer.model
-        #: The model takes bytes as the pre-tokenizer spells them.
-        self.spelling = {b: c for b, c in enumerate(byte_alphabet()) if b}
+        #: The model takes bytes as the pre-tokenizer spells them; those of usual texts that are spelled otherwise.
+        self.spelling = {chr(b): c for b, c in enumerate(byte_alphabet()) if c != chr(b)}
+        between = self.spelling[BETWEEN]
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = Split(between, "isolated")
+        self.between = self.tokenizer.token_to_id(between)
+        self.usual = self.usual and self.between is not None
         self._forget()
 
     def _forget(self) -> None:
         self.words, self.known = Known(), Known()
+        self.known.numbers([BETWEEN])
+        self.known.learn(np.zeros(0, np.int32), np.zeros(1, np.int64))
 
     def _learn(self) -> None:
         new = self.words.new()
         plain = pc.match_substring_regex(pa.array(new, pa.string()), PLAIN).to_numpy(zero_copy_only=False)
-        split = [self.pieces.findall(new[at]) for at in np.flatnonzero(~plain).tolist()]
+        split = self.known.numbers(self.pieces.findall("".join(new[at] + BETWEEN for at in np.flatnonzero(~plain).tolist())))
         pieces = np.ones(len(new), np.int64)
-        pieces[~plain] = np.fromiter(map(len, split), np.int64, len(split))
+        pieces[~plain] = np.diff(np.flatnonzero(split == 0), prepend=-1)
         numbers = np.empty(pieces.sum(), np.int64)
         own = np.repeat(plain, pieces)
         numbers[own] = self.known.numbers([new[at] for at in np.flatnonzero(plain).tolist()])
-        numbers[~own] = self.known.numbers(list(chain.from_iterable(split)))
-        spelled = "\0".join(self.known.new()).encode().decode("latin-1").translate(self.spelling)
-        coded = [[token.id for token in self.model.tokenize(piece)] for piece in spelled.split("\0")] if spelled else []
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-        self.known.learn(np.fromiter(chain.from_iterable(coded), np.int32, int(lengths.sum())), lengths)
+        numbers[~own] = split
+        spelled = "".join(piece + BETWEEN for piece in self.known.new()).encode().decode("latin-1")
+        for byte, character in self.spelling.items():
+            spelled = spelled.replace(byte, character)
+        ids = np.array(self.model.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, np.int32)
+        ends = ids == self.between
+        self.known.learn(ids[~ends], np.diff(np.flatnonzero(ends), prepend=-1) - 1)
         # a word's ids are those of its pieces
         until = np.r_[0, np.cumsum(self.known.lengths[numbers])]
         ends = np.cumsum(pieces)
@@ -190,7 +201,8 @@ def compress(ids: np.ndarray, vocabulary: int, least: int = 8) -> tuple[np.ndarr
         at, place = at[fits], place[fits]
         keep = _apart(at, rank[place])
         at, place = at[keep], place[keep]
-        used, symbol = np.unique(place, return_inverse=True)
+        seen = np.bincount(place, minlength=len(chosen)) > 0
+        used, symbol = np.flatnonzero(seen), (np.cumsum(seen) - 1)[place]
         rules.append(np.stack([chosen[used] // width, chosen[used] % width], 1))
         so_far = np.concatenate(lengths)
         pair_of = rules[-1]
