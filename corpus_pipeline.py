@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidewatch.llm import bpe, decontaminate, rules, simhash, toxicity
 from tidewatch.llm.queries import remainder
 from tidewatch.llm.registry import table
-from tidewatch.llm.storage import free_name, shared_folder
+from tidewatch.llm.storage import bounded_batches, free_name, shared_folder
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are likelier toxic than not go."""
+    bounded_batches(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     model = toxicity.fit(docs, labels, remainder(5) != 0)
     score = free_name(docs, "score")
@@ -31,6 +32,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the smallest doc_id stays."""
+    bounded_batches(spark)
     return simhash.one_of_each(docs)
 
 
@@ -41,6 +43,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded texts; rows without doc_id end here."""
+    bounded_batches(spark)
     return bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -16,6 +17,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tests.harness import compare, connect
 from tidewatch.llm.queries import ORACLES, QUERIES
+from tidewatch.llm.storage import BATCH_BYTES
 
 SF_DIR = "/root/testdata/sf0.001"
 CHECKED_AT = "/root/testdata/sf0.01"
@@ -168,6 +170,23 @@ def test_stages_keep_columns_of_any_name(spark):
         assert stage(spark, docs.limit(0), SF_DIR).count() == 0, name
 
 
+PYTHON_STAGES = [stage for name, stage in corpus_pipeline.STAGES if name not in ("quality classifier", "benchmark decontamination")]
+
+
+@pytest.mark.parametrize("stage", PYTHON_STAGES, ids=lambda stage: stage.__name__)
+def test_python_stages_take_bounded_batches(spark, stage):
+    """Thirty texts of a megabyte do not reach a worker together."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    stage(spark, spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(5), SF_DIR)
+    long = spark.range(0, 30, 1, 1).select("id", F.repeat(F.lit("x"), 1_000_000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    assert long.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] <= 2 * BATCH_BYTES
+
+
 def test_pipeline(spark):
     """Every stage keeps the columns and takes its decisions from its own input."""
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")

@@ -30,6 +30,8 @@ PLAIN = regex.compile(r"[\t\n\r !-~¡-¬®-ÿŒœ–—‘-„…€]*")
 BLOCK_CHARS = 12_000_000
 #: Distinct words whose ids a task remembers.
 REMEMBERED = 500_000
+#: Words that the library encodes at once; it keeps a kilobyte or more of each until their ids are taken.
+ENCODED = 2_000
 
 
 class Splitter:
@@ -68,8 +70,8 @@ class Splitter:
 
     def encode(self, words: list[str]) -> list[list[int]]:
         out: list[list[int]] = []
-        for at in range(0, len(words), 20_000):
-            part = words[at:at + 20_000]
+        for at in range(0, len(words), ENCODED):
+            part = words[at:at + ENCODED]
             plain = [w for w in part if w[0] != "\n"]
             coded = iter(self.tokenizer.encode_batch_fast(plain, add_special_tokens=False))
             out += [[self.special[w[1:]]] if w[0] == "\n" else next(coded).ids for w in part]

@@ -24,6 +24,19 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """From now on this session hands rows to Python in Arrow batches of some ``most`` bytes, or one row.
+
+    Spark's own limits (10,000 rows, 64 MB) let every task hold a batch several times over: as Arrow vectors
+    that double as they fill, outside the heap, and as Arrow and Python objects in its worker.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or it with underscores, such that no column of ``df`` is called so, in either case of letters."""
     taken = {c.lower() for c in df.columns}

@@ -22,6 +22,8 @@ SIZES = (3, 4, 5)
 BUCKETS = 1 << 17
 #: Words whose score a task remembers.
 REMEMBERED = 400_000
+#: Words whose n-grams are held at once.
+PROJECTED = 10_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -192,8 +194,8 @@ def scored(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
                 if len(known) > REMEMBERED:
                     known.clear()
                 new = [w for w in {w for words in found for w in words} if w not in known]
-                for start in range(0, len(new), 50_000):
-                    part = new[start:start + 50_000]
+                for start in range(0, len(new), PROJECTED):
+                    part = new[start:start + PROJECTED]
                     known.update(zip(part, projected.words(part).tolist()))
                 for k, words in enumerate(found):
                     odds = sum(map(known.__getitem__, words)) / len(words) + projected.bias if words else projected.empty
