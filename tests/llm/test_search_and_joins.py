@@ -118,6 +118,27 @@ def test_a_thinned_run_is_not_thinned_again(spark):
     assert got == brute_words(rows, 6, 5, 7)
 
 
+def test_no_table_of_words_is_broadcast(spark, monkeypatch):
+    """Spark takes the exploded signatures for as large as the words, and would broadcast them below its threshold."""
+    plans, write = [], spelling.staged
+
+    def staged(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(spelling, "staged", staged)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        got = spelling.variants(spark.createDataFrame([("abcdef", 5), ("abcdeg", 25), ("abcdeh", 125)], "word string, n long"))
+        plans.append(got._jdf.queryExecution().executedPlan().toString())
+        assert as_variants(got)["abcdef"] == ("abcdeh", "abcdeh", 5, 2, 125)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sum("SortMergeJoin" in plan for plan in plans) >= 4
+    assert not any("Broadcast" in plan for plan in plans)
+
+
 def test_spelling_query(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
     df = QUERIES["op11_spelling"](spark, SF_DIR)

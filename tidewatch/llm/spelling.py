@@ -7,6 +7,9 @@ of ``parts - 2`` classes the word's letters of these classes are a signature, so
 distance of two or less agree in the signature that leaves out the classes of the changed letters.
 The letters keep their order in it, which is exact as well (no letter of a chosen class moved) and
 tells anagrams apart.  Equal signatures meet in one equi-join, and every pair is verified.
+
+All joins are merge joins.  Words grow with the documents and signatures are thirty times as many, yet Spark
+takes an exploded table for as large as the one below it, whose files are packed: it would broadcast them.
 """
 
 from __future__ import annotations
@@ -101,7 +104,7 @@ def near_pairs(words: DataFrame, parts: int = 6) -> DataFrame:
     both = F.concat(_signatures(classes, length), _signatures(classes, length + 1))
     shorter = words.select(F.explode(both).alias("signature"), F.col("word").alias("a"), F.col("n").alias("a_n"), length.alias("a_size"))
     fits = (F.col("a_size") < F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a") < F.col("b")))
-    met = shorter.join(longer, (shorter.signature == longer.signature) & fits & (F.levenshtein("a", "b", 1) == 1))
+    met = shorter.join(longer.hint("merge"), (shorter.signature == longer.signature) & fits & (F.levenshtein("a", "b", 1) == 1))
     return met.select("a", "a_n", "b", "b_n").dropDuplicates(["a", "b"])
 
 
@@ -113,7 +116,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     chains = staged(forms.select("word", F.col("form").alias("root")), "chains")
     while True:
         further = chains.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        joined = staged(chains.join(further, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "chains")
+        joined = staged(chains.join(further.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "chains")
         if joined.filter("moved").isEmpty():
             return joined.select("word", "root")
         chains = joined.select("word", "root")
@@ -133,9 +136,9 @@ def variants(words: DataFrame, ratio: int = 5, parts: int = 6) -> DataFrame:
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("b_n")).alias("minus_n"), F.col("b").alias("near"))).alias("best")
     )
     chosen = -F.col("best.minus_n") >= ratio * F.col("n")
-    known = staged(words.join(best, "word", "left").select(
+    known = staged(words.join(best.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(chosen, F.col("best.near")).alias("form"),
         F.when(chosen, -F.col("best.minus_n")).alias("form_n"),
     ), "variants")
     roots = _roots(known.filter("form IS NOT NULL"))
-    return known.join(roots, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return known.join(roots.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
