@@ -3,6 +3,7 @@
 import gzip
 import io
 import random
+import re
 import zipfile
 import zlib
 
@@ -534,6 +535,93 @@ def test_simhash_pieces_meet():
             assert shared < 0.8 * (len(s) + len(sets[j]) - shared) or want[i] == want[j]
 
 
+def test_a_larger_table_needs_no_more_pieces():
+    """Rows and bits a text stay the same up to millions of texts, and other texts of theirs fail the further bits."""
+    prefix, pieces, limit = overlap.layout(2_300_000, 0.8)
+    assert (prefix, pieces, limit) == overlap.layout(190_000, 0.8)
+    assert overlap.layout(12_000_000, 0.8)[1] <= 1.5 * pieces
+    near = overlap._at_most(overlap.BUDGET, overlap.TRIE_BITS, 0.5) * overlap._at_most(limit, overlap.CHECK_BITS, 0.5)
+    assert pieces * 12_000_000 / (1 << overlap.layout(12_000_000, 0.8)[0]) * near < 1e-2  # false links a text
+
+
+def test_tries_joined_with_themselves():
+    rng = np.random.default_rng(9)
+    for trees, size, budget, step in ((1, 1, 2, 8), (3, 40, 2, 8), (2, 1500, 2, 8), (2, 300, 3, 4), (1, 2, 0, 16)):
+        leaves = np.unique((rng.integers(0, trees, size) << 16) | rng.integers(0, 1 << 16, size) & rng.integers(0, 1 << 16, size))
+        a, b = tries.self_joined(leaves, 16, budget, step)
+        differing = np.bitwise_count(leaves[:, None] ^ leaves[None]) + 99 * (leaves[:, None] >> 16 != leaves[None] >> 16)
+        want = [(i, j) for i, j in zip(*np.nonzero(differing <= budget)) if i < j]
+        assert sorted(zip(a.tolist(), b.tolist())) == want
+
+
+def test_pairs_of_ranges(monkeypatch):
+    monkeypatch.setattr(overlap, "PAIRS", 50)
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        n = rng.integers(0, 8)
+        al, bl = rng.integers(0, 50, n), rng.integers(0, 50, n)
+        ah, bh = al + rng.integers(0, 30, n), bl + rng.integers(0, 130, n)
+        got = [*overlap._products(al, ah, bl, bh)]
+        assert all(len(i) == len(j) <= 50 for i, j in got)
+        pairs = [pair for i, j in got for pair in zip(i.tolist(), j.tolist())]
+        want = [(i, j) for a, b, c, d in zip(al, ah, bl, bh) for i in range(a, b) for j in range(c, d)]
+        assert sorted(pairs) == sorted(want)
+
+
+def test_word_hashes(monkeypatch):
+    texts = ["", " a  b", "A\tb\x0bc\x0cd\re\nf ", "\x00 \x1f\x85", "Éé É é\u00a0x\u2003y", "x" * 64, "X" * 64 + " " + "x" * 65, "x" * 65, "ab", "", "a b"]
+    words = [[w for w in re.split(rb"[ \t\n\x0b\x0c\r]+", t.encode().lower()) if w] for t in texts]
+    for held in (1 << 17, 3):
+        monkeypatch.setattr(overlap, "HASHED_BYTES", held)
+        monkeypatch.setattr(overlap, "HASHED_WORDS", held)
+        for skip in (0, 1, 4):
+            column = pa.array([t.encode() for t in texts], pa.large_binary() if skip == 1 else pa.binary())[skip:]
+            hashes, bounds = overlap.word_hashes(column)
+            flat = [w for of in words[skip:] for w in of]
+            assert np.diff(bounds).tolist() == [len(of) for of in words[skip:]] and len(hashes) == len(flat)
+            assert len(set(zip(flat, hashes.tolist()))) == len(set(flat)) == len(set(hashes.tolist()))
+            sets = [*overlap._sets(column, 2)]
+            assert all((s == overlap.shingle_set(hashes[a:b], 2)).all() for s, a, b in zip(sets, bounds[:-1], bounds[1:]))
+            assert len(sets) == len(column)
+
+
+def test_simhashes_of_many_sets(monkeypatch):
+    """Bits counted over blocks of many sets are those of a plain majority."""
+    monkeypatch.setattr(overlap, "BLOCKS", 3)
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 2, 63, 64, 65, 500, 1, 128, 20_000)]
+    got = overlap.long_simhashes(sets, 5)
+    seeds = np.random.default_rng(11).integers(0, 1 << 63, 5, dtype=np.uint64)
+    for s, bits in zip(sets, got):
+        mixed = (s[:, None] ^ seeds) * np.uint64(overlap.MIX)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(29)
+        each = np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little")
+        assert (bits == (2 * each.sum(axis=0, dtype=np.int64) + each[0] > len(s))).all()
+
+
+def test_groups_are_confirmed_across_batches(spark, monkeypatch):
+    """Groups and blocks of groups that begin in one batch and end in another are confirmed whole."""
+    monkeypatch.setattr(overlap, "BLOCK", 60)
+    rng = random.Random(8)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        for copy in range(5):
+            texts.append(" ".join(words[:-1] + [f"x{copy}"]))
+    texts += [" ".join(f"y{rng.randrange(5000)}" for _ in range(60)) for _ in range(20)]
+    docs = documents(spark, texts)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 7)
+    try:
+        kept = sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect())
+    finally:
+        spark.conf.set(key, before)
+    assert kept == [*range(0, 60, 5), *range(60, 80)]
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(40)] + [(100, 100), (7, 5)] + [(200 + rng.randrange(30), 200 + rng.randrange(30)) for _ in range(60)]

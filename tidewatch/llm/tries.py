@@ -1,7 +1,9 @@
-"""Binary tries of fingerprints, walked in pairs of nodes."""
+"""Tries of fingerprints, walked in pairs of nodes."""
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 
 
@@ -38,6 +40,44 @@ def descend(
     return al, bl
 
 
+def self_joined(leaves: np.ndarray, bits: int, budget: int, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs ``x < y`` of places of ``leaves`` of one trie whose lowest ``bits`` bits differ in at most ``budget``.
+
+    ``leaves`` are sorted and distinct; what is above the bits names the trie.  All tries are walked with themselves,
+    ``step`` bits at a time (``step`` divides ``bits``): a pair of nodes leads to the pairs of their children that
+    differ in no more bits than are left.  For each such difference the other child is looked up, so a level
+    costs a few reads a child, where ``descend`` builds all pairs of nodes of every single bit.
+    """
+    masks = [[sum(1 << k for k in chosen) for chosen in itertools.combinations(range(step), r)] for r in range(budget + 1)]
+    nodes = np.unique(leaves >> bits)
+    x = y = np.arange(len(nodes))
+    errors = np.zeros(len(nodes), np.int8)
+    for low in range(bits - step, -1, -step):
+        below = leaves >> low
+        below = below[np.flatnonzero(np.r_[True, below[1:] != below[:-1]])] if low else leaves
+        own = below & ((1 << step) - 1)
+        parent = np.searchsorted(nodes, below >> step)
+        first = np.searchsorted(parent, np.arange(len(nodes) + 1))
+        place = np.full(len(nodes) << step, -1)
+        place[(parent << step) | own] = np.arange(len(below))
+        grown = []
+        for spent in range(budget + 1):
+            some = errors == spent
+            px, py = x[some], y[some]
+            size = first[px + 1] - first[px]
+            child = np.arange(size.sum()) + np.repeat(first[px] - np.cumsum(size) + size, size)
+            at = np.repeat(py << step, size) | own[child]
+            for more in range(budget - spent + 1):
+                for mask in masks[more]:
+                    other = place[at ^ mask]
+                    keep = np.flatnonzero(other >= child)  # nodes are sorted: each pair is met once
+                    grown.append((child[keep], other[keep], np.full(len(keep), spent + more, np.int8)))
+        x, y, errors = (np.concatenate(column) for column in zip(*grown))
+        nodes = below
+    apart = x != y
+    return x[apart], y[apart]
+
+
 def trie_links(keys: np.ndarray, side: np.ndarray, fps: np.ndarray, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of the pairs of fingerprints within ``budget`` bits, over many trie pairs at once.
 
