@@ -554,6 +554,12 @@ def test_tries_joined_with_themselves():
         assert sorted(zip(a.tolist(), b.tolist())) == want
 
 
+def test_rows_that_meet_no_other_make_no_links():
+    for k in ([5], [0, 0xFFFF], [1 << 16, 2 << 16, 2 << 16 | 0xFF]):
+        a, b = overlap.piece_links(np.array(k), np.zeros((len(k), 3), np.uint64), 58)
+        assert len(a) == len(b) == 0
+
+
 def test_pairs_of_ranges(monkeypatch):
     monkeypatch.setattr(overlap, "PAIRS", 50)
     rng = np.random.default_rng(2)

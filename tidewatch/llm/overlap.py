@@ -270,7 +270,7 @@ def piece_links(k: np.ndarray, signs: np.ndarray, limit: int) -> tuple[np.ndarra
     last = np.r_[first[1:], len(k)]
     size = last - first
     x, y = self_joined(k[first], TRIE_BITS, BUDGET)
-    a, b = [], []
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
     def add(i: np.ndarray, j: np.ndarray) -> None:
         hit = near(i, j)
@@ -409,7 +409,7 @@ def similar_links(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> Da
 
     def groups_of(frames):
         parts, open_group = [], None
-        for frame in frames:  # sorted: a group is confirmed once its last row is there
+        for frame in filter(len, frames):  # sorted: a group is confirmed once its last row is there
             keys = frame[["component", "x", "y"]].to_numpy()
             columns = [frame[name].to_numpy() for name in ("c", "n", "hashes")]
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
