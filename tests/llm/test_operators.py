@@ -535,6 +535,18 @@ def test_simhash_pieces_meet():
             assert shared < 0.8 * (len(s) + len(sets[j]) - shared) or want[i] == want[j]
 
 
+def test_toxicity_goes_through_the_ids_once(spark, monkeypatch):
+    """Counts and draws of both labels read one written table of labelled ids."""
+    written, write = [], toxicity.staged
+    monkeypatch.setattr(toxicity, "staged", lambda df, name: written.append(df.columns) or write(df, name))
+    docs = documents(spark, [f"{'bad' if i % 2 else 'good'} word{i % 5}" for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 0), (99, 1), (3, 1), (None, 1)], "doc_id long, label int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    assert written == [["doc_id", "label"]]
+    odds = model.words(["bad", "good"])
+    assert odds[0] > odds[1]
+
+
 def test_a_larger_table_needs_no_more_pieces():
     """Rows and bits a text stay the same up to millions of texts, and other texts of theirs fail the further bits."""
     prefix, pieces, limit = overlap.layout(2_300_000, 0.8)

@@ -17,6 +17,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewatch.llm.storage import staged
+
 WORD = re.compile(r"[^\W_]+")
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 17
@@ -161,7 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = 2000
         labels.filter(F.col("label").isin(0, 1)).groupBy("doc_id")
         .agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").drop("most")
     )
-    known = agreed.join(docs.select("doc_id").filter(learn & F.col("doc_id").isNotNull()).distinct(), "doc_id", "left_semi")
+    # written once: else every count and every draw below would go through all ids again
+    known = staged(agreed.join(docs.select("doc_id").filter(learn & F.col("doc_id").isNotNull()).distinct(), "doc_id", "left_semi"), "labelled")
     short = docs.filter(F.length("text") <= longest).select("doc_id", "text")
     near = F.xxhash64("doc_id")
     rows = []
